@@ -63,6 +63,16 @@ def _flat(column: pa.ListArray, empty: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(words[real]), doc[real]
 
 
+def _pieces(column: pa.ListArray, most: int = 200_000) -> Iterator[tuple[int, pa.ListArray]]:
+    """A few documents at a time, so that memory follows the longest text and not the batch."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    start, n = 0, len(column)
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+        yield start, column.slice(start, min(stop, n) - start)
+        start = stop
+
+
 def fit(rows: list[tuple[int, np.ndarray]], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (label, distinct feature ids) rows: indices and values of non-zero weights, and the bias."""
     z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
@@ -114,13 +124,13 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, np.ndarray]] = []
         for b in batches:
-            y = b.column(0).to_pylist()
-            words, doc = _flat(b.column(1), empty)
-            ids, of = features(words, doc, s.bits)
-            key = np.unique((of.astype(np.int64) << s.bits) | ids)
-            ids, of = (key & ((1 << s.bits) - 1)).astype(np.int32), key >> s.bits
-            edge = np.searchsorted(of, np.arange(len(y) + 1))
-            rows += [(y[k], ids[edge[k] : edge[k + 1]]) for k in range(len(y))]
+            for start, piece in _pieces(b.column(1)):
+                y = b.column(0).slice(start, len(piece)).to_pylist()
+                ids, of = features(*_flat(piece, empty), s.bits)
+                key = np.unique((of.astype(np.int64) << s.bits) | ids)
+                ids, of = (key & ((1 << s.bits) - 1)).astype(np.int32), key >> s.bits
+                edge = np.searchsorted(of, np.arange(len(y) + 1))
+                rows += [(y[k], ids[edge[k] : edge[k + 1]]) for k in range(len(y))]
         at, w, bias = fit(rows, s) if rows else (np.zeros(0, np.int64), np.zeros(0), -35.0)
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias], "n": [len(rows)]})
 
@@ -145,17 +155,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 p = np.zeros(n)
             else:
                 total = np.full(n, m["bias"])
-                # A few documents at a time, so that memory follows the longest text and not the batch.
-                offsets = np.asarray(b.column(1).offsets).astype(np.int64)
-                start = 0
-                while start < n:
-                    stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + 400_000, "right")) - 1)
-                    words, doc = _flat(b.column(1).slice(start, stop - start), m["empty"])
-                    ids, of = features(words, doc, m["bits"])
+                for start, piece in _pieces(b.column(1)):
+                    ids, of = features(*_flat(piece, m["empty"]), m["bits"])
                     hit = weight[ids] != 0
                     key = np.unique((of[hit].astype(np.int64) << m["bits"]) | ids[hit])
                     np.add.at(total, start + (key >> m["bits"]), weight[key & ((1 << m["bits"]) - 1)])
-                    start = stop
                 p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 
