@@ -56,7 +56,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer's estimate of a plan's size; for a scan, its file size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions(df: DataFrame, target_bytes: int = 16 << 20, expand: float = 1.0) -> int:

@@ -29,6 +29,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.table(spark, sf_dir, "documents"), vocabulary(spark))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(common.table(spark, sf_dir, "pages"))
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import token_files
+
+    return token_files(common.table(spark, sf_dir, "documents"), vocabulary(spark))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -43,5 +55,5 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op3_bpe, op8_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op3_bpe, op5_warc, op8_toxicity, op9_tokens, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
