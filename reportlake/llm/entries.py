@@ -14,6 +14,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(common.table(spark, sf_dir, "documents"))
+
+
 def vocabulary(spark: SparkSession) -> str:
     """The public byte-level BPE file."""
     import public_tokenizers
@@ -55,5 +61,5 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op3_bpe, op5_warc, op8_toxicity, op9_tokens, op10_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_sharding, op3_bpe, op5_warc, op8_toxicity, op9_tokens, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
