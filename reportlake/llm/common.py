@@ -128,3 +128,39 @@ def _place(uri: str) -> tuple[str, str]:
         rest = uri[5:]
         return "local", "/" + rest.lstrip("/")
     return ("other", uri) if "://" in uri else ("local", uri)
+
+
+# ---------------------------------------------------------------------------- connected components
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(id, component) of the ends of an edge table (a, b): the smallest id that each can reach.
+
+    Rounds of star contraction (large-star and small-star in one): each node points to the smallest node near it,
+    until every node points to its component's smallest. Narrow rows only; lineage is cut every round.
+    """
+    from pyspark.sql import functions as F
+
+    now = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(most_rounds):
+        # Large-star: larger neighbours move to the smallest of the neighbourhood (the node included).
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Small-star: a node and its smaller neighbours move to the smallest of them.
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        new = cut(small.where("a <> b").distinct())
+        if _same(new, now):
+            break
+        now = new
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    )
+
+
+def _same(x: DataFrame, y: DataFrame) -> bool:
+    from pyspark.sql import functions as F
+
+    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))]
+    return x.agg(*mark).first() == y.agg(*mark).first()

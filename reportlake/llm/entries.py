@@ -8,6 +8,12 @@ from ..session import ship
 from . import common
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(common.table(spark, sf_dir, "documents")).drop("th")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -61,5 +67,5 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_sharding, op3_bpe, op5_warc, op8_toxicity, op9_tokens, op10_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_sharding, op3_bpe, op5_warc, op6_ngram_join, op8_toxicity, op9_tokens, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
