@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
 from . import common
@@ -41,6 +41,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.table(spark, sf_dir, "documents"), vocabulary(spark))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup
+
+    kept = dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive
 
@@ -67,5 +74,5 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_sharding, op3_bpe, op5_warc, op6_ngram_join, op8_toxicity, op9_tokens, op10_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op2_sharding, op3_bpe, op4_line_dedup, op5_warc, op6_ngram_join, op8_toxicity, op9_tokens, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
