@@ -22,7 +22,6 @@ import json
 import re
 import struct
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S",
 LOOSE = re.compile(r" (?:\s|\Z)")
 BREAK = regex.compile(r" (?=\P{White_Space})")
 #: Chunks kept between batches.
-KEPT = 600_000
+KEPT = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -181,9 +180,12 @@ class Vocabulary:
 
 
 class Chunks:
-    """Ids of texts, as little-endian unsigned 32-bit bytes, by way of distinct chunks. learn: ids of new chunks."""
+    """Ids of texts, as little-endian unsigned 32-bit bytes, by way of distinct chunks.
 
-    def __init__(self, special: dict[str, int], learn: Callable[[list[str]], list[bytes]]):
+    learn: ids of new chunks, given those that start a text and those that a space precedes.
+    """
+
+    def __init__(self, special: dict[str, int], learn: Callable[[list[str], list[str]], tuple[list[bytes], list[bytes]]]):
         self.special, self.learn = special, learn
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
@@ -196,24 +198,45 @@ class Chunks:
         if len(self.later) + len(self.first) > KEPT:
             self.first, self.later = {"": b""}, {}
         parts: list[list] = []
+        new_first: set[str] = set()
+        new_later: set[str] = set()
         for text in texts:
             runs: list = [text or ""]
             for s, i in self.special.items():
                 runs = [y for x in runs for y in (self._around(x, s, i) if isinstance(x, str) and s in x else [x])]
-            parts.append([self.split(x) if isinstance(x, str) else x for x in runs])
-        new_first = {p[0] for x in parts for p in x if isinstance(p, list)} - self.first.keys()
-        new_later: set[str] = set()
-        for x in parts:
-            for p in x:
-                if isinstance(p, list):
-                    new_later.update(islice(p, 1, None))
-        new_later.difference_update(self.later)
+            done: list = []
+            for x in runs:
+                if isinstance(x, str):
+                    chunks = self.split(x)
+                    head = chunks[0]
+                    if head not in self.first:
+                        new_first.add(head)
+                    found = list(map(self.later.get, chunks))
+                    found[0] = b""
+                    missing = [k for k, y in enumerate(found) if y is None] if None in found else []
+                    new_later.update([chunks[k] for k in missing])
+                    done.append((head, found, [(k, chunks[k]) for k in missing]))
+                else:
+                    done.append(x)
+            parts.append(done)
         a, b = list(new_first), list(new_later)
-        found = self.learn(a + [" " + x for x in b])
-        self.first.update(zip(a, found[: len(a)], strict=True))
-        self.later.update(zip(b, found[len(a) :], strict=True))
-        first, later = self.first, self.later.__getitem__
-        return [b"".join([p if isinstance(p, bytes) else first[p[0]] + b"".join(map(later, islice(p, 1, None))) for p in x]) for x in parts]
+        ids_a, ids_b = self.learn(a, b)
+        self.first.update(zip(a, ids_a, strict=True))
+        self.later.update(zip(b, ids_b, strict=True))
+        out = []
+        for done in parts:
+            pieces: list[bytes] = []
+            for x in done:
+                if isinstance(x, bytes):
+                    pieces.append(x)
+                    continue
+                head, found, missing = x
+                found[0] = self.first[head]
+                for k, chunk in missing:
+                    found[k] = self.later[chunk]
+                pieces.append(b"".join(found))
+            out.append(b"".join(pieces))
+        return out
 
     @staticmethod
     def _around(text: str, special: str, token: int) -> list:
@@ -233,23 +256,40 @@ def packed(ids: list[int]) -> bytes:
 def trie_chunks(vocabulary: Vocabulary) -> Chunks:
     """Chunks whose words are encoded by trie traversal."""
 
-    def learn(chunks: list[str]) -> list[bytes]:
-        words = [[w.encode() for w in WORDS.findall(c)] for c in chunks]
+    def learn(first: list[str], later: list[str]) -> tuple[list[bytes], list[bytes]]:
+        words = [[w.encode() for w in WORDS.findall(c)] for c in first] + [[w.encode() for w in WORDS.findall(" " + c)] for c in later]
         ids = {w: packed(x) for w, x in vocabulary.trie({w for x in words for w in x})}
-        return [ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x]) for x in words]
+        found = [ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x]) for x in words]
+        return found[: len(first)], found[len(first) :]
 
     return Chunks(vocabulary.special, learn)
 
 
 def library_chunks(text: str) -> Chunks:
-    """Chunks that the tokenizers library encodes."""
+    """Chunks that the tokenizers library encodes: many at once, as one text whose ids are then divided by length."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(text)
-    special = {t["content"]: t["id"] for t in json.loads(text)["added_tokens"]}
-
-    def learn(chunks: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    spec = json.loads(text)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"]
+    length = np.zeros(1 + max([*vocab.values(), *special.values()]), np.int64)
+    for t, i in vocab.items():
+        length[i] = len(t)  # a letter stands for each byte
+
+    def learn(first: list[str], later: list[str]) -> tuple[list[bytes], list[bytes]]:
+        out: list[bytes] = []
+        for at in range(0, len(later), 20_000):
+            some = later[at : at + 20_000]
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(length[ids])
+            borders = np.cumsum([len(x.encode()) + 1 for x in some])
+            cut = np.searchsorted(ends, borders) + 1
+            if len(ids) and not (ends[cut - 1] == borders).all():
+                raise ValueError("a token crosses the border of chunks")
+            data, cuts = ids.tobytes(), [0, *(4 * cut).tolist()]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [packed(e.ids) for e in tokenizer.encode_batch_fast(first, add_special_tokens=False)], out
 
     return Chunks(special, learn)
 
