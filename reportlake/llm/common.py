@@ -164,3 +164,11 @@ def _same(x: DataFrame, y: DataFrame) -> bool:
 
     mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))]
     return x.agg(*mark).first() == y.agg(*mark).first()
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files of finished steps: it learns of them when the JVM collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

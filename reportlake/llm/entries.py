@@ -26,6 +26,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup
+
+    return dedup(common.table(spark, sf_dir, "documents"), digest=True)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -80,5 +86,5 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op2_sharding, op3_bpe, op4_line_dedup, op5_warc, op6_ngram_join, op7_near_vectors, op8_toxicity, op9_tokens, op10_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_sharding, op3_bpe, op4_line_dedup, op5_warc, op6_ngram_join, op7_near_vectors, op8_toxicity, op9_tokens, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
