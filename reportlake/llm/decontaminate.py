@@ -12,7 +12,8 @@ The benchmark is sent to executors in blocks of at most ``block_bytes`` (one blo
 taken block by block. The pass over documents is narrow: no shuffle.
 
 Defined cases: null and empty texts and items match nothing; items shorter than q + 8 bytes in normal form are
-too short to be evidence and match nothing; repeated documents each get a row; extra columns are ignored.
+too short to be evidence and match nothing; repeated documents each get a row (rows of one doc_id get one, where the
+benchmark takes several blocks); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,6 +201,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(
     return one.select("doc_id", F.size("items").alias("n_items"), "items", "spans", (F.size("items") > 0).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The documents in which no block of the benchmark is found, all columns and rows as they are; narrow."""
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, s):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, s)
+            for b in batches:
+                yield b.filter(pa.array([not index.search(normal(x.as_py())) for x in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _blocks(benchmark: DataFrame, s: Settings) -> list[list[tuple[int, str | None]]]:
     """Items in blocks of bounded size; at least one block, which may be empty."""
     blocks: list[list[tuple[int, str | None]]] = [[]]

@@ -217,3 +217,13 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(n - 2)), pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(lost, pa.int32())], [*rest, "text", "n_lines", "n_removed"])
 
     return both.mapInArrow(run, f"{schema}, text string, n_lines int, n_removed int")
+
+
+def keep_new(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The documents with the lines that stay, n_chars following; those of which no line with words stays go."""
+    columns = docs.columns
+    rest = dedup(docs, s).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        rest = rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rest.select(*columns)

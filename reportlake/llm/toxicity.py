@@ -141,26 +141,28 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
     return {"at": np.frombuffer(best["at"], np.int32), "w": np.frombuffer(best["w"]), "bias": best["bias"], "empty": empty, "bits": s.bits}
 
 
+def scores(words: pa.ListArray, model: dict) -> np.ndarray:
+    """Scores of texts given as arrays of word hashes."""
+    if model["bias"] is None:
+        return np.zeros(len(words))
+    weight = np.zeros(1 << model["bits"])
+    weight[model["at"]] = model["w"]
+    total = np.full(len(words), model["bias"])
+    for start, piece in _pieces(words):
+        ids, of = features(*_flat(piece, model["empty"]), model["bits"])
+        hit = weight[ids] != 0
+        key = np.unique((of[hit].astype(np.int64) << model["bits"]) | ids[hit])
+        np.add.at(total, start + (key >> model["bits"]), weight[key & ((1 << model["bits"]) - 1)])
+    return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score: probability that a text is toxic. Narrow; nothing but the text enters the score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        weight = np.zeros(1 << m["bits"])
-        weight[m["at"]] = m["w"]
         for b in batches:
-            n = b.num_rows
-            if m["bias"] is None:
-                p = np.zeros(n)
-            else:
-                total = np.full(n, m["bias"])
-                for start, piece in _pieces(b.column(1)):
-                    ids, of = features(*_flat(piece, m["empty"]), m["bits"])
-                    hit = weight[ids] != 0
-                    key = np.unique((of[hit].astype(np.int64) << m["bits"]) | ids[hit])
-                    np.add.at(total, start + (key >> m["bits"]), weight[key & ((1 << m["bits"]) - 1)])
-                p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+            p = scores(b.column(1), sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 
     return docs.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc_id long, score double")
@@ -175,3 +177,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), limit: float = 0.5) -> DataFrame:
+    """The documents scored below the limit, all columns and rows as they are; one narrow pass after training."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, s))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_columns - 1
+            keep = pa.array(scores(b.column(n), sent.value) < limit)
+            yield b.select(list(range(n))).filter(keep)
+
+    return docs.withColumn("_words", word_hashes(F.col("text"))).mapInArrow(run, docs.schema)
