@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, written
 
@@ -184,13 +184,18 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def fitting(rows: DataFrame) -> Column:
+    """Whether a vector can link: of the most common length, all components finite, one not zero. rows: v."""
+    length = rows.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    d = length[0]["n"] if length else 0
+    return (F.size("v") == d) & (F.lit(d) > 0) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+
+
 def near(embeddings: DataFrame, s: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    length = rows.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    d = length[0]["n"] if length else 0
-    fit = (F.size("v") == d) & (F.lit(d) > 0) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    fit = fitting(rows)
     # Floats to the largest scale of doubles: scaled by the largest component, so that squares neither over- nor underflow.
     scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", lambda y: F.abs(y))))
     valid = rows.where(fit).select("vec_id", scaled.alias("v"))
@@ -296,20 +301,22 @@ def near(embeddings: DataFrame, s: Settings = Settings()) -> DataFrame:
 def audit(embeddings: DataFrame, result: DataFrame, s: Settings = Settings(), every: int = 20) -> float:
     """Recall of links for the vectors whose id ``every`` divides, against all rows, by brute force in blocks."""
     spark = embeddings.sparkSession
-    asked = embeddings.where(F.col("vec_id") % every == 0).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null").toArrow()
+    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    good = rows.where(fitting(rows))
+    asked = good.where(F.col("vec_id") % every == 0).toArrow()
     if not len(asked):
         return 1.0
-    q = np.nan_to_num(unit_rows(asked["v"].combine_chunks()))
+    q = unit_rows(asked["v"].combine_chunks())
     sent = spark.sparkContext.broadcast(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                total += (np.nan_to_num(unit_rows(b.column(0).slice(at, 2048))) @ sent.value.T >= s.threshold).sum(0)
+                total += (unit_rows(b.column(0).slice(at, 2048)) @ sent.value.T >= s.threshold).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "n"])
 
-    counted = embeddings.select(F.col("embedding").cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "k long, n long")
+    counted = good.select("v").mapInArrow(run, "k long, n long")
     true = {r["k"]: r["n"] - 1 for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     want = sum(max(0, x) for x in true.values())
     got = result.where(F.col("vec_id") % every == 0).agg(F.sum("n_links")).first()[0] or 0
