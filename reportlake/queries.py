@@ -18,11 +18,13 @@ ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "A10_facet_receiver"
 
 
-def query(name: str, sql: str | None = None, view: bool = True):
+def query(name: str, sql: str | None = None, view: bool = True, uses: tuple[str, ...] | None = None):
+    """uses: the view's columns that a query reads, where it does not need all its joins."""
+
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(report_view(spark, sf_dir) if view else (lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")))
+            return f(report_view(spark, sf_dir, uses) if view else (lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")))
 
         QUERIES[name] = run
         if sql:
@@ -50,7 +52,7 @@ def _(r):
     return found.orderBy(F.desc("date"), "report_id").limit(50).select("report_id", F.col("date").cast("string").alias("day"), "coroner")
 
 
-@query("P01_include_flags", "SELECT report_id, url, coroner, area, concerns FROM reports")
+@query("P01_include_flags", "SELECT report_id, url, coroner, area, concerns FROM reports", uses=("url", "coroner", "area", "concerns"))
 def _(r):
     return r.select("report_id", "url", "coroner", "area", "concerns")
 
@@ -61,7 +63,7 @@ def _(r):
     return shown.select("report_id", "url", F.col("date").cast("string").alias("day"), "coroner", "area", "receiver")
 
 
-@query("P03_date_range", f"SELECT report_id, {day('"date"')} AS day FROM reports WHERE \"date\" BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'")
+@query("P03_date_range", f"SELECT report_id, {day('"date"')} AS day FROM reports WHERE \"date\" BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'", uses=("date",))
 def _(r):
     return between(r, *P03).select("report_id", F.col("date").cast("string").alias("day"))
 
@@ -78,7 +80,7 @@ def _(r):
 
 
 @query("P06_facet_filter", """SELECT report_id FROM reports WHERE lower(trim(area)) IN ('nation_8', 'nation_5', 'nation_11', 'nation_22')
-  AND len(list_filter(string_split(coalesce(receiver, ''), ';'), lambda x: lower(trim(x)) IN ('supplier#000000001', 'supplier#000000007', 'supplier#000000042', 'supplier#000000011'))) > 0""")
+  AND len(list_filter(string_split(coalesce(receiver, ''), ';'), lambda x: lower(trim(x)) IN ('supplier#000000001', 'supplier#000000007', 'supplier#000000042', 'supplier#000000011'))) > 0""", uses=("area", "receiver"))
 def _(r):
     names = [f"Supplier#00000000{k}" for k in (1, 7)] + ["SUPPLIER#000000042", "supplier#000000011"]
     return facets.facet_filter(r, areas=["Nation_8", " nation_5", "NATION_11", "nation_22"], receiver=names).select("report_id")
@@ -105,7 +107,7 @@ def _(r):
     return r.select("report_id", F.when(F.col("theme_returned"), F.contains("receiver", F.lit("1"))).otherwise(F.col("theme_urgent")).alias("flag"))
 
 
-@query("P14_page", f"SELECT report_id, {day('"date"')} AS day FROM reports ORDER BY \"date\" DESC NULLS LAST, report_id LIMIT 100 OFFSET 200")
+@query("P14_page", f"SELECT report_id, {day('"date"')} AS day FROM reports ORDER BY \"date\" DESC NULLS LAST, report_id LIMIT 100 OFFSET 200", uses=("date",))
 def _(r):
     return facets.page(r, 3).select("report_id", F.col("date").cast("string").alias("day"))
 
@@ -143,23 +145,23 @@ def top_sql(column: str) -> str:
     return f"SELECT {v} AS name, count(*) AS n FROM reports GROUP BY 1 ORDER BY n DESC, lower(name), name LIMIT 12"
 
 
-@query("A08_monthly", "SELECT strftime(\"date\", '%Y-%m') AS month, count(*) AS n FROM reports WHERE \"date\" IS NOT NULL GROUP BY 1")
+@query("A08_monthly", "SELECT strftime(\"date\", '%Y-%m') AS month, count(*) AS n FROM reports WHERE \"date\" IS NOT NULL GROUP BY 1", uses=("date",))
 def _(r):
     return facets.monthly(r)
 
 
-@query("A09_facet_area", top_sql("area"))
+@query("A09_facet_area", top_sql("area"), uses=("area",))
 def _(r):
     return facets.top_values(r, "area")
 
 
-@query("A09_facet_coroner", top_sql("coroner"))
+@query("A09_facet_coroner", top_sql("coroner"), uses=("coroner",))
 def _(r):
     return facets.top_values(r, "coroner")
 
 
 @query("A10_facet_receiver", f"""SELECT name, count(*) AS n FROM (SELECT unnest(CASE WHEN len(s) = 0 THEN ['Not specified'] ELSE s END) AS name
-  FROM (SELECT {FIRST_SEEN} AS s FROM reports)) GROUP BY 1 ORDER BY n DESC, lower(name), name LIMIT 12""")
+  FROM (SELECT {FIRST_SEEN} AS s FROM reports)) GROUP BY 1 ORDER BY n DESC, lower(name), name LIMIT 12""", uses=("receiver",))
 def _(r):
     return facets.top_receivers(r)
 
@@ -179,12 +181,12 @@ def _(r):
     return facets.theme_counts(r, THEMES, without="theme_urgent")
 
 
-@query("A14_options_receiver", f"SELECT DISTINCT unnest({SEGMENTS}) AS value FROM reports")
+@query("A14_options_receiver", f"SELECT DISTINCT unnest({SEGMENTS}) AS value FROM reports", uses=("receiver",))
 def _(r):
     return facets.options(r, "receiver")
 
 
-@query("A14_options_area", "SELECT DISTINCT trim(area) AS value FROM reports WHERE trim(area) <> ''")
+@query("A14_options_area", "SELECT DISTINCT trim(area) AS value FROM reports WHERE trim(area) <> ''", uses=("area",))
 def _(r):
     return facets.options(r, "area")
 
@@ -209,7 +211,7 @@ def _(r):
     return stats.tabulate(r, THEMES).withColumn("Percentage", F.round(F.col("Percentage").cast("double"), 6))
 
 
-@query("A02_tabulate_categorical", "SELECT concat('Area: ', area) AS \"Category\", count(*) AS \"Count\", round(count(*) * CAST(100 AS double) / (SELECT count(*) FROM reports), 6) AS \"Percentage\" FROM reports WHERE area IS NOT NULL GROUP BY 1")
+@query("A02_tabulate_categorical", "SELECT concat('Area: ', area) AS \"Category\", count(*) AS \"Count\", round(count(*) * CAST(100 AS double) / (SELECT count(*) FROM reports), 6) AS \"Percentage\" FROM reports WHERE area IS NOT NULL GROUP BY 1", uses=("area",))
 def _(r):
     return stats.tabulate(r, ["area"], ["Area"]).withColumn("Percentage", F.round(F.col("Percentage").cast("double"), 6))
 
@@ -222,35 +224,35 @@ SECTIONS = ["investigation", "circumstances", "concerns"]
   round(var_pop(n), 6) AS variance, round(stddev_pop(n), 6) AS std, CAST(min(n) AS bigint) AS "min", CAST(max(n) AS bigint) AS "max", round(CAST(quantile_cont(n, 0.25) AS double), 6) AS q1,
   round(CAST(quantile_cont(n, 0.75) AS double), 6) AS q3, round(CAST(quantile_cont(n, 0.9) AS double), 6) AS p90, round(CAST(quantile_cont(n, 0.95) AS double), 6) AS p95,
   CAST(sum(CASE WHEN n <= 100 THEN n END) AS bigint) AS within_total, CAST(sum(CASE WHEN n <= 100 THEN 1 ELSE 0 END) AS bigint) AS within_reports,
-  CAST(max(n) - min(n) AS bigint) AS "range", round(CAST(quantile_cont(n, 0.75) - quantile_cont(n, 0.25) AS double), 6) AS iqr FROM lengths""")
+  CAST(max(n) - min(n) AS bigint) AS "range", round(CAST(quantile_cont(n, 0.75) - quantile_cont(n, 0.25) AS double), 6) AS iqr FROM lengths""", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     out = stats.length_stats(stats.lengths(r, SECTIONS), threshold=100)
     return out.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes])
 
 
 @query("A04_length_table", f""", lengths AS (SELECT {WORDS} AS n FROM reports), limits AS (SELECT DISTINCT x AS lim FROM (SELECT unnest(range(50, (SELECT greatest(max(n), 150) FROM lengths) + 100, 100)) AS x UNION ALL SELECT 150))
-  SELECT CAST(lim AS bigint) AS "limit", count(*) FILTER (WHERE n <= lim) AS reports, round(count(*) FILTER (WHERE n <= lim) * CAST(100 AS double) / count(*), 6) AS percent FROM limits, lengths GROUP BY lim""")
+  SELECT CAST(lim AS bigint) AS "limit", count(*) FILTER (WHERE n <= lim) AS reports, round(count(*) FILTER (WHERE n <= lim) * CAST(100 AS double) / count(*), 6) AS percent FROM limits, lengths GROUP BY lim""", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     return stats.length_table(stats.lengths(r, SECTIONS), 150, 100).withColumn("percent", F.round("percent", 6))
 
 
 @query("A05_length_histogram", f""", lengths AS (SELECT {WORDS} AS n FROM reports), b AS (SELECT min(n) AS lo, (max(n) - min(n)) / CAST(20 AS double) AS w FROM lengths)
-  SELECT CAST(least(19, floor((n - lo) / w)) AS int) AS bin, round(any_value(lo) + CAST(least(19, floor((n - lo) / w)) AS int) * any_value(w), 6) AS low, count(*) AS n FROM lengths, b GROUP BY bin""")
+  SELECT CAST(least(19, floor((n - lo) / w)) AS int) AS bin, round(any_value(lo) + CAST(least(19, floor((n - lo) / w)) AS int) * any_value(w), 6) AS low, count(*) AS n FROM lengths, b GROUP BY bin""", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     return stats.histogram(stats.lengths(r, SECTIONS)).withColumn("low", F.round("low", 6))
 
 
-@query("A06_word_counts", f"SELECT report_id, {WORDS} AS n FROM reports")
+@query("A06_word_counts", f"SELECT report_id, {WORDS} AS n FROM reports", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     return stats.lengths(r, SECTIONS).select("report_id", F.col("n").cast("long").alias("n"))
 
 
-@query("A07_token_estimate", f"SELECT CAST(sum({WORDS}) AS bigint) AS tokens FROM reports")
+@query("A07_token_estimate", f"SELECT CAST(sum({WORDS}) AS bigint) AS tokens FROM reports", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     return stats.lengths(r, SECTIONS).agg(F.sum("n").alias("tokens"))
 
 
-@query("A18_changed_rows", "SELECT CAST(sum(CASE WHEN coalesce(investigation, '') <> coalesce(concerns, '') THEN 1 ELSE 0 END) AS bigint) AS changed, count(*) AS n FROM reports")
+@query("A18_changed_rows", "SELECT CAST(sum(CASE WHEN coalesce(investigation, '') <> coalesce(concerns, '') THEN 1 ELSE 0 END) AS bigint) AS changed, count(*) AS n FROM reports", uses=("investigation", "concerns"))
 def _(r):
     return r.agg(F.sum((F.coalesce("investigation", F.lit("")) != F.coalesce("concerns", F.lit(""))).cast("long")).alias("changed"), F.count(F.lit(1)).alias("n"))
 
@@ -283,7 +285,7 @@ def _(t):
 
 
 @query("A22_windows", """SELECT CASE WHEN "date" IS NULL THEN 'invalid' WHEN "date" < DATE '1996-01-01' THEN 'before' WHEN "date" > DATE '1998-12-31' THEN 'after' ELSE 'within' END AS "window", count(*) AS n
-  FROM reports WHERE theme_urgent GROUP BY 1""")
+  FROM reports WHERE theme_urgent GROUP BY 1""", uses=("date", "theme_urgent"))
 def _(r):
     return stats.windows(r.where("theme_urgent"), F.col("date"), *P03)
 
@@ -297,7 +299,7 @@ STEM_SQL = "CASE WHEN length(w) <= 3 THEN w WHEN w LIKE '%ies' AND length(w) > 4
 
 
 def text_query(name: str, column, sql: str, source: str = "circumstances"):
-    @query(name, f"SELECT report_id, {sql} AS value FROM reports")
+    @query(name, f"SELECT report_id, {sql} AS value FROM reports", uses=(source,))
     def _(r):
         return r.select("report_id", column(F.col(source)).alias("value"))
 
@@ -325,13 +327,13 @@ def _(r):
 
 
 @query("T08_rule_tags", f"""SELECT report_id, len(list_filter(k, lambda s: contains(s, 'supplier 00000000') OR starts_with(trim(s), 'supplier 00000004'))) > 0 AS tag_a,
-  len(list_filter(k, lambda s: suffix(trim(s), '1') AND NOT contains(trim(s), '11'))) > 0 AS tag_b FROM (SELECT report_id, list_transform({SEGMENTS}, lambda x: {SEGMENT_SQL.format('x')}) AS k FROM reports)""")
+  len(list_filter(k, lambda s: suffix(trim(s), '1') AND NOT contains(trim(s), '11'))) > 0 AS tag_b FROM (SELECT report_id, list_transform({SEGMENTS}, lambda x: {SEGMENT_SQL.format('x')}) AS k FROM reports)""", uses=("receiver",))
 def _(r):
     rules = {"tag_a": {"contains": ["supplier 00000000"], "startswith": ["supplier 00000004"]}, "tag_b": {"endswith": ["1"], "unless": ["11"]}}
     return tagging.tag_collections(r, rules).select("report_id", "tag_a", "tag_b")
 
 
-@query("T08_default_tags")
+@query("T08_default_tags", uses=("receiver",))
 def _(r):
     return tagging.tag_collections(r).select("report_id", *V.TAG_RULES)
 
@@ -352,23 +354,23 @@ def _(r):
     return r.select("report_id", X.clean_receiver_list(F.concat_ws("; ", "receiver", F.lit("The Dept of Health & Social Care"), F.lit("Chief Executive, Acme NHS Trust"))).alias("receivers"))
 
 
-@query("T11_organisations", f"SELECT report_id, len(list_filter(['nhs','office','care'], lambda q: contains({KEY_SQL.format('circumstances')}, q))) > 0 AS org FROM reports WHERE circumstances IS NOT NULL AND circumstances <> upper(circumstances)")
+@query("T11_organisations", f"SELECT report_id, len(list_filter(['nhs','office','care'], lambda q: contains({KEY_SQL.format('circumstances')}, q))) > 0 AS org FROM reports WHERE circumstances IS NOT NULL AND circumstances <> upper(circumstances)", uses=("circumstances",))
 def _(r):
     return r.where("circumstances is not null and circumstances <> upper(circumstances)").select("report_id", X.is_organisation(F.col("circumstances"), ["nhs", "office", "care"]).alias("org"))
 
 
 @query("T23_sandwich", """SELECT report_id, CASE WHEN strpos(lower(circumstances), 'the ') > 0 THEN trim(regexp_replace(CASE WHEN strpos(lower(rest), 'and ') > 0 THEN left(rest, strpos(lower(rest), 'and ') - 1) ELSE rest END, '\\s+', ' ', 'g')) END AS value
-  FROM (SELECT report_id, circumstances, substr(circumstances, strpos(lower(circumstances), 'the ') + 4) AS rest FROM reports)""")
+  FROM (SELECT report_id, circumstances, substr(circumstances, strpos(lower(circumstances), 'the ') + 4) AS rest FROM reports)""", uses=("circumstances",))
 def _(r):
     return r.select("report_id", X.sandwich(F.col("circumstances"), ["the "], ["and "]).alias("value"))
 
 
-@query("T24_fill_null_fields", "SELECT report_id, coalesce(concerns, circumstances, investigation) AS value FROM reports")
+@query("T24_fill_null_fields", "SELECT report_id, coalesce(concerns, circumstances, investigation) AS value FROM reports", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     return models.cascade(r, {"a": {"value": F.col("concerns")}, "b": {"value": F.col("circumstances")}, "c": {"value": F.col("investigation")}}, ["a", "b", "c"], ["value"]).select("report_id", "value")
 
 
-@query("T26_labelled_text", "SELECT report_id, trim(regexp_replace(concat_ws(chr(10), CASE WHEN investigation IS NOT NULL THEN concat('Investigation: ', investigation) END, CASE WHEN concerns IS NOT NULL THEN concat('Concerns: ', concerns) END), '\\s+', ' ', 'g')) AS value FROM reports")
+@query("T26_labelled_text", "SELECT report_id, trim(regexp_replace(concat_ws(chr(10), CASE WHEN investigation IS NOT NULL THEN concat('Investigation: ', investigation) END, CASE WHEN concerns IS NOT NULL THEN concat('Concerns: ', concerns) END), '\\s+', ' ', 'g')) AS value FROM reports", uses=("investigation", "concerns"))
 def _(r):
     return r.select("report_id", models.report_text(["investigation", "concerns"]).alias("value"))
 
@@ -413,7 +415,7 @@ for _k, _text in enumerate(("thing", "the thing thble", "thing thble ontion")):
     def _search(r, text=_text):
         return search.search(r, text).select("report_id", "score")
 
-    query(f"O06_search_{_k + 1}", search_sql(_text))(_search)
+    query(f"O06_search_{_k + 1}", search_sql(_text), uses=("date", *V.SEARCH_FIELDS))(_search)
 
 
 # ---------------------------------------------------------------------------- joins, sets, increments
@@ -427,30 +429,30 @@ def halves(r: DataFrame) -> tuple[DataFrame, DataFrame]:
 HALVES = ", o AS (SELECT * FROM reports WHERE report_id % 3 <> 0), f AS (SELECT report_id, url, CASE WHEN report_id % 4 = 0 THEN upper(area) END AS area, lower(coroner) AS coroner FROM reports WHERE report_id % 2 = 0)"
 
 
-@query("J01_replace_columns", HALVES + " SELECT o.report_id, f.area, f.coroner FROM o LEFT JOIN f USING (url)")
+@query("J01_replace_columns", HALVES + " SELECT o.report_id, f.area, f.coroner FROM o LEFT JOIN f USING (url)", uses=("url", "area", "coroner"))
 def _(r):
     old, new = halves(r)
     return tables.replace_columns(old, new, ["area", "coroner"]).select("report_id", "area", "coroner")
 
 
 @query("J02_changes", HALVES + """ SELECT count(*) AS "rows", CAST(sum(CASE WHEN coalesce(o.area,'') <> coalesce(f.area,'') THEN 1 ELSE 0 END) AS bigint) AS changed_area,
-  CAST(sum(CASE WHEN coalesce(o.coroner,'') <> coalesce(f.coroner,'') THEN 1 ELSE 0 END) AS bigint) AS changed_coroner FROM o JOIN f USING (url)""")
+  CAST(sum(CASE WHEN coalesce(o.coroner,'') <> coalesce(f.coroner,'') THEN 1 ELSE 0 END) AS bigint) AS changed_coroner FROM o JOIN f USING (url)""", uses=("url", "area", "coroner"))
 def _(r):
     return tables.changes(*halves(r), ["area", "coroner"])
 
 
-@query("J03_audit", HALVES + " SELECT o.url, o.area AS old, reports.area AS raw, f.area AS new FROM o LEFT JOIN reports USING (url) LEFT JOIN f ON f.url = o.url WHERE o.area IS DISTINCT FROM f.area")
+@query("J03_audit", HALVES + " SELECT o.url, o.area AS old, reports.area AS raw, f.area AS new FROM o LEFT JOIN reports USING (url) LEFT JOIN f ON f.url = o.url WHERE o.area IS DISTINCT FROM f.area", uses=("url", "area", "coroner"))
 def _(r):
     old, new = halves(r)
     return tables.audit(old, r, new, "area")
 
 
-@query("J04_keep_old", HALVES + " SELECT o.report_id, coalesce(f.area, o.area) AS area FROM o LEFT JOIN f USING (url)")
+@query("J04_keep_old", HALVES + " SELECT o.report_id, coalesce(f.area, o.area) AS area FROM o LEFT JOIN f USING (url)", uses=("url", "area", "coroner"))
 def _(r):
     return tables.refresh_columns(*halves(r), ["area"]).select("report_id", "area")
 
 
-@query("J05_new_keys", HALVES + " SELECT report_id FROM f WHERE url NOT IN (SELECT url FROM o)")
+@query("J05_new_keys", HALVES + " SELECT report_id FROM f WHERE url NOT IN (SELECT url FROM o)", uses=("url", "area", "coroner"))
 def _(r):
     return tables.new_rows(*halves(r)).select("report_id")
 
@@ -474,20 +476,20 @@ AREA_SQL = "(VALUES " + ", ".join(str(x) for x in AREA_ROWS) + ") AS a(alias, ca
 @query("J08_area_lookup", f""", k AS (SELECT trim(alias) AS key, 1 AS raw, CASE kind WHEN 'synonym' THEN 0 WHEN 'legacy' THEN 1 ELSE 2 END AS place, canonical, concat('raw_', kind) AS method FROM {AREA_SQL}
   UNION ALL SELECT {KEY_SQL.format('alias')}, 0, CASE kind WHEN 'synonym' THEN 3 WHEN 'legacy' THEN 4 ELSE 5 END, canonical, concat('normalised_', kind) FROM {AREA_SQL})
   SELECT report_id, coalesce(arg_min(canonical, place), 'Other') AS area_canonical, coalesce(arg_min(method, place), 'none') AS match_method
-  FROM reports LEFT JOIN k ON (k.raw = 1 AND k.key = trim(area)) OR (k.raw = 0 AND k.key = {KEY_SQL.format('area')}) GROUP BY report_id""")
+  FROM reports LEFT JOIN k ON (k.raw = 1 AND k.key = trim(area)) OR (k.raw = 0 AND k.key = {KEY_SQL.format('area')}) GROUP BY report_id""", uses=("area",))
 def _(r):
     areas = r.sparkSession.createDataFrame(AREA_ROWS, "alias string, canonical string, kind string")
     return canonical.match_areas(r, areas, strategy="exact_only").select("report_id", "area_canonical", "match_method")
 
 
-@query("J09_area_fuzzy")
+@query("J09_area_fuzzy", uses=("area",))
 def _(r):
     areas = r.sparkSession.createDataFrame(AREA_ROWS, "alias string, canonical string, kind string")
     typed = r.withColumn("area", F.regexp_replace("area", "NATION", "NATOIN"))
     return canonical.match_areas(typed, areas).select("report_id", "area_canonical", "match_method", F.round("match_score", 6).alias("match_score"))
 
 
-@query("J10_receiver_names", "SELECT report_id, CASE area WHEN 'NATION_8' THEN 'Federal Republic' WHEN 'NATION_5' THEN 'Republic' ELSE area END AS name FROM reports")
+@query("J10_receiver_names", "SELECT report_id, CASE area WHEN 'NATION_8' THEN 'Federal Republic' WHEN 'NATION_5' THEN 'Republic' ELSE area END AS name FROM reports", uses=("area",))
 def _(r):
     return r.select("report_id", X.canonical_receiver(F.col("area"), {"nation 8": "Federal Republic", "nation 5": "Republic"}).alias("name"))
 
@@ -499,7 +501,7 @@ def _(r):
     return e.select(name("source").alias("left_theme"), name("target").alias("right_theme"), "n")
 
 
-@query("U01_append", HALVES + " SELECT report_id FROM o UNION ALL SELECT report_id FROM f WHERE url NOT IN (SELECT url FROM o)")
+@query("U01_append", HALVES + " SELECT report_id FROM o UNION ALL SELECT report_id FROM f WHERE url NOT IN (SELECT url FROM o)", uses=("url", "area", "coroner"))
 def _(r):
     return tables.top_up(*halves(r)).select("report_id")
 
@@ -510,22 +512,22 @@ def _(r):
     return old.unionByName(new.drop("receiver"), allowMissingColumns=True).select("report_id", "receiver")
 
 
-@query("U03_decoys")
+@query("U03_decoys", uses=("theme_urgent",))
 def _(r):
     return tables.decoys(r, "theme_urgent").select("report_id", "theme_urgent")
 
 
-@query("U05_overlap", f"SELECT report_id, len(list_intersect({SEGMENTS}, ['Supplier#000000001', 'Supplier#000000007'])) > 0 AS hit FROM reports")
+@query("U05_overlap", f"SELECT report_id, len(list_intersect({SEGMENTS}, ['Supplier#000000001', 'Supplier#000000007'])) > 0 AS hit FROM reports", uses=("receiver",))
 def _(r):
     return r.select("report_id", F.arrays_overlap(X.receivers(F.col("receiver")), X.lit_array(["Supplier#000000001", "Supplier#000000007"])).alias("hit"))
 
 
-@query("X01_stratified_sample")
+@query("X01_stratified_sample", uses=("date",))
 def _(r):
     return tables.stratified_sample(r, 100).select("report_id", F.year("date").alias("year"))
 
 
-@query("A29_strata", "SELECT coalesce(year(\"date\"), -1) AS year, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM reports) AS double), 6) AS share FROM reports GROUP BY 1")
+@query("A29_strata", "SELECT coalesce(year(\"date\"), -1) AS year, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM reports) AS double), 6) AS share FROM reports GROUP BY 1", uses=("date",))
 def _(r):
     y = r.groupBy(F.coalesce(F.year("date"), F.lit(-1)).cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     total = r.agg(F.count(F.lit(1)).alias("total"))
@@ -663,7 +665,7 @@ def _(r):
     return graph.connected_only(n.select("kind", "value"), e).select("kind", "value")
 
 
-@query("O01_newest_first", f"SELECT report_id, {day('"date"')} AS day FROM reports ORDER BY \"date\" DESC, report_id LIMIT 25")
+@query("O01_newest_first", f"SELECT report_id, {day('"date"')} AS day FROM reports ORDER BY \"date\" DESC, report_id LIMIT 25", uses=("date",))
 def _(r):
     return r.orderBy(F.desc_nulls_last("date"), "report_id").limit(25).select("report_id", F.col("date").cast("string").alias("day"))
 
@@ -682,7 +684,7 @@ def _(t):
     return t("pages").select("page_id", html.document_link_udf()("html").alias("link")).where("link is not null")
 
 
-@query("L04_screen", "SELECT report_id FROM reports WHERE contains(lower(concat_ws(' ', investigation, circumstances, concerns)), 'thing')")
+@query("L04_screen", "SELECT report_id FROM reports WHERE contains(lower(concat_ws(' ', investigation, circumstances, concerns)), 'thing')", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     return models.screen(r, models.KeywordModel("thing"), "things of any kind").select("report_id")
 
@@ -692,13 +694,13 @@ def _(r):
     return models.extract(r, models.KeywordModel(fields={"age": 41, "place": "north"}), {"age": "int", "place": "str"}).select("report_id", "age", "place")
 
 
-@query("L06_summarise", "SELECT report_id, len(list_filter(string_split_regex(concat_ws(chr(10), CASE WHEN investigation IS NOT NULL THEN concat('Investigation: ', investigation) END, CASE WHEN circumstances IS NOT NULL THEN concat('Circumstances: ', circumstances) END, CASE WHEN concerns IS NOT NULL THEN concat('Concerns: ', concerns) END), '\\s+'), lambda x: x <> '')) > 20 AS cut FROM reports")
+@query("L06_summarise", "SELECT report_id, len(list_filter(string_split_regex(concat_ws(chr(10), CASE WHEN investigation IS NOT NULL THEN concat('Investigation: ', investigation) END, CASE WHEN circumstances IS NOT NULL THEN concat('Circumstances: ', circumstances) END, CASE WHEN concerns IS NOT NULL THEN concat('Concerns: ', concerns) END), '\\s+'), lambda x: x <> '')) > 20 AS cut FROM reports", uses=("investigation", "circumstances", "concerns"))
 def _(r):
     full, cut = models.summarise(r), models.summarise(r, max_words=20)
     return full.select("report_id", F.col("summary").alias("a")).join(cut.select("report_id", F.col("summary").alias("b")), "report_id").select("report_id", (~F.col("a").eqNullSafe(F.col("b"))).alias("cut"))
 
 
-@query("L08_clean_column", "SELECT report_id, upper(coroner) AS coroner FROM reports")
+@query("L08_clean_column", "SELECT report_id, upper(coroner) AS coroner FROM reports", uses=("coroner",))
 def _(r):
     return models.clean_column(r, models.KeywordModel(), "coroner", "Tidy the name.").select("report_id", "coroner")
 

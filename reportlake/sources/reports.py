@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vocabulary as V
 
+THEMES = ["theme_returned", "theme_bulk", "theme_discounted", "theme_promo", "theme_urgent"]
+VIEW_COLUMNS = ["report_id", "url", "date", "coroner", "area", "receiver", "investigation", "circumstances", "concerns", *THEMES]
 SECTIONS = ["url", "id", "date", "coroner", "area", "receiver", "investigation", "circumstances", "concerns"]
 
 
@@ -21,40 +23,43 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return dated.orderBy(F.desc("date"), *[c for c in ("url", "id") if c in dated.columns])
 
 
-def report_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report-shaped view of the test tables: a row for each document, with its order's facts."""
+def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A report-shaped view of the test tables: a row for each document, with its order's facts.
+
+    With columns, only the tables that those need are read and joined: a plan cannot know that the joined keys are
+    unique, so it would keep joins whose columns nobody reads.
+    """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    docs = t("documents").select(F.col("doc_id").alias("report_id"), "text")
-    items = t("lineitem")
-    facts = (
-        items.join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_orderkey").agg(
-            (F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)) == 1).alias("theme_returned"),
-            (F.max("l_quantity") >= 45).alias("theme_bulk"), (F.max("l_discount") >= 0.09).alias("theme_discounted"),
-            (F.max(F.when(F.col("p_type") == "PROMO", 1).otherwise(0)) == 1).alias("theme_promo"),
+    wanted = [c for c in VIEW_COLUMNS if columns is None or c in columns or c == "report_id"]
+    out = t("documents").select(F.col("doc_id").alias("report_id"), "text").join(t("orders"), F.col("o_orderkey") == F.col("report_id"))
+    if {"coroner", "area"} & set(wanted):
+        out = out.join(t("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    if "area" in wanted:
+        out = out.join(t("nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    if set(THEMES[:4]) & set(wanted):
+        facts = (
+            t("lineitem").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("l_orderkey").alias("fact_key")).agg(
+                (F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)) == 1).alias("theme_returned"),
+                (F.max("l_quantity") >= 45).alias("theme_bulk"), (F.max("l_discount") >= 0.09).alias("theme_discounted"),
+                (F.max(F.when(F.col("p_type") == "PROMO", 1).otherwise(0)) == 1).alias("theme_promo"),
+            )
         )
-    )
-    names = (
-        items.select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("s_name")), "; ").alias("receiver"))
-    )
-    line = lambda k: F.nullif(F.split_part("text", F.lit("\n"), F.lit(k)), F.lit(""))
-    return (
-        docs.join(t("orders"), F.col("o_orderkey") == F.col("report_id"))
-        .join(t("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"), "left")
-        .join(t("nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-        .join(facts, F.col("report_id") == facts["l_orderkey"], "left").drop("l_orderkey")
-        .join(names, F.col("report_id") == names["l_orderkey"], "left").drop("l_orderkey")
-        .select(
-            "report_id", F.concat(F.lit("https://reports.example.org/"), F.col("report_id").cast("string")).alias("url"),
-            F.col("o_orderdate").cast("date").alias("date"), F.col("c_name").alias("coroner"), F.col("n_name").alias("area"), "receiver",
-            line(1).alias("investigation"), line(2).alias("circumstances"), line(3).alias("concerns"),
-            "theme_returned", "theme_bulk", "theme_discounted", "theme_promo", (F.col("o_orderpriority") == "1-URGENT").alias("theme_urgent"),
+        out = out.join(facts, F.col("report_id") == F.col("fact_key"), "left")
+    if "receiver" in wanted:
+        names = (
+            t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy(F.col("l_orderkey").alias("name_key")).agg(F.array_join(F.array_sort(F.collect_set("s_name")), "; ").alias("receiver"))
         )
-    )
-
+        out = out.join(names, F.col("report_id") == F.col("name_key"), "left")
+    line = lambda k: F.nullif(F.split_part("text", F.lit("\n"), F.lit(k)), F.lit(""))
+    made = {
+        "url": F.concat(F.lit("https://reports.example.org/"), F.col("report_id").cast("string")), "date": F.col("o_orderdate").cast("date"),
+        "coroner": F.col("c_name"), "area": F.col("n_name"), "investigation": line(1), "circumstances": line(2), "concerns": line(3),
+        "theme_urgent": F.col("o_orderpriority") == "1-URGENT",
+    }
+    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in wanted])
 
-THEMES = ["theme_returned", "theme_bulk", "theme_discounted", "theme_promo", "theme_urgent"]
 
 #: The same view in DuckDB SQL.
 VIEW_SQL = """li AS (SELECT l_orderkey, max(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END) AS returned, max(l_quantity) AS mq,
