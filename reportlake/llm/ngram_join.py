@@ -182,6 +182,28 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         yield [list(x) for x in zip(*held, strict=True)]
 
 
+def arrow_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that share the first column, as Arrow: the arrays of words are never made Python objects."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        unit = np.asarray(b.column(0))
+        edges = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            piece = b.slice(lo, hi - lo)
+            if held and held[0].column(0)[0].as_py() != unit[lo]:
+                yield whole(held)
+                held = []
+            held.append(piece)
+    if held:
+        yield whole(held)
+
+
+def whole(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pieces[0] if len(pieces) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(k) for p in pieces]) for k in range(pieces[0].num_columns)], pieces[0].schema.names)
+
+
 def similar(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sorted sets, exactly."""
     m = len(sets)
@@ -211,12 +233,13 @@ def verify(units: DataFrame, s: Settings) -> DataFrame:
     empty = units.sparkSession.range(1).select(F.xxhash64(F.lit(""))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, side, copies, words in _grouped(batches):
-            sets = [ngrams(np.array([x for x in w if x != empty], np.int64), s.words) for w in words]
+        for unit in arrow_units(batches):
+            ids, side, copies = unit.column(1).to_pylist(), unit.column(2), unit.column(3)
+            sets = [ngrams(np.ascontiguousarray(w), s.words) for w in _lists(unit.column(4), empty)]
             shared, n = similar(sets), np.array([len(x) for x in sets], np.float64)
             link = shared >= s.threshold * (n[:, None] + n[None, :] - shared) - 1e-9
             np.fill_diagonal(link, False)
-            side, copies = np.array(side), np.array(copies)
+            side, copies = np.asarray(side), np.asarray(copies)
             if side.any():
                 link &= side[:, None] != side[None, :]
             texts = link.sum(1)
