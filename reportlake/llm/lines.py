@@ -4,9 +4,11 @@ A line is what stands between newlines; its words are its runs of non-spaces. Tw
 or one inserted, deleted or substituted word apart. A line goes if an earlier line matches it - earlier by doc_id,
 then place in the document - whether or not that one stays itself: lines are judged on the input.
 
-1. Lines of at least ``least_words`` words (shorter ones are no evidence and always stay) become narrow rows with
-   a 128-bit digest. Equal lines: one aggregate by digest, combined before the shuffle; all but the first go.
-2. First occurrences within one edit of another share, for some n, the first n // 2 or the last n - n // 2 words
+Lines of fewer than ``least_words`` words match equal lines alone, since one edit may change all that they say.
+
+1. Lines with words become narrow rows with a 128-bit digest. Equal lines of any length: one aggregate by digest,
+   combined before the shuffle; all but the first go.
+2. First occurrences of at least ``least_words`` words within one edit of another share, for some n, the first n // 2 or the last n - n // 2 words
    (n: words of the shorter). Lines without such a partner need no neighbourhood.
 3. The others emit the hashed variants of their deletion neighbourhood: each word left out with its place marked
    (substitutions meet there), each word left out (the longer line) and the line itself (the shorter). Equal
@@ -14,7 +16,7 @@ then place in the document - whether or not that one stays itself: lines are jud
    for each line and never a pair for each two.
 4. The word edit distance of each line and the earliest line found is verified on the texts.
 
-Defined cases: null and empty texts have no lines to lose; blank and short lines stay; rows that repeat id and text
+Defined cases: null and empty texts have no lines to lose; blank lines stay; rows that repeat id and text
 are one document and lose the same lines; a null doc_id comes first; very long lines are treated whole; extra
 columns are kept.
 """
@@ -87,7 +89,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 
 def line_rows(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, th, line_no, h1, h2, keys of the lines that count; one narrow pass."""
+    """doc_id, th, line_no, h1, h2, keys (short lines: none) of the lines with words; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "line_no", "h1", "h2", "keys"]
@@ -97,9 +99,9 @@ def line_rows(docs: DataFrame, s: Settings) -> DataFrame:
             for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
                     w = line.split()
-                    if len(w) >= s.least_words:
+                    if w:
                         d = xxhash.xxh3_128_digest(" ".join(w).encode())
-                        rows.append((doc_id, th, k, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), partner_keys(w)))
+                        rows.append((doc_id, th, k, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), partner_keys(w) if len(w) >= s.least_words else []))
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []
@@ -132,7 +134,7 @@ def removed_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     here = F.struct("doc_id", "th", "line_no")
     seen = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     equal = lines.join(seen.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(here > F.col("first")).select("doc_id", "th", "line_no")
-    firsts = written(seen.select("first.*", "keys"), "firsts")
+    firsts = written(seen.where(F.size("keys") > 0).select("first.*", "keys"), "firsts")
     keyed = firsts.select(F.xxhash64("doc_id", "th", "line_no").alias("lid"), F.explode("keys").alias("k")).distinct()
     busy = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     wanted = keyed.join(busy, "k").select("lid").distinct()

@@ -169,6 +169,15 @@ def test_line_dedup(odd_docs, no_docs):
     assert lines.dedup(no_docs).count() == 0 and lines.keep_new(odd_docs).columns == odd_docs.columns
 
 
+def test_equal_short_lines_go_and_near_short_lines_stay(spark):
+    text = "All rights reserved.\n\nthe quick brown fox jumps over it\nYes"
+    rows = [(1, text), (2, text), (3, "Yes\n All  rights reserved.\nAll rights kept.\nNo"), (4, "Yes\nYes"), (5, "\n"), (5, "\n"), (6, "new words\n\nnew words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in lines.dedup(docs).collect())
+    assert got == [(1, text, 0), (2, "", 3), (3, "All rights kept.\nNo", 2), (4, "", 2), (5, "\n", 0), (5, "\n", 0), (6, "new words\n", 1)]
+    assert sorted(r["doc_id"] for r in lines.keep_new(docs).collect()) == [1, 3, 5, 5, 6]
+
+
 def test_partner_keys_and_variants_cover_one_edit():
     import random
 
