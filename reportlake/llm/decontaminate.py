@@ -1,9 +1,10 @@
 """Benchmark decontamination: q-gram lemma filtering in overlapping diagonal bands, then banded alignment.
 
 Texts are compared in a normal form (lower case, runs of other characters than letters and digits as one space).
-Every benchmark item is cut into half-overlapping segments of about ``segment`` bytes, so that an excerpt is
-found as well as the whole item. A document is contaminated when some stretch of it aligns with a segment of m
-bytes within k = floor(rate * m) edits. By the q-gram lemma such a stretch shares at least m + 1 - q - k*q
+Every benchmark item longer than ``segment`` bytes is cut into half-overlapping segments of that size, so that an
+excerpt is found as well as the whole item; items of under two segments are a segment as a whole, too, and those of
+under 1.25 are found by an excerpt only where that is unedited. A document is contaminated when some stretch of it aligns with a segment of m
+bytes within k edits (floor(rate * m), or 0 for such an excerpt). By the q-gram lemma such a stretch shares at least m + 1 - q - k*q
 q-grams with the segment, all within diagonals at most k apart; documents are filtered on that count, first over
 all segments together in a sliding window, then by segment and diagonal band (bands of 2k + 1 diagonals that
 overlap by half, so no alignment straddles). What is left is aligned in a band of the edit budget.
@@ -43,14 +44,18 @@ def normal(text: str | None) -> bytes:
     return OTHER.sub(b" ", (text or "").lower().encode("utf-8", "surrogatepass")).strip()
 
 
-def segments(text: bytes, s: Settings) -> list[bytes]:
-    """Half-overlapping pieces that cover a text; a text of under two pieces stays whole."""
+def segments(text: bytes, s: Settings) -> list[tuple[bytes, int]]:
+    """Half-overlapping pieces that cover a text, with their edit budgets; a text of under two pieces is there as a whole, too."""
     if len(text) < s.q + 8:
         return []
-    if len(text) < 2 * s.segment:
-        return [text]
+    whole = [(text, int(s.rate * len(text)))]
+    if len(text) <= s.segment:
+        return whole
+    # Pieces that are nearly the whole count unedited only: with edits, it is for the whole to decide.
+    edits = int(s.rate * s.segment) if 4 * len(text) >= 5 * s.segment else 0
     starts = [*range(0, len(text) - s.segment, s.segment // 2), len(text) - s.segment]
-    return [text[a : a + s.segment] for a in starts]
+    pieces = [(text[a : a + s.segment], edits) for a in starts]
+    return pieces if len(text) >= 2 * s.segment else whole + pieces
 
 
 def codes(data: np.ndarray, q: int) -> np.ndarray:
@@ -69,12 +74,13 @@ class Index:
     """q-grams of the segments of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str | None]], s: Settings):
-        self.s, self.parts, self.item = s, [], []
+        self.s, self.parts, self.item, budget = s, [], [], []
         for item, text in items:
-            for piece in segments(normal(text), s):
+            for piece, edits in segments(normal(text), s):
                 self.parts.append(piece)
+                budget.append(edits)
                 self.item.append(item)
-        self.k = np.array([int(s.rate * len(p)) for p in self.parts], np.int64)
+        self.k = np.array(budget, np.int64)
         m = np.array([len(p) for p in self.parts], np.int64)
         # An edit budget that leaves the lemma no q-gram is lowered until it leaves one.
         self.k = np.minimum(self.k, np.maximum(0, (m - s.q) // s.q))

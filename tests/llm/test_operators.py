@@ -314,6 +314,25 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontaminate.decontaminate(no_docs, bench).count() == 0 and decontaminate.keep_clean(odd_docs, bench.where("false")).count() == odd_docs.count()
 
 
+def test_excerpts_of_short_items():
+    import random
+
+    rng = random.Random(9)
+    s = decontaminate.Settings()
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    found = lambda item, part: bool(decontaminate.Index([(1, item)], s).search(decontaminate.normal(f"{text(60)} {part} {text(60)}")))
+    for n in (125, 150, 190, 199, 200, 260):
+        item = text(n)
+        assert found(item, item[:100]) and found(item, item[-100:]) and found(item, f"{item[-100:-60]}xyz{item[-57:]}")
+        assert n < 150 or found(item, item[n // 2 - 75 : n // 2 + 75])
+        assert not found(item, item[:60])
+    for n in (101, 117, 124):
+        item = text(n)
+        assert found(item, item[:100]) and found(item, item[-100:]) and not found(item, item[:90])
+    item = text(190)
+    assert found(item, item[:90] + "123456789" + item[99:])  # nine edits in all three pieces, within the budget of the whole
+
+
 def test_lemma_against_all_alignments():
     import random
 
