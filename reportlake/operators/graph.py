@@ -62,11 +62,17 @@ def jaccard(edge: DataFrame, node: DataFrame) -> DataFrame:
     return both.select("source", "target", "n", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))
 
 
-def capped(node: DataFrame, reports: int, caps: dict[str, int] = NODE_CAPS) -> DataFrame:
-    """The most common nodes of each kind, all themes; rare ones (below 2) only in small collections (250 reports)."""
+def capped(node: DataFrame, reports: int, caps: dict[str, int] = NODE_CAPS, forced: Sequence[str] = ()) -> DataFrame:
+    """The most common nodes of each kind, all themes; rare ones (below 2) only in small collections (250 reports).
+
+    Forced ones (kind::value; of those that differ in case alone the first) that occur are there beyond cap and rarity.
+    """
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.lower("value"), "value"))
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in caps.items()], F.lit(1 << 30))
-    return node.where(F.col("n") >= (1 if reports <= 250 else 2)).withColumn("rank", rank).where(F.col("rank") <= limit)
+    common = F.col("n") >= (1 if reports <= 250 else 2)
+    wanted = list({x.casefold(): x for x in reversed(forced)}.values())
+    named = F.concat("kind", F.lit("::"), "value").isin(wanted) if wanted else F.lit(False)
+    return node.withColumn("rank", rank).where((common & (F.col("rank") <= limit)) | named)  # rare ones rank last
 
 
 def sized(node: DataFrame, low: float = 10.0, high: float = 40.0, power: float = 0.62) -> DataFrame:

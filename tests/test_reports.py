@@ -119,6 +119,14 @@ def test_agreement(spark):
     assert one["accuracy"] == 1.0 and one["specificity"] is None
 
 
+def test_forced_nodes_pass_cap_and_rarity(spark):
+    rows = [("receiver", "a", 5), ("receiver", "b", 4), ("receiver", "c", 3), ("receiver", "C", 1), ("area", "x", 1)]
+    node = spark.createDataFrame(rows, "kind string, value string, n long")
+    got = lambda forced: sorted((r["kind"], r["value"], r["rank"]) for r in graph.capped(node, 300, {"receiver": 1}, forced).collect())
+    assert got([]) == [("receiver", "a", 1)]
+    assert got(["receiver::c", "receiver::C", "area::x", "area::none"]) == [("area", "x", 1), ("receiver", "a", 1), ("receiver", "c", 3)]
+
+
 def test_graph(spark, small):
     edge = spark.createDataFrame([("k", "t::a", "t::b", 2), ("k", "t::b", "t::c", 1)], "kind string, source string, target string, n long")
     assert {r["id"]: r["betweenness"] for r in graph.betweenness(edge).collect()} == {"t::a": 0.0, "t::b": 1.0, "t::c": 0.0}
