@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where the session names none (local tests)."""
+    """The cluster's checkpoint folder. Where the session names none, a private one - under a local master only,
+    since other executors would not see it; elsewhere that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
+    if named is None and held.isDefined():
+        named = held.get()
     if named is None:
-        named = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='reportlake-shared-')}"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='reportlake-shared-')}"
     if not held.isDefined():
         sc.setCheckpointDir(named)
     return named
