@@ -5,14 +5,15 @@ such a place), and equal chunks have equal ids. The distinct new words of a batc
 first in sorted order: each node is a prefix whose state is the last token of the prefix's encoding, found from
 the states above it - the one token t ending here for which (last token before t, t) is a pair that merging
 leaves apart. States of shared prefixes are thus computed once, and the current path is all that is held. The
-ids of a word are read off its path. Chunks seen before come from a bounded table that outlives the task.
+ids of a word are read off its path. Chunks seen before come from a table of bounded bytes (KEPT_BYTES, in two halves:
+when the newer is full the older is given up), which a task frees when it ends.
 
 Equal to the tokenizers library on the same file for byte-level BPE with its usual splitting pattern, special
 tokens in the text included, add_special_tokens=False. Decoding concatenates the bytes of the tokens, invalid
 UTF-8 replaced. The job is narrow: no shuffle.
 
 Defined cases: a null text is the empty text, with no ids and the digest of nothing; very long texts are encoded
-whole; repeated rows each get a row; extra columns are ignored.
+whole; repeated rows each get a row, a null doc_id stays null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import trim
+
 #: Fixed value: the byte-level splitting pattern of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 #: Finds every place that BREAK passes over (and more: a wider notion of white space).
 LOOSE = re.compile(r" (?:\s|\Z)")
 BREAK = regex.compile(r" (?=\P{White_Space})")
-#: Chunks kept between batches.
-KEPT = 1_000_000
+#: Bytes that the table of chunks may take, about: text, ids and what Python adds to each.
+KEPT_BYTES, ADDED = 128 << 20, 190
+#: Pairs of tokens whose fit is remembered.
+PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -100,7 +105,7 @@ class Vocabulary:
         """Whether the bytes of two tokens encode to those two."""
         key = a << 32 | b
         if (x := self._apart.get(key)) is None:
-            if len(self._apart) > 1_500_000:
+            if len(self._apart) > PAIRS:
                 self._apart.clear()
             if self.regular and self.alone(a) and self.alone(b):
                 x = self._untouched(a, b)
@@ -182,24 +187,37 @@ class Vocabulary:
 class Chunks:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by way of distinct chunks.
 
-    learn: ids of new chunks, given those that start a text and those that a space precedes.
+    learn: ids of new chunks, given those that start a text and those that a space precedes (each with its space).
     """
 
     def __init__(self, special: dict[str, int], learn: Callable[[list[str], list[str]], tuple[list[bytes], list[bytes]]]):
         self.special, self.learn = special, learn
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks."""
+        self.older: dict[str, bytes] = {}
+        self.newer: dict[str, bytes] = {}
+        self.size = 0
+
+    def keep(self, chunk: str, ids: bytes) -> None:
+        """Put a chunk into the newer half; a chunk that alone would fill it is not kept."""
+        size = len(chunk) + len(ids) + ADDED
+        if size > KEPT_BYTES // 4:
+            return
+        if self.size + size > KEPT_BYTES // 2:
+            self.older, self.newer, self.size = self.newer, {}, 0
+        self.newer[chunk] = ids
+        self.size += size
 
     def split(self, text: str) -> list[str]:
         return BREAK.split(text) if LOOSE.search(text) else text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of a few texts. A table beyond KEPT chunks starts anew."""
-        if len(self.later) + len(self.first) > KEPT:
-            self.first, self.later = {"": b""}, {}
+        """Ids of a few texts."""
         parts: list[list] = []
-        new_first: set[str] = set()
-        new_later: set[str] = set()
+        first: dict[str, bytes] = {"": b""}
+        later: dict[str, bytes] = {}
         for text in texts:
             runs: list = [text or ""]
             for s, i in self.special.items():
@@ -208,21 +226,22 @@ class Chunks:
             for x in runs:
                 if isinstance(x, str):
                     chunks = self.split(x)
-                    head = chunks[0]
-                    if head not in self.first:
-                        new_first.add(head)
-                    found = list(map(self.later.get, chunks))
+                    first[chunks[0]] = b""
+                    found = list(map(self.newer.get, chunks))
                     found[0] = b""
-                    missing = [k for k, y in enumerate(found) if y is None] if None in found else []
-                    new_later.update([chunks[k] for k in missing])
-                    done.append((head, found, [(k, chunks[k]) for k in missing]))
+                    missing = [(k, chunks[k]) for k, y in enumerate(found) if y is None] if None in found else []
+                    later.update(dict.fromkeys([c for _, c in missing], b""))
+                    done.append((chunks[0], found, missing))
                 else:
                     done.append(x)
             parts.append(done)
-        a, b = list(new_first), list(new_later)
-        ids_a, ids_b = self.learn(a, b)
-        self.first.update(zip(a, ids_a, strict=True))
-        self.later.update(zip(b, ids_b, strict=True))
+        again = {c: ids for c in later if (ids := self.older.get(c)) is not None}
+        new_first, new_later = list(first), [c for c in later if c not in again]
+        ids_first, ids_later = self.learn(new_first, new_later)
+        first = dict(zip(new_first, ids_first, strict=True))
+        later = again | dict(zip(new_later, ids_later, strict=True))
+        for chunk, ids in later.items():
+            self.keep(chunk, ids)
         out = []
         for done in parts:
             pieces: list[bytes] = []
@@ -231,9 +250,9 @@ class Chunks:
                     pieces.append(x)
                     continue
                 head, found, missing = x
-                found[0] = self.first[head]
+                found[0] = first[head]
                 for k, chunk in missing:
-                    found[k] = self.later[chunk]
+                    found[k] = later[chunk]
                 pieces.append(b"".join(found))
             out.append(b"".join(pieces))
         return out
@@ -297,10 +316,18 @@ def library_chunks(text: str) -> Chunks:
 _HELD: dict = {}
 
 
+def freeing(chunks: Chunks, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches; after the last the table of chunks is freed, since idle workers keep what they hold."""
+    yield from batches
+    chunks.clear()
+    trim()
+
+
 def held(kind: str, text: str):
-    """The worker's encoder for a vocabulary file, built once for each Python process."""
+    """The worker's encoder for a vocabulary file, built once for each Python process (one file at a time)."""
     key = kind, hashlib.sha256(text.encode()).digest()
     if key not in _HELD:
+        _HELD.clear()
         if kind == "trie":
             v = Vocabulary(text)
             _HELD[key] = v, trie_chunks(v)
@@ -345,7 +372,7 @@ def encode_column(docs: DataFrame, vocabulary: str, column: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunks = held("trie", sent.value)
-        for b in batches:
+        for b in freeing(chunks, batches):
             at = 0
             for texts in groups(b.column(1)):
                 ids = [np.frombuffer(x, "<i4") for x in chunks.encode(texts)]
@@ -375,7 +402,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, chunks = held("trie", sent.value)
-        for b in batches:
+        for b in freeing(chunks, batches):
             n, ids_sha, text_sha, exact = [], [], [], []
             for texts in groups(b.column(1)):
                 for text, ids in zip(texts, chunks.encode(texts), strict=True):

@@ -2,56 +2,38 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import fresh_folder as scratch, remove as delete, shared_folder as checkpoint_dir, stored as written
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where the session names none (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        held = sc._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='reportlake-ck-')}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named
+__all__ = ["checkpoint_dir", "delete", "scratch", "written"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below the shared checkpoint folder, deleted when the driver's Python ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(delete, spark, path)
-    return path
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are used again and keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system; a stopped JVM leaves it to the cluster's clean-up."""
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - best effort at interpreter exit
-        pass
+def trimmed(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when its task ends."""
 
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table as Parquet in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return outer
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -133,16 +115,24 @@ def _place(uri: str) -> tuple[str, str]:
 # ---------------------------------------------------------------------------- connected components
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ends of an edge table (a, b): the smallest id that each can reach.
 
-    Rounds of star contraction (large-star and small-star in one): each node points to the smallest node near it,
-    until every node points to its component's smallest. Narrow rows only; lineage is cut every round.
+    Rounds of star contraction (large-star, then small-star): each node points to the smallest node near it, until a
+    round changes nothing, which takes about log(nodes)**2 rounds. Rows are narrow; each round is written to the
+    shared folder, which cuts its lineage, and the one before is deleted.
     """
-    from pyspark.sql import functions as F
+    spark = edges.sparkSession
+
+    def step(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        path = scratch(spark, "components")
+        df.write.parquet(path)
+        kept = spark.read.schema(df.schema).parquet(path)
+        mark = [F.count(F.lit(1)), *[F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (("a", "b"), ("b", "a", F.lit(1)))]]
+        return kept, path, tuple(kept.agg(*mark).first())
 
-    now = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
+    now, path, mark = step(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while mark[0]:
         # Large-star: larger neighbours move to the smallest of the neighbourhood (the node included).
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -150,25 +140,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small-star: a node and its smaller neighbours move to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        new = cut(small.where("a <> b").distinct())
-        if _same(new, now):
+        old, past = path, mark
+        now, path, mark = step(small.where("a <> b").distinct())
+        delete(spark, old)
+        if mark == past:
             break
-        now = new
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    from pyspark.sql import functions as F
-
-    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))]
-    return x.agg(*mark).first() == y.agg(*mark).first()
-
-
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files of finished steps: it learns of them when the JVM collects garbage."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -1,13 +1,17 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are hashed in the JVM; unigrams, bigrams and two skip-grams are mixed from the word hashes in numpy.
-Training takes a bounded sample of labelled rows (``max_rows`` of each label, a documented parameter) through
-one task; what it returns is a sparse weight vector of at most ``2**bits`` entries, which is the only thing
-broadcast. Scoring is one narrow pass over the corpus: no shuffle.
+Training takes a bounded sample of labelled rows through one task: in order of a hash, ``max_rows`` of each label
+at most and ``max_features`` distinct features of documents in all (both documented parameters; four bytes each, so
+the task's memory is bounded whatever the texts' lengths, and the document that crosses the bound is the last).
+What it returns is a sparse weight vector of at most ``2**bits`` entries, which is the only thing broadcast. Scoring
+is one narrow pass over the corpus: no shuffle.
 
 Defined cases: a null or empty text has no features and gets the model's base score; without labelled rows the
-score is 0.0; repeated documents get equal scores; a label row that repeats counts once (largest label); extra
-columns of the input are ignored.
+score is 0.0; repeated documents get equal scores; a label row that repeats counts once (largest label), one without
+id or label not at all; a document with a null doc_id is scored and never learned from; very long texts are scored
+whole, a piece of a batch at a time; ties of the sample's hash go by id; an empty table gives no rows; extra columns
+are ignored by ``toxicity`` and kept by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import trimmed
+
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -31,6 +37,7 @@ class Settings:
     l2: float = 1.0
     epochs: int = 8
     max_rows: int = 10_000  # of each label
+    max_features: int = 40_000_000  # of all documents learned from
     seed: int = 7
 
 
@@ -123,18 +130,20 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, np.ndarray]] = []
+        room = s.max_features
         for b in batches:
-            for start, piece in _pieces(b.column(1)):
+            for start, piece in _pieces(b.column(1)) if room > 0 else ():
                 y = b.column(0).slice(start, len(piece)).to_pylist()
                 ids, of = features(*_flat(piece, empty), s.bits)
                 key = np.unique((of.astype(np.int64) << s.bits) | ids)
                 ids, of = (key & ((1 << s.bits) - 1)).astype(np.int32), key >> s.bits
                 edge = np.searchsorted(of, np.arange(len(y) + 1))
-                rows += [(y[k], ids[edge[k] : edge[k + 1]]) for k in range(len(y))]
+                rows += [(y[k], ids[edge[k] : edge[k + 1]].copy()) for k in range(len(y)) if edge[k] < room]
+                room -= len(ids)
         at, w, bias = fit(rows, s) if rows else (np.zeros(0, np.int64), np.zeros(0), -35.0)
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias], "n": [len(rows)]})
 
-    got = found.mapInArrow(learn, "at binary, w binary, bias double, n long").collect()
+    got = found.mapInArrow(trimmed(learn), "at binary, w binary, bias double, n long").collect()
     best = max(got, key=lambda r: r["n"], default=None)
     if best is None or best["n"] == 0:
         return {"at": np.zeros(0, np.int32), "w": np.zeros(0), "bias": None, "empty": empty, "bits": s.bits}
@@ -165,7 +174,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             p = scores(b.column(1), sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -185,8 +194,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), lim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_columns - 1
-            keep = pa.array(scores(b.column(n), sent.value) < limit)
-            yield b.select(list(range(n))).filter(keep)
+            keep = pa.array(scores(b.column(1), sent.value) < limit)
+            yield b.select([0]).filter(keep)
 
-    return docs.withColumn("_words", word_hashes(F.col("text"))).mapInArrow(run, docs.schema)
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_hashes(F.col("text")).alias("words"))
+    return both.mapInArrow(trimmed(run), both.select("row").schema).select("row.*")
