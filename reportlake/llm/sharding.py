@@ -1,23 +1,25 @@
-"""Sharding by sampled splitters: sizes near equal (law ``bytes``).
+"""Sharding by sampled splitters: sizes near equal (law ``bytes``), equal texts together.
 
 The sort key is (hash of the text, doc_id), so equal texts are neighbours. A sample of keys drawn with chance
-proportional to size gives quantile boundaries of many fine ranges; exact byte totals of the ranges follow from
-one small aggregate, and overfull ranges are subdivided by a denser sample of their own until none is left. A
-record's place in the byte order is the total of the ranges before plus a running sum in its range; the shard is
-where the middle of its unit falls. A unit is a group of equal texts if it takes no more than ``whole`` of a shard
-(such groups are never divided), else the single record, so that a text that a third of the rows share is spread.
-
-Only narrow rows (identifier, size, checksum, hash) move. The driver holds the sample and a row for each range,
-both bounded by ``most_ranges``.
-
-Defined cases: a null text has size 1 and the checksum of nothing; a null doc_id sorts first; repeated rows each
-take a slot; a record larger than a shard's share takes its shard alone or nearly so; an empty table gives no rows.
-Records above ``heavy`` of a shard (at most shards / heavy of them) are dealt first, each to the lightest shard, and
-the boundaries of the rest fall where each shard still has room; they take the last slots of their shard.
+proportional to size gives quantile boundaries of many fine ranges, which fall between groups of equal texts; exact
+byte totals of the ranges follow from one small aggregate, and overfull ranges are subdivided by a denser sample of
+their own until none is left. Groups larger than a range (found exactly by an aggregate over hashes, at most one for
+each range's worth of bytes) are ranges of their own; of these, groups above ``whole`` of a shard are subdivided by
+doc_id, so that a text that a third of the rows share is spread. Ranges go to shards whole, largest first to the
+shard with most room, so shards differ by about a fine range at most; a record larger than a shard has its shard
+alone or nearly so. A slot is the rows of the shard's ranges before plus the row's number in its range.
+
+Only narrow rows (identifier, size, checksum, hash) move, by range. The driver holds the sample, the cuts and a row
+for each range: some 2 * ``most_ranges`` * ``keys_a_range`` keys at most, however many rows there are.
+
+Defined cases: a null text has size 1 and the checksum of nothing; a null doc_id sorts first; repeated rows (id and
+text) each take a slot and are never in different ranges; ties have no order beyond (hash, id, size, checksum); very
+long texts count by their whole size; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,21 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import trimmed, written
 
-SCHEMA = "doc_id long, size long, text_crc32 long, h long, rid int"
+LOW = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Settings:
     shards: int = 16
-    ranges_a_shard: int = 32
+    ranges_a_shard: int = 64
     rows_a_range: int = 100_000
     most_ranges: int = 65_536
     keys_a_range: int = 16
-    whole: float = 1 / 256
-    heavy: float = 1 / 64
-    rounds: int = 4
+    whole: float = 1 / 4
 
 
 def keys(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -51,22 +51,17 @@ def keys(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return both.view("S16").reshape(-1)
 
 
-def splitters(sample: list[tuple[int, int, int]], unit: float, step: float) -> list[tuple[int, int]]:
+def splitters(sample: list[tuple[int, int, int]], unit: float, step: float, between: bool = True) -> list[tuple[int, int]]:
     """Boundaries about ``step`` bytes apart; a sampled row stands for ``unit`` bytes, or its size if larger.
 
-    A boundary falls before a whole group of equal hashes, but for groups that cover several steps.
+    between: only before a whole group of equal hashes.
     """
-    rows = sorted(sample)
     out: list[tuple[int, int]] = []
-    held = 0.0
-    low = np.iinfo(np.int64).min
-    last = None
-    for h, i, size in rows:
-        if held >= step:
-            cut = (h, low) if h != last else (h, i)
-            if not out or cut > out[-1]:
-                out.append(cut)
-                held = 0.0
+    held, last = 0.0, None
+    for h, i, size in sorted(sample):
+        if held >= step and (h != last or not between):
+            out.append((h, LOW if between else i))
+            held = 0.0
         held += max(unit, size)
         last = h
     return out
@@ -78,89 +73,79 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).fill_null(np.iinfo(np.int64).min)
+            ids = b.column(0).fill_null(LOW)
             rid = np.searchsorted(sent.value, keys(np.asarray(b.column(3)), np.asarray(ids)), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(rid)], ["doc_id", "size", "text_crc32", "h", "rid"])
 
-    return rows.select("doc_id", "size", "text_crc32", "h").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "size", "text_crc32", "h").mapInArrow(trimmed(run), "doc_id long, size long, text_crc32 long, h long, rid int")
 
 
-def shard(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")), "shard-keys")
-    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    if not count:
-        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    # Fewer than shards / heavy records can be as large as that.
-    large = [tuple(r) for r in rows.where(F.col("size") > total / s.shards * s.heavy).orderBy(F.desc("size"), "h", "doc_id").collect()]
-    load, dealt, placed_large = [0] * s.shards, [0] * s.shards, []
-    for doc_id, size, crc, _ in large:
-        k = load.index(min(load))
-        placed_large.append((doc_id, size, crc, k, dealt[k]))
-        load[k], dealt[k] = load[k] + size, dealt[k] + 1
-    rows = rows.where(F.col("size") <= total / s.shards * s.heavy)
-    total, count = total - sum(load), count - len(large)
-    room = _room(total, load)
+def ranges(rows: DataFrame, total: int, count: int, s: Settings) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """rows with rid, and (bytes, rows) of each range. rows: doc_id, size, text_crc32, h."""
     n = int(min(s.most_ranges, max(s.shards * s.ranges_a_shard, count / s.rows_a_range)))
     step = max(1.0, total / n)
     chance = (F.xxhash64("doc_id", "h", F.lit(11)).cast("double") + 2.0**63) / 2.0**64
 
     def draw(of: DataFrame, unit: float) -> list[tuple[int, int, int]]:
-        got = of.where(chance < F.col("size") / F.lit(unit)).select("h", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min)), "size")
+        got = of.where(chance < F.col("size") / F.lit(unit)).select("h", F.coalesce("doc_id", F.lit(LOW)), "size")
         return [tuple(r) for r in got.toLocalIterator()]
 
     unit = step / s.keys_a_range
-    cuts = splitters(draw(rows, unit), unit, step)
-    for k in range(s.rounds):
-        ranged = _ranged(rows, cuts)
-        sums = {r["rid"]: (r["b"], r["n"], r["big"]) for r in ranged.groupBy("rid").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("big")).collect()}
-        over = [r for r, (b, m, big) in sums.items() if b > 2 * step + big and m > 1]
-        if not over or k == s.rounds - 1 or len(cuts) >= 2 * s.most_ranges:
-            break
-        dense = unit / 4 ** (k + 1)
-        cuts = sorted({*cuts, *splitters(draw(ranged.where(F.col("rid").isin(over)), dense), dense, step)})
-    base, at, rows_at = [], 0, 0
-    for r in sorted(sums):
-        base.append((r, at, rows_at))
-        at, rows_at = at + sums[r][0], rows_at + sums[r][1]
-    before = spark.createDataFrame(base, "rid int, bytes_before long, rows_before long")
-    order = [F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
-    placed = (
-        ranged.withColumn("upto", F.sum("size").over(Window.partitionBy("rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("rn", F.row_number().over(Window.partitionBy("rid").orderBy(*order)))
-        .withColumn("group_bytes", F.sum("size").over(Window.partitionBy("rid", "h")))
-        .withColumn("group_start", F.min(F.col("upto") - F.col("size")).over(Window.partitionBy("rid", "h")))
-        .join(F.broadcast(before), "rid")
-    )
-    whole = F.col("group_bytes") <= total / s.shards * s.whole
-    middle = F.when(whole, F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("upto") - F.col("size") / 2) + F.col("bytes_before")
-    done = written(
-        placed.select("doc_id", "size", "text_crc32", sum((F.when(middle >= float(edge), 1).otherwise(0) for edge in room), F.lit(0)).alias("shard"), (F.col("rows_before") + F.col("rn") - 1).alias("place")),
-        "shard-places",
+    # Fewer than total / step groups are as large as that.
+    large = {r["h"]: r["b"] for r in rows.groupBy("h").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("m")).where(F.col("b") > step).toLocalIterator()}
+    divided = [h for h, b in large.items() if b > total / s.shards * s.whole]
+    cuts = {c for h in large for c in [(h, LOW), *([(h + 1, LOW)] if h < (1 << 63) - 1 else [])]}
+    cuts |= set(splitters(draw(rows, unit), unit, step))
+    if divided:
+        sample = draw(rows.where(F.col("h").isin(divided)), unit)
+        for h in divided:
+            cuts |= set(splitters([x for x in sample if x[0] == h], unit, step, between=False))
+    while True:
+        ranged = _ranged(rows, sorted(cuts))
+        facts = ranged.groupBy("rid").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("h").alias("h"), F.max("h").alias("h2"))
+        found = {r["rid"]: r for r in facts.toLocalIterator()}
+        over = [k for k, r in found.items() if r["b"] > 2 * step and r["h"] != r["h2"]]
+        if not over:
+            return ranged, {k: (r["b"], r["n"]) for k, r in found.items()}
+        # Four times as dense each time: at the latest when all keys are drawn, no range has two groups beyond a step.
+        unit /= 4
+        cuts |= set(splitters(draw(ranged.where(F.col("rid").isin(over)), unit), unit, step))
+
+
+def dealt(sums: dict[int, tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """(range, shard, slot of its first row): largest ranges first, each to the shard with most room."""
+    load = [(0, k) for k in range(shards)]
+    of: dict[int, int] = {}
+    for rid, (size, _) in sorted(sums.items(), key=lambda x: (-x[1][0], x[0])):
+        held, k = heapq.heappop(load)
+        of[rid] = k
+        heapq.heappush(load, (held + size, k))
+    slots, out = [0] * shards, []
+    for rid in sorted(of):
+        out.append((rid, of[rid], slots[of[rid]]))
+        slots[of[rid]] += sums[rid][1]
+    return out
+
+
+def shard(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = written(docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")), "shard-keys")
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ranged, sums = ranges(rows, total, count, s)
+    places = docs.sparkSession.createDataFrame(dealt(sums, s.shards), "rid int, shard int, first long")
+    order = Window.partitionBy("rid").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    placed = ranged.withColumn("n", F.row_number().over(order)).join(F.broadcast(places), "rid")  # a row for each range: bounded
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
-    counts = dict(tuple(r) for r in done.groupBy("shard").count().collect())
-    first, seen = [], 0
-    for k in range(s.shards):
-        first.append(seen)
-        seen += counts.get(k, 0)
-    starts = F.array(*[F.lit(x).cast("long") for x in first])
-    light = done.select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.get(starts, F.col("shard"))).alias("slot"))
-    heavy = spark.createDataFrame([(*r[:4], r[4] + counts.get(r[3], 0)) for r in placed_large], "doc_id long, size long, text_crc32 long, shard int, slot long")
-    both = light.unionByName(heavy)
-    return both.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _room(total: int, load: list[int]) -> list[float]:
-    """Where, in ``total`` bytes in order, one shard ends and the next begins, given what each already holds."""
-    level = (total + sum(load)) / len(load)
-    free = [max(0.0, level - x) for x in load]
-    scale = total / sum(free) if sum(free) else 0.0
-    return list(np.cumsum(free)[:-1] * scale)
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Documents by shard folder, in slot order within a shard's files."""
-    both = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    both.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Documents by shard folder, in slot order within a shard's files. Rows meet by id and text, each in its place."""
+    n = Window.partitionBy("doc_id", "text_crc32").orderBy("shard", "slot")
+    keyed = placed.select("doc_id", "text_crc32", "shard", "slot").withColumn("nth", F.row_number().over(n))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
+    whole = whole.withColumn("k", F.row_number().over(Window.partitionBy("id", "crc").orderBy(F.xxhash64("row"))))
+    both = whole.join(keyed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("crc") == F.col("text_crc32")) & (F.col("k") == F.col("nth")))
+    both.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "slot", "row").write.partitionBy("shard").parquet(path)
