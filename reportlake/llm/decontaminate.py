@@ -9,12 +9,16 @@ q-grams with the segment, all within diagonals at most k apart; documents are fi
 all segments together in a sliding window, then by segment and diagonal band (bands of 2k + 1 diagonals that
 overlap by half, so no alignment straddles). What is left is aligned in a band of the edit budget.
 
+Items too short for that (under q + 8 bytes in normal form) are found where they stand unedited, as whole words, by
+one automaton over all of them; pieces of under two q-grams (24 bytes) are searched without edits.
+
 The benchmark is sent to executors in blocks of at most ``block_bytes`` (one block here); a larger benchmark is
-taken block by block. The pass over documents is narrow: no shuffle.
+taken block by block, each a further narrow step over the same rows. No shuffle of documents.
 
-Defined cases: null and empty texts and items match nothing; items shorter than q + 8 bytes in normal form are
-too short to be evidence and match nothing; repeated documents each get a row (rows of one doc_id get one, where the
-benchmark takes several blocks); extra columns are ignored.
+Defined cases: null and empty texts and items, and items of no letter or digit, match nothing; an item whose id is
+null is left out, rows of one item_id are one item; documents keep a row each, whatever their ids (null, repeated);
+very long texts are searched whole; an empty table gives no rows; extra columns are ignored by ``decontaminate`` and
+kept by ``keep_clean``. Of equally good places of an item the first found is named.
 """
 
 from __future__ import annotations
@@ -23,10 +27,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import trimmed
+
 OTHER = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -48,7 +55,8 @@ def segments(text: bytes, s: Settings) -> list[tuple[bytes, int]]:
     """Half-overlapping pieces that cover a text, with their edit budgets; a text of under two pieces is there as a whole, too."""
     if len(text) < s.q + 8:
         return []
-    whole = [(text, int(s.rate * len(text)))]
+    # Under two q-grams, the lemma leaves no q-gram to look for beside an edit.
+    whole = [(text, int(s.rate * len(text)) if len(text) >= 2 * s.q else 0)]
     if len(text) <= s.segment:
         return whole
     # Pieces that are nearly the whole count unedited only: with edits, it is for the whole to decide.
@@ -75,15 +83,23 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], s: Settings):
         self.s, self.parts, self.item, budget = s, [], [], []
+        short: dict[str, set[int]] = {}
         for item, text in items:
-            for piece, edits in segments(normal(text), s):
+            plain = normal(text)
+            if 0 < len(plain) < s.q + 8:
+                short.setdefault(f" {plain.decode('latin-1')} ", set()).add(item)
+            for piece, edits in segments(plain, s):
                 self.parts.append(piece)
                 budget.append(edits)
                 self.item.append(item)
         self.k = np.array(budget, np.int64)
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for text, ids in short.items():
+                self.short.add_word(text, (len(text) - 2, sorted(ids)))
+            self.short.make_automaton()
         m = np.array([len(p) for p in self.parts], np.int64)
-        # An edit budget that leaves the lemma no q-gram is lowered until it leaves one.
-        self.k = np.minimum(self.k, np.maximum(0, (m - s.q) // s.q))
         self.least = m + 1 - s.q - self.k * s.q
         grams = [codes(np.frombuffer(p, np.uint8), s.q) for p in self.parts]
         self.code = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -100,22 +116,32 @@ class Index:
         self.flag = int(np.min(-(-self.least // cover))) if len(m) else 1 << 60
         self.longest = int((m + 2 * self.k).max()) if len(m) else 0
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) in the normal form: the best alignment for each item with one in budget."""
+    def search(self, text: bytes) -> dict[int, tuple[int, int, int]]:
+        """By item, (edits, start, end) in the normal form of the best alignment in budget."""
+        best: dict[int, tuple[int, int, int]] = {}
+        if self.short is not None:
+            # Bytes as characters of their own, so that places are those of the bytes.
+            for end, (n, ids) in self.short.iter(f" {text.decode('latin-1')} "):
+                for item in ids:
+                    best.setdefault(item, (0, end - n - 1, end - 1))
+        self._search_long(text, best)
+        return best
+
+    def _search_long(self, text: bytes, best: dict[int, tuple[int, int, int]]) -> None:
         s = self.s
         data = np.frombuffer(text, np.uint8)
         if len(data) < s.q or not self.parts:
-            return []
+            return
         code = codes(data, s.q)
         hit = self.seen[code >> self.shift]
         if np.count_nonzero(hit) < self.flag:
-            return []
+            return
         total = np.concatenate([[0], np.cumsum(hit)])
         n = len(hit)
         ends = np.minimum(np.arange(n) + s.window, n)
         dense = (total[ends] - total[:-1]) >= self.flag
         if not dense.any():
-            return []
+            return
         near = np.zeros(n + 1, np.int64)
         at = np.flatnonzero(dense)
         np.add.at(near, np.maximum(0, at - self.longest), 1)
@@ -126,12 +152,9 @@ class Index:
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         pos, part, place = np.repeat(at, many), self.part[where], self.place[where]
         diagonal = pos - place + int(max((len(p) for p in self.parts), default=0))
-        best: dict[int, tuple[int, int, int]] = {}
         wide = self.k[part] + 1
-        counts = self._counts(part, diagonal // wide)
-        for p, step in counts:
+        for p, step in self._counts(part, diagonal // wide):
             self._align(text, p, step, best)
-        return [(item, a, b, e) for item, (e, a, b) in sorted(best.items())]
 
     def _counts(self, part: np.ndarray, step: np.ndarray) -> list[tuple[int, int]]:
         """(segment, first step) of the bands of two steps that hold enough q-gram hits."""
@@ -147,64 +170,65 @@ class Index:
             return
         shift = int(max(len(x) for x in self.parts))
         first = step * (k + 1) - shift  # the band's lowest diagonal: document place less segment place
-        lo, hi = max(0, first - k), max(0, min(len(text), first + 2 * (k + 1) + k + len(piece)))
-        at = text.find(piece, lo, hi)
+        last = first + 2 * k + 1
+        at = text.find(piece, max(0, first), max(0, last + len(piece)))
         if at >= 0:
             best[item] = (0, at, at + len(piece))
             return
-        found = banded(piece, text[lo:hi], k)
+        found = banded(piece, text, first, last, k)
         if found is not None and (item not in best or found[0] < best[item][0]):
-            best[item] = (found[0], lo + max(0, found[1] - len(piece)), lo + found[1])
-
-
-def banded(piece: bytes, text: bytes, k: int) -> tuple[int, int] | None:
-    """(edits, end) of the best stretch of a short window that aligns with the piece, or None beyond k edits."""
-    a, t = np.frombuffer(piece, np.uint8), np.frombuffer(text, np.uint8)
-    n = len(t)
-    ramp = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
-    for i, c in enumerate(a):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        np.minimum(row[1:] + 1, row[:-1] + (t != c), out=new[1:])
-        row = np.minimum.accumulate(new - ramp) + ramp
+            best[item] = (found[0], max(0, found[1] - len(piece)), found[1])
+
+
+def banded(piece: bytes, text: bytes, first: int, last: int, k: int) -> tuple[int, int] | None:
+    """(edits, end) of the best alignment of the piece with a stretch of the text, or None beyond k edits.
+
+    Only diagonals (text place less piece place) from first to last are filled: 2k + 2 cells for each byte of the piece.
+    """
+    n, far = len(text), 1 << 20
+    diagonal = np.arange(first, last + 1)
+    # Places first - 1 to last + len(piece) of the text; those outside it match nothing.
+    lo, hi = max(0, first), min(n, last + len(piece) + 1)
+    around = np.full(last - first + 1 + len(piece), -1, np.int16)
+    if hi > lo:
+        around[lo - first : hi - first] = np.frombuffer(text, np.uint8, hi - lo, lo)
+    ramp = np.arange(len(diagonal))
+    row = np.where((diagonal >= 0) & (diagonal <= n), 0, far)
+    for i, c in enumerate(piece):
+        new = row + (around[i : i + len(diagonal)] != c)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.minimum.accumulate(new - ramp) + ramp
+        place = diagonal + i + 1
+        row = np.where((place >= 0) & (place <= n), new, far)
         if row.min() > k:
             return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= k else None
+    at = int(row.argmin())
+    return int(row[at]), int(diagonal[at]) + len(piece)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_items, items (benchmark ids found, ascending), spans (of the normal form), contaminated."""
     spark = docs.sparkSession
-    parts: list[DataFrame] = []
+    held = "array<struct<item: long, edits: int, start: long, stop: long>>"
+    now = docs.select("doc_id", "text", F.array().cast(held).alias("found"))
     for block in _blocks(benchmark, s):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, s)
             for b in batches:
-                found = [index.search(normal(x.as_py())) for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        pa.array([[f[0] for f in x] for x in found], pa.list_(pa.int64())),
-                        pa.array([[f"{f[0]}:{f[1]}-{f[2]}~{f[3]}" for f in x] for x in found], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "items", "spans"],
-                )
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>, spans array<string>"))
-    if len(parts) == 1:
-        one = parts[0]
-    else:  # one row a document again
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-        one = both.groupBy("doc_id").agg(
-            F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
-        )
-    return one.select("doc_id", F.size("items").alias("n_items"), "items", "spans", (F.size("items") > 0).alias("contaminated"))
+                out = []
+                for text, before in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                    best = {f["item"]: (f["edits"], f["start"], f["stop"]) for f in before}
+                    for item, place in index.search(normal(text.as_py())).items():
+                        if item not in best or place[0] < best[item][0]:
+                            best[item] = place
+                    out.append([{"item": i, "edits": e, "start": x, "stop": y} for i, (e, x, y) in sorted(best.items())])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, b.column(2).type)], ["doc_id", "text", "found"])
+
+        now = now.mapInArrow(trimmed(run), now.schema)
+    span = lambda f: F.format_string("%d:%d-%d~%d", f["item"], f["start"], f["stop"], f["edits"])
+    return now.select("doc_id", F.size("found").alias("n_items"), F.col("found.item").alias("items"), F.transform("found", span).alias("spans"), (F.size("found") > 0).alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -218,19 +242,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings())
             for b in batches:
                 yield b.filter(pa.array([not index.search(normal(x.as_py())) for x in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs
 
 
-def _blocks(benchmark: DataFrame, s: Settings) -> list[list[tuple[int, str | None]]]:
-    """Items in blocks of bounded size; at least one block, which may be empty."""
-    blocks: list[list[tuple[int, str | None]]] = [[]]
-    held = 0
+def _blocks(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, str | None]]]:
+    """Items in blocks of bounded size, one at a time on the driver; at least one block, which may be empty."""
+    block: list[tuple[int, str | None]] = []
+    size, any_ = 0, False
     for r in benchmark.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
-        size = len(r["text"] or "") * 3
-        if held + size > s.block_bytes and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        held += size
-    return blocks
+        if block and size + 3 * len(r["text"] or "") > s.block_bytes:
+            yield block
+            block, size, any_ = [], 0, True
+        block.append((r["item_id"], r["text"]))
+        size += 3 * len(r["text"] or "")
+    if block or not any_:
+        yield block
