@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions, release, utf8, written
+from .common import partitions, release, trimmed, utf8, written
 
 #: Bytes of a string, of an anchor, and anchors in a string.
 LENGTH, GRAM = 100, 32
@@ -405,16 +405,17 @@ def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
             offsets, data = utf8(b.column(3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([z.compress(data[lo:hi]) for lo, hi in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["part", "doc_id", "th", "packed"])
 
-    packed = keyed.mapInArrow(pack, "part int, doc_id long, th long, packed binary").groupBy("part")
+    # Both sides of a cogroup are dealt into as many partitions as there are parts, whatever the session's setting.
+    packed = keyed.mapInArrow(pack, "part int, doc_id long, th long, packed binary").repartition(parts, "part").groupBy("part")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
-    one = written(dealt(keyed.mapInArrow(first_round(parts), MOVED)).mapInArrow(second_round, MOVED), "suffix-runs")
+    one = written(dealt(keyed.mapInArrow(trimmed(first_round(parts)), MOVED)).mapInArrow(trimmed(second_round), MOVED), "suffix-runs")
     release(spark)
     asked = one.where(F.col("kind") == ASKED)
-    strings = packed.cogroup(asked.groupBy("part")).applyInArrow(third_round(parts), MOVED)
-    two = written(dealt(strings).mapInArrow(fourth_round, MOVED), "suffix-strings")
+    strings = packed.cogroup(asked.repartition(parts, "part").groupBy("part")).applyInArrow(third_round(parts), MOVED)
+    two = written(dealt(strings).mapInArrow(trimmed(fourth_round), MOVED), "suffix-strings")
     release(spark)
     repeats = one.where(F.col("kind") == REPEATS).unionByName(two)
-    return packed.cogroup(repeats.groupBy("part")).applyInArrow(_last_round(digest), DIGEST if digest else RESULT)
+    return packed.cogroup(repeats.repartition(parts, "part").groupBy("part")).applyInArrow(_last_round(digest), DIGEST if digest else RESULT)

@@ -6,8 +6,11 @@ vocabulary allows and else 32-bit. Files of lost attempts are never listed: a fi
 file) holds only what finished tasks report. Starts come from sums over the manifest. Readers open a file's
 footer and decompress the frames of the documents they want.
 
+Tables of chunks (bpe.py, 128 MB at most for each Python worker) outlive a task here, since most chunks come again.
+
 Defined cases: a null text is empty and has the end id only; a null doc_id sorts first and comes back null;
-repeated rows each have their place, ordered by a hash of the text; an empty table gives no rows.
+repeated rows each have their place, ordered by a hash of the text; very long texts are encoded whole, in frames of
+their own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import groups, held
-from .common import partitions, scratch
+from .common import partitions, scratch, trimmed
 from .frames import Reader, Writer
 
 NULL_ID = -(1 << 63)
@@ -55,7 +58,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2, en
             n = out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "docs": [docs_], "tokens": [tokens], "bytes": [n], "kind": [kind]})
 
-    files = sorted((r.asDict() for r in rows.mapInArrow(run, MANIFEST).collect()), key=lambda r: r["part"])
+    files = sorted((r.asDict() for r in rows.mapInArrow(trimmed(run), MANIFEST).collect()), key=lambda r: r["part"])
     start = 0
     for f in files:
         f["start"] = start

@@ -6,10 +6,13 @@ smallest page_id becomes a response, the others revisit it. Equality is that of
 responds is settled on narrow rows (identifier, digest); the html itself moves once, by page_id, never by digest,
 so a payload that a third of the pages share loads no single task.
 
+A bundle begins with a warcinfo record, which is not among the records read back.
+
 Defined cases: a null html is an empty payload, and empty payloads revisit each other like any; a null url
-becomes urn:page:<id>; a null page_id is written as such and comes back null; rows that repeat both identifier
-and payload of a response are responses too; an empty table gives no bundle and no rows; payloads below
-``least`` bytes are always responses.
+becomes urn:page:<id>; a null page_id gets a record identifier of its own and comes back null; page_id is the key of
+records, so rows that repeat it have records of one identifier; rows that repeat both identifier and payload of a
+response are responses too; very long pages are frames of their own; an empty table gives no bundle and no rows;
+payloads below ``least`` bytes are always responses; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import partitions, scratch
 from .frames import Reader, Writer
 
-NULL_ID = -(1 << 63)
+NULL_ID, INFO_ID = -(1 << 63), 1 - (1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -40,7 +43,7 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, respo
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if response is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
+        f"WARC-Record-ID: <urn:page:{f'null:{uuid.uuid4().hex}' if page is None else page}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -52,6 +55,13 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, respo
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str) -> bytes:
+    """The record that a bundle begins with."""
+    block = b"software: reportlake\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse(data: bytes) -> dict:
     """Headers, HTTP headers and payload of a record; a damaged one raises ValueError."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -92,7 +102,9 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             for page, sha1, url, data, response in zip(*(b.column(i) for i in range(5)), strict=True):
                 page, response = page.as_py(), response.as_py()
                 digest = base64.b32encode(bytes.fromhex(sha1.as_py())).decode()
-                out = out or Writer(uri)
+                if out is None:
+                    out = Writer(uri)
+                    out.add(INFO_ID, info(uri.rpartition("/")[2]))
                 out.add(NULL_ID if page is None else page, record(page, url.as_py(), data.as_py(), digest, response))
                 n += 1
         if out:
@@ -115,6 +127,8 @@ def read_bundles(manifest: DataFrame, keys: list[int] | None = None) -> DataFram
             for uri in b.column(0).to_pylist():
                 reader = Reader(uri)
                 for key, data in reader.pieces(keys):
+                    if key == INFO_ID:
+                        continue
                     r = parse(data)
                     said = r["warc"]["WARC-Payload-Digest"].removeprefix("sha1:")
                     if (kind := r["warc"]["WARC-Type"]) == "response":
