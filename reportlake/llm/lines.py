@@ -6,19 +6,23 @@ then place in the document - whether or not that one stays itself: lines are jud
 
 Lines of fewer than ``least_words`` words match equal lines alone, since one edit may change all that they say.
 
-1. Lines with words become narrow rows with a 128-bit digest. Equal lines of any length: one aggregate by digest,
-   combined before the shuffle; all but the first go.
-2. First occurrences of at least ``least_words`` words within one edit of another share, for some n, the first n // 2 or the last n - n // 2 words
-   (n: words of the shorter). Lines without such a partner need no neighbourhood.
-3. The others emit the hashed variants of their deletion neighbourhood: each word left out with its place marked
-   (substitutions meet there), each word left out (the longer line) and the line itself (the shorter). Equal
-   variants join through their earliest line alone, so that a variant that a third of all lines share yields a row
-   for each line and never a pair for each two.
-4. The word edit distance of each line and the earliest line found is verified on the texts.
-
-Defined cases: null and empty texts have no lines to lose; blank lines stay; rows that repeat id and text
-are one document and lose the same lines; a null doc_id comes first; very long lines are treated whole; extra
-columns are kept.
+1. Lines with words become narrow rows with a 128-bit digest, in array operations over many lines (word_arrays.py).
+   Equal lines of any length: one aggregate by digest, combined before the shuffle; all but the first go.
+2. First occurrences of at least ``least_words`` words within one edit of another share, for some n, the first
+   n // 2 or the last n - n // 2 words (n: words of the shorter). Lines without such a partner need no neighbourhood.
+3. The others get an ordinal in the order of lines and emit the hashed variants of their deletion neighbourhood:
+   each word left out with its place marked (substitutions meet there), each word left out (the longer line) and the
+   line itself (the shorter). Equal variants join through their earliest line alone, so that a variant that a third
+   of all lines share yields a row for each line and never a pair for each two.
+4. The word edit distance of each line and the earliest line found is verified on the texts. A line that is the
+   earliest of very many is sent once for each of up to ``salts`` shares of them.
+
+Joins by digest and by variant are of a large side that adaptive execution splits, with one row a key at the other.
+
+Defined cases: null and empty texts have no lines to lose; blank lines stay; an empty table gives no rows; rows that
+repeat id and text are one document and lose the same lines; of rows with one id and different texts the smaller
+hash of the text is earlier; a null doc_id comes first; very long lines are treated whole; extra columns are kept,
+whatever their names, but that ``dedup`` puts its own n_lines and n_removed in the place of columns called so.
 """
 
 from __future__ import annotations
@@ -29,51 +33,97 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import trimmed, utf8, written
+from .word_arrays import Runs, mixed, words
+
+#: Bytes of text worked on at a time (or one document of any length).
+CHUNK = 1 << 19
+NEWLINE = ord("\n")
 
 
 @dataclass(frozen=True)
 class Settings:
     least_words: int = 5
+    salts: int = 64
 
 
-def hashed(n: int, kind: str, words: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(f"{n}{kind} {' '.join(words)}".encode()) - (1 << 63)
+def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    start = 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+        yield start, min(stop, len(offsets) - 1)
+        start = stop
 
 
-def partner_keys(w: list[str]) -> list[int]:
-    """Of two lines within one edit, some key of the one is a key of the other."""
+def partner_keys(runs: Runs, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Four keys for each line: of two lines within one edit, some key of the one is a key of the other."""
     out = []
-    for n in (len(w), len(w) - 1):
-        out += [hashed(n, "p", w[: n // 2]), hashed(n, "s", w[len(w) - (n - n // 2) :])]
-    return out
-
-
-def variants(w: list[str]) -> Iterator[tuple[int, int]]:
-    """(key, kind) of the deletion neighbourhood; kinds: 0 one word substituted, 1 the longer line, 2 the shorter."""
-    marks = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in w], np.uint64)
-    n = len(w)
-    place = np.arange(1, n + 1, dtype=np.uint64)
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-
-    at = mixed(marks + place * np.uint64(0x9E3779B97F4A7C15))  # a word in its place
-    before = mixed(marks + (place - np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))  # in its place once an earlier one is gone
-    whole = at.sum(dtype=np.uint64)
-    for kind, size, keys in (
-        (0, n, whole - at + mixed(place * np.uint64(0xD6E8FEB86659FD93))),
-        (1, n - 1, np.concatenate([[np.uint64(0)], np.cumsum(at, dtype=np.uint64)[:-1]]) + before.sum(dtype=np.uint64) - np.cumsum(before, dtype=np.uint64)),
-        (2, n, np.array([whole], np.uint64)),
+    for n in (hi - lo, hi - lo - 1):
+        half = n // 2
+        out += [runs.of(lo, lo + half, 1) + n.astype(np.uint64) * np.uint64(0xA0761D6478BD642F), runs.of(hi - (n - half), hi, 2) + n.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)]
+    return np.stack(out, 1)
+
+
+def lines_of(data: np.ndarray, edges: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """(document, line number, digest halves, number of words, partner keys) of the lines with words of some texts."""
+    start, hash1, hash2 = words(data, edges)
+    feeds = np.flatnonzero(data == NEWLINE) + 1
+    begins = np.sort(np.concatenate([edges[:-1], feeds]), kind="stable")
+    # A feed that ends a text begins a line of that text, which is empty: nothing is lost in saying it is the next one's.
+    first = np.searchsorted(start, begins)
+    last = np.append(first[1:], len(start))
+    full = last > first
+    lo, hi = first[full], last[full]
+    doc = np.searchsorted(edges, start[lo], "right") - 1
+    number = np.searchsorted(feeds, start[lo], "right") - np.searchsorted(feeds, edges[doc], "right")
+    one = Runs(hash1)
+    long_enough = hi - lo >= s.least_words
+    keys = partner_keys(one, lo[long_enough], hi[long_enough]).view(np.int64)
+    return doc, number, one.of(lo, hi).view(np.int64), Runs(hash2).of(lo, hi).view(np.int64), np.where(long_enough, 4, 0), keys
+
+
+def line_rows(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, th, line_no, h1, h2, keys (short lines: none) of the lines with words; one narrow pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = utf8(b.column(2))
+            for lo, hi in chunks(offsets):
+                doc, number, h1, h2, many, keys = lines_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], s)
+                who = b.select([0, 1]).take(pa.array(doc + lo))
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*who.columns, pa.array(number, pa.int32()), pa.array(h1), pa.array(h2), listed], ["doc_id", "th", "line_no", "h1", "h2", "keys"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(trimmed(run), "doc_id long, th long, line_no int, h1 long, h2 long, keys array<long>")
+
+
+def variants(hashes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, kind) of the deletion neighbourhoods of lines, given their words' hashes end to end and how many each has.
+
+    Kinds: 0 one word substituted, 1 the longer line, 2 the shorter.
+    """
+    line = np.repeat(np.arange(len(many)), many)
+    begin = np.concatenate([[0], np.cumsum(many)])
+    place = (np.arange(len(hashes)) - begin[line] + 1).astype(np.uint64)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    at = mixed(hashes + place * step)  # a word in its place
+    before = mixed(hashes + (place - np.uint64(1)) * step)  # in its place once an earlier one is gone
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (at, before)]
+    whole = sums[0][begin[1:]] - sums[0][begin[:-1]]
+    here = np.arange(len(hashes))
+    longer = sums[0][here] - sums[0][begin[line]] + sums[1][begin[line + 1]] - sums[1][here + 1]
+    parts = []
+    for kind, own, size, keys in (
+        (0, line, many[line], whole[line] - at + mixed(place * np.uint64(0xD6E8FEB86659FD93))),
+        (1, line, many[line] - 1, longer),
+        (2, np.arange(len(many)), many, whole),
     ):
-        keys = mixed(keys + np.uint64((size << 1 | (kind > 0)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-        for k in dict.fromkeys(keys.tolist()):
-            yield k, kind
+        tag = (size.astype(np.uint64) * np.uint64(2) + np.uint64(kind > 0)) * step
+        parts.append((own, mixed(keys + tag).view(np.int64), np.full(len(own), kind, np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -88,29 +138,6 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[k + 1 :] == (b[k + 1 :] if len(a) == len(b) else b[k:])
 
 
-def line_rows(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, th, line_no, h1, h2, keys (short lines: none) of the lines with words; one narrow pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "th", "line_no", "h1", "h2", "keys"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        rows: list[tuple] = []
-        for b in batches:
-            for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    w = line.split()
-                    if w:
-                        d = xxhash.xxh3_128_digest(" ".join(w).encode())
-                        rows.append((doc_id, th, k, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), partner_keys(w) if len(w) >= s.least_words else []))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, line_no int, h1 long, h2 long, keys array<long>")
-
-
 def _compressed(text: pd.Series) -> pd.Series:
     z = zstandard.ZstdCompressor(level=1)
     return text.map(lambda x: None if x is None else z.compress(x.encode()))
@@ -122,10 +149,9 @@ def packed(column: str) -> Column:
 
 
 def _with_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """docs (doc_id, th, packed, ...) with the array of their line numbers (null: none). lines: doc_id, th, line_no."""
-    listed = lines.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("line_no").alias("line_nos"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_t"))
-    return docs.join(listed, same, "left").drop("_d", "_t")
+    """docs (row, id, th, packed) with the array of their line numbers (null: none). lines: doc_id, th, line_no."""
+    listed = lines.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("line_no").alias("line_nos"))
+    return docs.join(listed, F.col("id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")), "left").drop("d", "t")
 
 
 def removed_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -139,18 +165,18 @@ def removed_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     busy = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     wanted = keyed.join(busy, "k").select("lid").distinct()
     near = firsts.drop("keys").withColumn("lid", F.xxhash64("doc_id", "th", "line_no")).join(wanted, "lid", "left_semi").drop("lid")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), packed("text").alias("packed"))
-    held = written(_with_lines(texts, near).where("line_nos is not null").dropDuplicates(["doc_id", "th"]).mapInArrow(_chosen, "doc_id long, th long, line_no int, line string"), "near-lines")
-    around = held.mapInArrow(_variants, "doc_id long, th long, line_no int, key long, kind int")
-    earliest = around.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, here)).alias(f"e{k}") for k in range(3)], F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), packed("text").alias("packed"))
+    chosen = _with_lines(texts, near).where("line_nos is not null").dropDuplicates(["id", "th"]).select("id", "th", "packed", "line_nos").mapInArrow(trimmed(_chosen), "doc_id long, th long, line_no int, line string")
+    # Ordinals follow the order of lines: partitions in order of range, rows sorted in each; fixed once they are written.
+    ordered = chosen.repartitionByRange(F.col("doc_id").asc_nulls_first(), "th", "line_no").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "th", "line_no")
+    held = written(ordered.withColumn("o", F.monotonically_increasing_id()), "near-lines")
+    around = held.select("o", "line").mapInArrow(trimmed(_variants), "o long, key long, kind byte")
+    earliest = around.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, F.col("o"))).alias(f"e{k}") for k in range(3)], F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     other = F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1"))
-    pairs = around.join(earliest, "key").withColumn("e", other).where(F.col("e") < here).groupBy("doc_id", "th", "line_no").agg(F.min("e").alias("e"))
-    later = held.select(*[F.col(c).alias(f"e_{c}") for c in held.columns])
-    match = [F.col(f"e.{c}").eqNullSafe(F.col(f"e_{c}")) for c in ("doc_id", "th", "line_no")]
-    both = pairs.join(later, match[0] & match[1] & match[2]).select("doc_id", "th", "line_no", F.col("e_line"))
-    mine = held.select(*[F.col(c).alias(f"m_{c}") for c in held.columns])
-    match = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ("doc_id", "th", "line_no")]
-    checked = both.join(mine, match[0] & match[1] & match[2]).select("doc_id", "th", "line_no", "m_line", "e_line").mapInArrow(_verified, "doc_id long, th long, line_no int")
+    pairs = written(around.join(earliest, "key").withColumn("e", other).where("e < o").groupBy("o").agg(F.min("e").alias("e")).withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(s.salts))), "line-pairs")
+    asked = pairs.select("e", "salt").distinct().join(held.select(F.col("o").alias("e"), F.col("line").alias("e_line")), "e")
+    both = pairs.join(asked, ["e", "salt"]).select("o", "e_line").join(held, "o")
+    checked = both.select("doc_id", "th", "line_no", "line", "e_line").mapInArrow(_verified, "doc_id long, th long, line_no int")
     return equal.unionByName(checked)
 
 
@@ -158,12 +184,14 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
     for b in batches:
         out: list[tuple] = []
+        size = 0
         for doc_id, th, data, nos in zip(*(b.column(i) for i in range(4)), strict=True):
             lines = z.decompress(data.as_py()).decode().split("\n")
             out += [(doc_id.as_py(), th.as_py(), k, lines[k]) for k in sorted(nos.as_py())]
-            if len(out) > 10_000:
+            size += len(data.as_py())
+            if len(out) > 10_000 or size > CHUNK:
                 yield _line_batch(out)
-                out = []
+                out, size = [], 0
         if out:
             yield _line_batch(out)
 
@@ -175,16 +203,12 @@ def _line_batch(out: list[tuple]) -> pa.RecordBatch:
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at, key, kind = [], [], []
-        for i, line in enumerate(b.column(3)):
-            for k, v in variants(line.as_py().split()):
-                at.append(i)
-                key.append(k)
-                kind.append(v)
-            if len(at) > 100_000 or i == b.num_rows - 1:
-                rows = b.select([0, 1, 2]).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key, pa.int64()), pa.array(kind, pa.int32())], ["doc_id", "th", "line_no", "key", "kind"])
-                at, key, kind = [], [], []
+        offsets, data = utf8(b.column(1))
+        for lo, hi in chunks(offsets):
+            edges = offsets[lo : hi + 1] - offsets[lo]
+            start, hashes, _ = words(data[offsets[lo] : offsets[hi]], edges)
+            line, key, kind = variants(hashes, np.diff(np.searchsorted(start, edges)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(line + lo)), pa.array(key), pa.array(kind)], ["o", "key", "kind"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,39 +217,42 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
 
 
-def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The documents, text without the lines that go; n_lines and n_removed beside it. Texts may become empty."""
-    gone = removed_lines(docs, s)
-    rest = [c for c in docs.columns if c != "text"]
-    plain = docs.select(*rest, F.xxhash64("text").alias("_th"), packed("text").alias("_packed"))
-    listed = gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("line_no").alias("_nos"))
-    both = plain.join(listed, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t")), "left").drop("_d", "_t", "_th")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
+def _deduped(docs: DataFrame, s: Settings) -> DataFrame:
+    """row (all columns as they were, but for the text), n_lines, n_removed. Only these names are used beside the row."""
+    place = docs.columns.index("text")
+    whole = F.struct(*[(F.lit(None).cast("string").alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    plain = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), packed("text").alias("packed"))
+    both = _with_lines(plain, removed_lines(docs.select("doc_id", "text"), s)).select("row", "packed", "line_nos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            n = b.num_columns
             for at in range(0, b.num_rows, 500):
                 piece = b.slice(at, 500)
                 texts, lines, lost = [], [], []
-                for data, nos in zip(piece.column(n - 2), piece.column(n - 1), strict=True):
+                for data, nos in zip(piece.column(1), piece.column(2), strict=True):
                     text = None if data.as_py() is None else z.decompress(data.as_py()).decode()
-                    parts = [] if text is None else text.split("\n")
                     drop = set(nos.as_py() or ())
-                    texts.append("\n".join(x for k, x in enumerate(parts) if k not in drop) if drop else text)
-                    lines.append(len(parts))
+                    lines.append(0 if text is None else text.count("\n") + 1)
+                    texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop) if drop else text)
                     lost.append(len(drop))
-                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(n - 2)), pa.array(texts, pa.string()), pa.array(lines, pa.int32()), pa.array(lost, pa.int32())], [*rest, "text", "n_lines", "n_removed"])
+                row = piece.column(0)
+                fields = [pa.array(texts, pa.string()) if k == place else x for k, x in enumerate(row.flatten())]
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type)), pa.array(lines, pa.int32()), pa.array(lost, pa.int32())], ["row", "n_lines", "n_removed"])
+
+    schema = both.select("row", F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed")).schema
+    return both.mapInArrow(trimmed(run), schema)
+
 
-    return both.mapInArrow(run, f"{schema}, text string, n_lines int, n_removed int")
+def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The documents, text without the lines that go; n_lines and n_removed beside it. Texts may become empty."""
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _deduped(docs, s).select(*rest, "n_lines", "n_removed")
 
 
 def keep_new(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The documents with the lines that stay, n_chars following; those of which no line with words stays go."""
-    columns = docs.columns
-    rest = dedup(docs, s).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        rest = rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rest.select(*columns)
+    rest = _deduped(docs, s).where((F.col("n_removed") == 0) | F.col("row.text").rlike(r"\S"))
+    kinds = dict(docs.dtypes)
+    length = F.when(F.col("n_removed") > 0, F.length("row.text").cast(kinds.get("n_chars", "long")))
+    return rest.select(*[F.coalesce(length, F.col("row.n_chars")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
