@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -56,18 +57,30 @@ def match_areas(reports: DataFrame, areas: DataFrame, column: str = "area", stra
 def fuzzy(values: DataFrame, areas: DataFrame) -> DataFrame:
     """Ratcliff-Obershelp best match of each value among the aliases, if good enough and clearly ahead.
 
-    The alias table is a dimension of at most BROADCAST_ROWS rows, which is checked; it is sent to the tasks.
+    The alias table is a dimension of at most BROADCAST_ROWS rows, which is checked; it is sent to the tasks, in order
+    of length. A value meets the aliases whose length allows a similarity that matters (also to a second best), and of
+    those the ones that share enough letters.
     """
     known = areas.select(match_key(F.col("alias")).alias("key"), "canonical").where("key <> ''").limit(BROADCAST_ROWS + 1).collect()
     if len(known) > BROADCAST_ROWS:
         raise ValueError(f"the area table has more than {BROADCAST_ROWS} rows")
-    sent = values.sparkSession.sparkContext.broadcast(sorted((r["key"], r["canonical"]) for r in known))
+    rows = sorted(((r["key"], r["canonical"]) for r in known), key=lambda x: (len(x[0]), x))
+    sent = values.sparkSession.sparkContext.broadcast((rows, [len(k) for k, _ in rows]))
+    floor = LEAST - MARGIN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        aliases, sizes = sent.value
         for b in batches:
             rows = []
             for value, key in zip(b["value"], b["key"], strict=True):
-                scored = sorted(((SequenceMatcher(None, key, k).ratio(), k, c) for k, c in sent.value), key=lambda x: -x[0])[:2]
+                # 2 * shorter / (both lengths) bounds the similarity.
+                lo, hi = bisect_left(sizes, len(key) * floor / (2 - floor)), bisect_right(sizes, len(key) * (2 - floor) / floor)
+                scored = []
+                for k, c in aliases[lo:hi]:
+                    m = SequenceMatcher(None, key, k)
+                    if m.quick_ratio() > floor:
+                        scored.append((m.ratio(), k, c))
+                scored = sorted(scored, key=lambda x: (-x[0], x[1], x[2]))[:2]
                 if scored and scored[0][0] >= LEAST and (len(scored) < 2 or scored[0][0] - scored[1][0] >= MARGIN):
                     rows.append((value, scored[0][2], "fuzzy", scored[0][0], scored[0][1]))
             yield pd.DataFrame(rows, columns=["value", "canonical", "method", "score", "matched"])

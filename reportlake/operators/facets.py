@@ -1,4 +1,8 @@
-"""Filters, facets and dashboard aggregates."""
+"""Filters, facets and dashboard aggregates.
+
+Null and blank values count as "Not specified" or not at all, as each function says; ties go by lower-cased name, then
+name; repeated rows count as they are; empty tables give empty tables or zeros; extra columns are kept or ignored.
+"""
 
 from __future__ import annotations
 
@@ -89,8 +93,26 @@ def page(reports: DataFrame, number: int, size: int = 100) -> DataFrame:
     return reports.orderBy(F.desc_nulls_last("date"), "report_id").offset((k - 1) * size).limit(size)
 
 
+def theme_summary(reports: DataFrame, themes: dict[str, str]) -> DataFrame:
+    """Theme, Description, Count and % of all reports (one place), most common first. themes: column and description."""
+    rows = flag_counts(reports, {t: t for t in themes})
+    total = rows.where("label = 'custom'").select(F.col("n").alias("total"))
+    said = F.create_map(*[F.lit(x) for pair in themes.items() for x in pair])
+    both = rows.where("label <> 'custom'").crossJoin(F.broadcast(total))  # one row at the right
+    percent = F.round(F.col("n") * 100.0 / F.greatest(F.lit(1), F.col("total")), 1).cast("double")
+    return both.select(F.col("label").alias("Theme"), F.try_element_at(said, F.col("label")).alias("Description"), F.col("n").alias("Count"), percent.alias("%")).orderBy(F.desc("Count"), "Theme")
+
+
 def dedupe_ids(reports: DataFrame, column: str = "row_id", seed: str = "url") -> DataFrame:
-    """Row ids unique: blank and repeated ones get a digest of the row's key instead."""
-    rank = F.row_number().over(Window.partitionBy(column).orderBy(seed))
-    fresh = F.sha2(F.concat_ws("|", F.col(seed), rank.cast("string")), 256)
-    return reports.withColumn(column, F.when(F.coalesce(F.trim(column), F.lit("")).eqNullSafe("") | (rank > 1), fresh).otherwise(F.col(column)))
+    """Row ids unique: blank and repeated ones get a digest of the row's key instead.
+
+    Of the rows of an id the one with the least key keeps it. Rows meet by id and key, never by id alone, so a blank
+    or repeated id of very many rows is spread.
+    """
+    held = reports.select(F.struct("*").alias("row"), F.coalesce(F.trim(F.col(column)), F.lit("")).alias("id"), F.col(seed).cast("string").alias("key"))
+    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.xxhash64("row")))
+    first = held.groupBy("id").agg(F.min("key").alias("least"))
+    both = held.withColumn("nth", nth).join(first, "id")
+    fresh = F.sha2(F.concat_ws("|", "key", "id", F.col("nth").cast("string")), 256)
+    keeps = (F.col("id") != "") & F.col("key").eqNullSafe(F.col("least")) & (F.col("nth") == 1)
+    return both.select(*[F.when(keeps, F.col(f"row.`{c}`")).otherwise(fresh).alias(c) if c == column else F.col(f"row.`{c}`") for c in reports.columns])

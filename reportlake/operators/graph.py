@@ -1,9 +1,14 @@
-"""Co-occurrence network of themes, receivers, coroners and areas as two DataFrames: nodes and edges."""
+"""Co-occurrence network of themes, receivers, coroners and areas as two DataFrames: nodes and edges.
+
+Nulls and blank values make no node; a report's repeated values count once; ties go by lower-cased name, then name;
+empty tables give empty networks; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,6 +18,8 @@ from ..functions.text import dashboard_value, first_seen, receivers
 #: Nodes shown of each kind, edges, theme pairs, theme pairs of one theme.
 NODE_CAPS = {"receiver": 72, "coroner": 44, "area": 36}
 EDGE_CAP, PAIR_CAP, PAIRS_EACH = 2600, 420, 8
+#: Theme pairs that greedy_pairs takes, and edges that betweenness sends to every task.
+MOST_PAIRS, MOST_EDGES = 1_000_000, 2_000_000
 
 
 def node_rows(reports: DataFrame, themes: Sequence[str] = (), key: str = "report_id") -> DataFrame:
@@ -62,25 +69,54 @@ def jaccard(edge: DataFrame, node: DataFrame) -> DataFrame:
     return both.select("source", "target", "n", F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard"))
 
 
+def by_count() -> list:
+    return [F.desc("n"), F.lower("value"), F.col("value")]
+
+
+def first_of_kinds(node: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """The first nodes of some kinds by count: a top-k for each, so that no task sorts a kind whole. Others stay."""
+    out = node.where(~F.col("kind").isin(list(caps)))
+    for k, n in caps.items():
+        out = out.unionByName(node.where(F.col("kind") == k).orderBy(*by_count()).limit(n))
+    return out
+
+
 def capped(node: DataFrame, reports: int, caps: dict[str, int] = NODE_CAPS, forced: Sequence[str] = ()) -> DataFrame:
     """The most common nodes of each kind, all themes; rare ones (below 2) only in small collections (250 reports).
 
     Forced ones (kind::value; of those that differ in case alone the first) that occur are there beyond cap and rarity.
+    ``rank`` is the place in the kind. Kinds without a cap (themes) are those of columns, a few hundred at most.
     """
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.lower("value"), "value"))
-    limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in caps.items()], F.lit(1 << 30))
-    common = F.col("n") >= (1 if reports <= 250 else 2)
+    common = node.where(F.col("n") >= (1 if reports <= 250 else 2))
+    shown = first_of_kinds(common, caps).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*by_count())))
     wanted = list({x.casefold(): x for x in reversed(forced)}.values())
-    named = F.concat("kind", F.lit("::"), "value").isin(wanted) if wanted else F.lit(False)
-    return node.withColumn("rank", rank).where((common & (F.col("rank") <= limit)) | named)  # rare ones rank last
+    if not wanted:
+        return shown
+    named = node.where(F.concat("kind", F.lit("::"), "value").isin(wanted)).join(shown.select("kind", "value"), ["kind", "value"], "left_anti")
+    place = lambda c: F.struct(-F.col(f"{c}.n"), F.lower(f"{c}.value"), F.col(f"{c}.value"))
+    before = node.alias("x").join(F.broadcast(named).alias("y"), (F.col("x.kind") == F.col("y.kind")) & (place("x") < place("y")))  # as many as the caller names
+    ranks = before.groupBy(F.col("y.kind").alias("kind"), F.col("y.value").alias("value")).agg((F.count(F.lit(1)) + 1).cast("int").alias("rank"))
+    late = named.join(ranks, ["kind", "value"], "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
+    return shown.unionByName(late.select(*shown.columns))
+
+
+def theme_capped(node: DataFrame, themes: int) -> DataFrame:
+    """Nodes with no more than a number of themes, the most common ones; everything else as it is."""
+    return first_of_kinds(node, {"theme": themes})
 
 
 def sized(node: DataFrame, low: float = 10.0, high: float = 40.0, power: float = 0.62) -> DataFrame:
     """Display size by kind: min-max scaled with an exponent; the middle where all are equal."""
-    w = Window.partitionBy("kind")
-    least, most = F.min("n").over(w), F.max("n").over(w)
-    share = F.pow((F.col("n") - least) / (most - least), F.lit(power))
-    return node.withColumn("size", F.round(F.when(most == least, (low + high) / 2).otherwise(low + share * (high - low)), 2))
+    bounds = node.groupBy("kind").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    both = node.join(bounds, "kind")
+    share = F.pow((F.col("n") - F.col("least")) / (F.col("most") - F.col("least")), F.lit(power))
+    size = F.when(F.col("most") == F.col("least"), (low + high) / 2).otherwise(low + share * (high - low))
+    return both.withColumn("size", F.round(size, 2)).select(*node.columns, "size")
+
+
+def accented(node: DataFrame, colours: int = 6) -> DataFrame:
+    """``accent``: colours in turn, by rank in the kind. node: as capped() returns it."""
+    return node.withColumn("accent", F.pmod(F.col("rank") - 1, F.lit(colours)))
 
 
 def connected_only(node: DataFrame, edge: DataFrame, forced: Sequence[str] = ()) -> DataFrame:
@@ -106,9 +142,11 @@ def label_threshold(node: DataFrame) -> DataFrame:
 def greedy_pairs(pairs: DataFrame, each: int = PAIRS_EACH, total: int = PAIR_CAP) -> DataFrame:
     """Theme pairs by Jaccard, then count; a pair is skipped once either theme has its number.
 
-    Inherently sequential; theme pairs are a dimension (themes squared), of which the best of each theme are enough:
-    a theme's pair can only be taken among its first each * (themes) in order, all of which go to the one group.
+    Inherently sequential: a pair is taken or not by those before it. All theme pairs go to one group; they are a
+    dimension (flag columns squared), and more than MOST_PAIRS of them are an error.
     """
+    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} theme pairs")
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, int] = defaultdict(int)
@@ -132,52 +170,60 @@ def degree(edge: DataFrame, n_nodes: int | None = None) -> DataFrame:
     return both.groupBy("id").agg((F.countDistinct("other") / F.lit(max(1, total - 1))).alias("degree"), F.sum("n").alias("strength"))
 
 
-def betweenness(edge: DataFrame) -> DataFrame:
-    """Betweenness by shortest paths, undirected, scaled by the pairs of other nodes.
+def betweenness(edge: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
+    """Betweenness by shortest paths, undirected, scaled by the pairs of other nodes (Brandes 2001).
 
-    For a displayed network: its edges are bounded by EDGE_CAP, which is checked before they meet in one group.
+    The whole graph: adjacency goes to every task (its number of edges is checked), and each task follows the paths
+    from sources of its own; shares are summed by node. Repeated edges count once; an edge to itself is none.
     """
-    shown = top_edges(edge).select(F.lit(1).alias("_all"), "source", "target")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = defaultdict(set)
-        for a, b in zip(rows["source"], rows["target"], strict=True):
-            near[a].add(b)
-            near[b].add(a)
-        through = dict.fromkeys(near, 0.0)
-        for start in near:
-            far, paths, order, before = {start: 0}, defaultdict(float, {start: 1.0}), [], defaultdict(list)
-            queue = deque([start])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in near[v]:
-                    if w not in far:
-                        far[w] = far[v] + 1
-                        queue.append(w)
-                    if far[w] == far[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            share = defaultdict(float)
-            for w in reversed(order):
-                for v in before[w]:
-                    share[v] += paths[v] / paths[w] * (1 + share[w])
-                if w != start:
-                    through[w] += share[w]
-        n = len(near)
-        scale = (n - 1) * (n - 2) or 1
-        return pd.DataFrame(sorted((k, v / scale) for k, v in through.items()), columns=["id", "betweenness"])
-
-    return shown.groupBy("_all").applyInPandas(run, "id string, betweenness double")
+    pairs = edge.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    held = pairs.limit(most_edges + 1).toPandas()
+    if len(held) > most_edges:
+        raise ValueError(f"the graph has more than {most_edges} edges")
+    names = pd.unique(pd.concat([held["a"], held["b"]], ignore_index=True))
+    place = {x: k for k, x in enumerate(names)}
+    near: list[list[int]] = [[] for _ in names]
+    for a, b in zip(held["a"].map(place), held["b"].map(place), strict=True):
+        near[a].append(b)
+        near[b].append(a)
+    spark, n = edge.sparkSession, len(names)
+    sent = spark.sparkContext.broadcast((list(names), near))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, near = sent.value
+        through = [0.0] * len(ids)
+        for f in frames:
+            for start in f["id"]:
+                far, paths, order, before = {start: 0}, defaultdict(float, {start: 1.0}), [], defaultdict(list)
+                queue = deque([start])
+                while queue:
+                    v = queue.popleft()
+                    order.append(v)
+                    for w in near[v]:
+                        if w not in far:
+                            far[w] = far[v] + 1
+                            queue.append(w)
+                        if far[w] == far[v] + 1:
+                            paths[w] += paths[v]
+                            before[w].append(v)
+                share: dict[int, float] = defaultdict(float)
+                for w in reversed(order):
+                    for v in before[w]:
+                        share[v] += paths[v] / paths[w] * (1 + share[w])
+                    if w != start:
+                        through[w] += share[w]
+        yield pd.DataFrame({"id": ids, "share": through})
+
+    parts = max(1, min(n // 50, 2000))
+    shares = spark.range(0, n, 1, parts).mapInPandas(run, "id string, share double")
+    return shares.groupBy("id").agg((F.sum("share") / F.lit(float(max(1, (n - 1) * (n - 2))))).alias("betweenness"))
 
 
 def visible(node: DataFrame, edge: DataFrame, kinds: Sequence[str], theme_cap: int, limit: int, least_weight: int, focus: str | None = None, text: str | None = None) -> DataFrame:
     """Nodes shown: kinds, at most theme_cap themes in the whole order, a limit (50 at least), edges of a weight,
     isolated nodes dropped if any edge is left, then a node's or a search's neighbourhood."""
     ided = node.where(F.col("kind").isin(list(kinds))).withColumn("id", F.concat("kind", F.lit("::"), "value"))
-    order = [F.desc("n"), F.lower("value"), F.col("value")]
-    theme_rank = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
-    shown = ided.withColumn("tr", theme_rank).where((F.col("kind") != "theme") | (F.col("tr") <= theme_cap)).orderBy(*order).limit(max(50, limit)).drop("tr")
+    shown = theme_capped(ided, theme_cap).orderBy(*by_count(), "kind").limit(max(50, limit))
     ids = shown.select("id")
     kept = edge.where(F.col("n") >= least_weight).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     if not kept.isEmpty():
@@ -206,8 +252,16 @@ def focus_panel(edge: DataFrame, node_id: str, overall: int = 10, each: int = 5)
     near = edge.where(F.col("source") == node_id).select(F.col("target").alias("id"), "n").union(edge.where(F.col("target") == node_id).select("source", "n"))
     near = near.groupBy("id").agg(F.sum("n").alias("n")).withColumn("kind", F.split_part("id", F.lit("::"), F.lit(1)))
     best = near.orderBy(F.desc("n"), "id").limit(overall).select("id", F.lit(True).alias("overall"))
+    kinds = [r["kind"] for r in near.select("kind").distinct().collect()]  # four kinds of nodes
+    firsts = [near.where(F.col("kind") == k).orderBy(F.desc("n"), "id").limit(max(each, overall)) for k in kinds]
+    few = reduce(lambda a, b: a.unionByName(b), firsts, near.limit(0))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "id"))
-    return near.withColumn("rank", rank).join(best, "id", "left").where((F.col("rank") <= each) | F.col("overall")).select("id", "kind", "n", "rank", F.coalesce("overall", F.lit(False)).alias("overall"))
+    return few.withColumn("rank", rank).join(best, "id", "left").where((F.col("rank") <= each) | F.col("overall")).select("id", "kind", "n", "rank", F.coalesce("overall", F.lit(False)).alias("overall"))
+
+
+def fallback_nodes(node: DataFrame, shown: DataFrame, themes: int = 24, receivers: int = 40) -> DataFrame:
+    """What is shown, or the most common themes and receivers where that is nothing."""
+    return shown if not shown.isEmpty() else first_of_kinds(node.where(F.col("kind").isin("theme", "receiver")), {"theme": themes, "receiver": receivers})
 
 
 def search_nodes(node: DataFrame, text: str, n: int = 80) -> DataFrame:

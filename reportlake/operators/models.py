@@ -10,8 +10,13 @@ from __future__ import annotations
 import json
 import random
 import re
+import threading
 import time
+import urllib.error
+import urllib.request
+import warnings
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -48,6 +53,43 @@ class KeywordModel:
         return out
 
 
+class ChatModel:
+    """A model behind an HTTP endpoint of the usual chat form, several prompts at a time, replies in order.
+
+    post: (url, headers, body) to the reply's JSON; the default uses the standard library. Rate limits and failed
+    connections are tried again by with_retries. ``workers`` bounds the calls of one task, ask(partitions) the tasks.
+    """
+
+    def __init__(self, url: str, model: str, key: str | None = None, workers: int = 8, temperature: float = 0.0, seed: int | None = None, timeout: float = 120, post: Callable | None = None):
+        self.url, self.model, self.key, self.workers = url, model, key, max(1, workers)
+        self.temperature, self.seed, self.timeout, self.post = float(temperature), seed, timeout, post
+
+    def generate(self, prompts: list[str], schema: dict | None = None) -> list[str]:
+        with ThreadPoolExecutor(self.workers) as pool:
+            return list(pool.map(lambda p: with_retries(lambda: self._one(p, schema)), prompts))
+
+    def _one(self, prompt: str, schema: dict | None) -> str:
+        body = {"model": self.model, "temperature": self.temperature, "messages": [{"role": "user", "content": prompt}]}
+        if self.seed is not None:
+            body["seed"] = self.seed
+        if schema is not None:
+            body["response_format"] = {"type": "json_object"}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        return (self.post or self._post)(f"{self.url.rstrip('/')}/chat/completions", headers, body)["choices"][0]["message"]["content"]
+
+    def _post(self, url: str, headers: dict, body: dict) -> dict:
+        request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:  # noqa: S310 - the caller's endpoint
+                return json.load(r)
+        except urllib.error.HTTPError as e:
+            if e.code in (429, 502, 503, 504):
+                raise Transient(str(e)) from e
+            raise
+        except (urllib.error.URLError, TimeoutError) as e:
+            raise Transient(str(e)) from e
+
+
 class Transient(Exception):
     """A failure worth another try: rate limit, connection, time-out."""
 
@@ -66,12 +108,14 @@ def with_retries(call: Callable[[], Any], longest: float = 60.0, base: float = 1
             waited, k = waited + pause, k + 1
 
 
-def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch: int = 64, attempts: int = 2, partitions: int | None = None) -> DataFrame:
+def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch: int = 64, attempts: int = 2, partitions: int | None = None, progress: Callable[[int], None] | None = None) -> DataFrame:
     """(prompt_sha, reply, error) of the distinct prompts of a ``prompt`` column. Written once, read often.
 
     partitions bounds how many tasks call the model at a time. A reply that is no object of the schema is asked
-    again, ``attempts`` times; what fails in the end has an error and no reply.
+    again, ``attempts`` times; what fails in the end has an error and no reply. progress: called on the driver with
+    the number of prompts done, every second and at the end.
     """
+    done = prompts.sparkSession.sparkContext.accumulator(0)
 
     def valid(reply: str) -> bool:
         if schema is None:
@@ -101,12 +145,29 @@ def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch:
                     for k, r in zip(left, got, strict=True):
                         replies[k], error[k] = (r, None) if valid(r) else (None, f"Error: not an object: {r[:200]}")
                     left = [k for k in left if error[k]]
+                done.add(len(texts))
                 yield pd.DataFrame({"prompt_sha": some["prompt_sha"], "reply": replies, "error": error})
 
     distinct = prompts.where("prompt is not null").select(F.sha2("prompt", 256).alias("prompt_sha"), "prompt").dropDuplicates(["prompt_sha"])
     if partitions:
         distinct = distinct.repartition(partitions)
-    return stored(distinct.mapInPandas(run, "prompt_sha string, reply string, error string"), "replies")
+    replies = distinct.mapInPandas(run, "prompt_sha string, reply string, error string")
+    if progress is None:
+        return stored(replies, "replies")
+    over = threading.Event()
+
+    def tell() -> None:
+        while not over.wait(1.0):
+            progress(done.value)
+
+    teller = threading.Thread(target=tell, daemon=True)
+    teller.start()
+    try:
+        return stored(replies, "replies")
+    finally:
+        over.set()
+        teller.join()
+        progress(done.value)
 
 
 class Cache:
@@ -126,7 +187,9 @@ class Cache:
         return both.unionByName(fresh.where("error is not null"))
 
     def export(self, path: str) -> None:
-        (self.known if self.known is not None else None).write.mode("overwrite").parquet(path)
+        if self.known is None:
+            raise ValueError("the cache is empty")
+        self.known.write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark, path: str) -> Cache:
@@ -207,8 +270,8 @@ def extract(
     return joined.select(*old, *kept)
 
 
-def summarise(reports: DataFrame, columns: Sequence[str] = SECTIONS, result_col: str = "summary", trim_approach: str = "truncate", intensity: str | None = None, max_words: int | None = None, max_tokens: int | None = None, model: TextModel | None = None) -> DataFrame:
-    """A text for each report: sections cut to a number of words (tokens count as words here), or a model's summary."""
+def summarise(reports: DataFrame, columns: Sequence[str] = SECTIONS, result_col: str = "summary", trim_approach: str = "truncate", intensity: str | None = None, max_words: int | None = None, max_tokens: int | None = None, model: TextModel | None = None, tokenizer: str | None = None) -> DataFrame:
+    """A text for each report: sections cut to a number of words or tokens (by a tokenizer file), or a model's summary."""
     if trim_approach not in ("truncate", "summarise"):
         raise ValueError("trim_approach is truncate or summarise")
     if max_words is not None and max_tokens is not None:
@@ -216,9 +279,10 @@ def summarise(reports: DataFrame, columns: Sequence[str] = SECTIONS, result_col:
     if trim_approach == "truncate" and intensity is not None:
         raise ValueError("an intensity needs trim_approach='summarise'")
     text = report_text(columns, collapse=False)
-    limit = max_words if max_words is not None else max_tokens
     if trim_approach == "truncate":
-        return reports.withColumn(result_col, first_words(text, limit) if limit is not None else text)
+        if max_tokens is not None:
+            text = first_tokens(text, max_tokens, tokenizer)
+        return reports.withColumn(result_col, first_words(text, max_words) if max_words is not None else text)
     if model is None:
         raise ValueError("summaries need a model")
     prompted = reports.withColumn("prompt", F.concat(F.lit(f"Summarise the report ({intensity or 'medium'}).\n\n"), report_text(columns)))
@@ -226,19 +290,50 @@ def summarise(reports: DataFrame, columns: Sequence[str] = SECTIONS, result_col:
     return prompted.withColumn("prompt_sha", F.sha2("prompt", 256)).join(replies, "prompt_sha", "left").select(*reports.columns, F.col("reply").alias(result_col))
 
 
-def tokens(texts: DataFrame, column: str = "summary") -> DataFrame:
-    """Estimated tokens of each text: its words."""
-    return texts.withColumn("tokens", word_count(F.col(column)))
+def token_counts(c: Column, tokenizer: str | None = None) -> Column:
+    """Tokens of a text by a tokenizer file (of the tokenizers library); without one, its words. Null has none."""
+    if tokenizer is None:
+        return word_count(c)
+
+    def count(s: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        known = Tokenizer.from_file(tokenizer)
+        return pd.Series([0 if t is None else len(known.encode(t, add_special_tokens=False).ids) for t in s])
+
+    return F.pandas_udf(count, "long")(c)
+
+
+def first_tokens(c: Column, n: int, tokenizer: str | None = None) -> Column:
+    """A text cut to a number of tokens; without a tokenizer file, to as many words."""
+    if tokenizer is None:
+        return first_words(c, n)
+
+    def cut(s: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        known = Tokenizer.from_file(tokenizer)
+        ids = [None if t is None else known.encode(t, add_special_tokens=False).ids for t in s]
+        return pd.Series([t if x is None or len(x) <= n else known.decode(x[: max(0, n)], skip_special_tokens=False) for t, x in zip(s, ids, strict=True)], dtype=object)
+
+    return F.pandas_udf(cut, "string")(c)
+
+
+def tokens(texts: DataFrame, column: str = "summary", tokenizer: str | None = None) -> DataFrame:
+    """``tokens`` of each text."""
+    return texts.withColumn("tokens", token_counts(F.col(column), tokenizer))
 
 
-def discover_themes(summaries: DataFrame, model: TextModel, column: str = "summary", warn: int = 100_000, error: int = 500_000, most: int | None = None, least: int | None = None, seeds: Sequence[str] = ()) -> dict[str, str]:
+def discover_themes(summaries: DataFrame, model: TextModel, column: str = "summary", warn: int = 100_000, error: int = 500_000, most: int | None = None, least: int | None = None, seeds: Sequence[str] = (), extra: str = "", tokenizer: str | None = None) -> dict[str, str]:
     """Theme names and descriptions from one prompt over all summaries; the token guard keeps it bounded."""
-    total = tokens(summaries, column).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    total = tokens(summaries, column, tokenizer).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     if total > error:
         raise ValueError(f"the summaries have {total} tokens; the limit is {error}")
+    if total > warn:
+        warnings.warn(f"the summaries have {total} tokens, more than {warn}", stacklevel=2)
     texts = [r[0] for r in summaries.select(column).where(F.col(column).isNotNull()).orderBy(column).collect()]  # bounded by the guard
-    bounds = f"at least {least} and at most {most}" if least or most else "a fitting number of"
-    reply = model.generate([f"Name {bounds} themes; seeds: {', '.join(seeds)}\n\n" + "\n".join(texts)], {"themes": "map"})[0]
+    bounds = f"at least {least} and at most {most}" if least and most else f"at least {least}" if least else f"at most {most}" if most else "a fitting number of"
+    reply = model.generate([f"Name {bounds} themes; seeds: {', '.join(seeds)}. {extra}\n\n" + "\n".join(texts)], {"themes": "map"})[0]
     return parse_themes(reply)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import search_text, stem, stem_word
+from ..functions.text import let, search_text, stem, stem_word
 
 
 def query_terms(query: str, stop_words=V.STOP_WORDS) -> tuple[str, list[str], list[str]]:
@@ -23,30 +24,50 @@ def least_score(stems: list[str]) -> float:
     return V.LEAST_SCORES[min(3, max(1, len(stems)))]
 
 
-def scored(reports: DataFrame, query: str, fields: dict[str, int] = V.SEARCH_FIELDS) -> DataFrame:
-    """Reports with ``score``: phrase 6, word 2.5 and stem 1 times the field's weight, 10 for all stems."""
+def score(columns: Sequence[str], query: str, fields: dict[str, int] = V.SEARCH_FIELDS) -> Column:
+    """A report's score: phrase 6, word 2.5 and stem 1 times the field's weight, 10 for all stems.
+
+    Each field's normal form, words and stems are made once for a row and scored inside one expression. A row in
+    which no stem of the query occurs as letters scores nothing and is not worked on: every word that a stem stands
+    for begins with it, but for its last letter where that is a y.
+    """
     plain, tokens, stems = query_terms(query)
     if not stems:
-        return reports.withColumn("score", F.lit(0.0))
-    present = {f: w for f, w in fields.items() if f in reports.columns}
-    out = reports
-    for f in present:
-        out = out.withColumn(f"_t_{f}", search_text(F.col(f)))
-        out = out.withColumn(f"_w_{f}", F.split(f"_t_{f}", " ")).withColumn(f"_s_{f}", F.transform(f"_w_{f}", stem))
+        return F.lit(0.0)
+    present = {f: w for f, w in fields.items() if f in columns}
+    if not present:
+        return F.lit(0.0)
     one = lambda c, x: F.when(c, F.lit(float(x))).otherwise(0.0)
     add = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0.0))
-    points, phrase = [], []
-    for f, w in present.items():
-        hit = F.contains(F.col(f"_t_{f}"), F.lit(plain))
-        phrase.append(hit)
-        points.append(one(hit, w * 6))
-        points += [one(F.array_contains(f"_w_{f}", t), w * 2.5) for t in tokens]
-        points += [one(F.array_contains(f"_s_{f}", s), w) for s in stems]
-    met = add([one(reduce(lambda a, b: a | b, [F.array_contains(f"_s_{f}", s) for f in present]), 1) for s in stems])
-    any_phrase = reduce(lambda a, b: a | b, phrase)
-    enough = (met >= (1 if len(stems) <= 2 else 2)) | any_phrase
-    total = F.when(enough, add(points) + one(met == len(stems), 10)).otherwise(0.0)
-    return out.withColumn("score", total).drop(*[f"_{k}_{f}" for f in present for k in "tws"])
+    least = 1 if len(stems) <= 2 else 2
+
+    def facts(text: Column) -> Column:
+        words = F.split(text, " ")
+        return F.struct(
+            F.contains(text, F.lit(plain)).alias("phrase"),
+            F.array(*[F.array_contains(words, t) for t in tokens]).alias("words"),
+            let(F.transform(words, stem), lambda own: F.array(*[F.array_contains(own, s) for s in stems])).alias("stems"),
+        )
+
+    def total(found: Column) -> Column:
+        """found: a struct of facts for each field, in order."""
+        of = [F.get(found, F.lit(k)) for k in range(len(present))]
+        points = [p for f, w in zip(of, present.values(), strict=True) for p in (
+            one(f["phrase"], w * 6), *[one(F.get(f["words"], F.lit(k)), w * 2.5) for k in range(len(tokens))], *[one(F.get(f["stems"], F.lit(k)), w) for k in range(len(stems))],
+        )]
+        met = add([one(reduce(lambda a, b: a | b, [F.get(f["stems"], F.lit(k)) for f in of]), 1) for k in range(len(stems))])
+        phrase = reduce(lambda a, b: a | b, [f["phrase"] for f in of])
+        return let(met, lambda m: F.when((m >= least) | phrase, add(points) + one(m == len(stems), 10)).otherwise(0.0))
+
+    letters = [s[:-1] if s.endswith("y") and len(s) > 3 else s for s in stems]
+    raw = F.lower(F.concat_ws(" ", *[F.translate(F.col(f).cast("string"), "'’", "") for f in present]))
+    maybe = reduce(lambda a, b: a | b, [F.contains(raw, F.lit(x)) for x in letters])
+    return F.when(maybe, let(F.array(*[let(search_text(F.col(f)), facts) for f in present]), total)).otherwise(0.0)
+
+
+def scored(reports: DataFrame, query: str, fields: dict[str, int] = V.SEARCH_FIELDS) -> DataFrame:
+    """Reports with their score."""
+    return reports.withColumn("score", score(reports.columns, query, fields))
 
 
 def search(reports: DataFrame, query: str) -> DataFrame:
@@ -55,4 +76,6 @@ def search(reports: DataFrame, query: str) -> DataFrame:
     if not stems:
         return reports.withColumn("score", F.lit(0.0)).where("false")
     last = [c for c in ("report_id", "url", "id") if c in reports.columns]
-    return scored(reports, query).where(F.col("score") >= least_score(stems)).orderBy(F.desc("score"), F.desc_nulls_last("date"), *last)
+    # A generator, unlike a filter, is not pushed below the score, which is then computed once.
+    good = F.explode(F.filter(F.array(score(reports.columns, query)), lambda x: x >= least_score(stems)))
+    return reports.select("*", good.alias("score")).orderBy(F.desc("score"), F.desc_nulls_last("date"), *last)

@@ -1,10 +1,15 @@
-"""Tabulation, text lengths, and agreement between raters."""
+"""Tabulation, text lengths, and agreement between raters.
+
+Nulls count as blank texts of length 0, or as not rated; empty tables give the row or the zeros that each function
+names; ties and repeated rows count as they are; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import word_count
 
@@ -58,29 +63,42 @@ def length_stats(lengths: DataFrame, column: str = "n", threshold: int | None =
 
 
 def length_table(lengths: DataFrame, threshold: int, step: int = 100, column: str = "n") -> DataFrame:
-    """Reports at or below each limit, and their share. Lengths fall into bins first, so limits meet bins, not rows."""
+    """Reports at or below each limit, and their share: limits a step apart, the threshold among them.
+
+    Lengths fall into bins first; a limit's count is the running sum of the bins up to it, made in blocks of bins, so
+    that neither the limits nor the bins meet in one task or on the driver. An empty table gives zeros.
+    """
     if step <= 0 or threshold < 0:
         raise ValueError("step must be positive and threshold not negative")
+    spark = lengths.sparkSession
     start = threshold % step or step
-    top = lengths.agg(F.max(column)).first()[0] or 0
-    limits = sorted({*range(start, max(top, threshold) + step, step), threshold})
-    bins = lengths.groupBy(F.ceil((F.col(column) - start) / step).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["bin"]: r["n"] for r in bins.collect()} if len(limits) <= 100_000 else {}
-    total = sum(counts.values())
-    rows = []
-    for limit in limits:
-        n = sum(v for b, v in counts.items() if start + b * step <= limit)
-        rows.append((limit, n, 100.0 * n / total if total else 0.0))
-    return lengths.sparkSession.createDataFrame(rows, "limit long, reports long, percent double")
-
-
-def histogram(lengths: DataFrame, bins: int = 20, column: str = "n") -> DataFrame:
-    """Counts in equal bins from the least to the greatest length."""
-    low, high = lengths.agg(F.min(column), F.max(column)).first()
+    top = max(lengths.agg(F.max(column)).first()[0] or 0, threshold)
+    bins = lengths.where(F.col(column).isNotNull()).groupBy(F.greatest(F.lit(0), F.ceil((F.col(column) - start) / step)).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    every = spark.range(0, max(0, -(-(top + step - start) // step))).select(F.col("id").alias("k")).join(bins, "k", "left").select("k", F.floor(F.col("k") / 4096).alias("block"), F.coalesce("n", F.lit(0)).alias("n"))
+    blocks = every.groupBy("block").agg(F.sum("n").alias("own"))
+    before = blocks.withColumn("before", F.sum("own").over(Window.orderBy("block")) - F.col("own")).select("block", "before")  # a row for 4096 limits
+    upto = F.sum("n").over(Window.partitionBy("block").orderBy("k")) + F.col("before")
+    rows = every.join(before, "block").select((F.col("k") * step + start).alias("limit"), upto.alias("reports"))
+    if threshold == 0:
+        rows = rows.unionByName(lengths.agg(F.coalesce(F.sum((F.col(column) <= 0).cast("int")), F.lit(0)).alias("reports")).select(F.lit(0).cast("long").alias("limit"), "reports"))
+    total = lengths.count()
+    return rows.select("limit", F.col("reports").cast("long").alias("reports"), (F.col("reports") * 100.0 / max(1, total)).cast("double").alias("percent"))
+
+
+def histogram(lengths: DataFrame, bins: int | str = 20, column: str = "n") -> DataFrame:
+    """Counts in equal bins from the least to the greatest length.
+
+    bins "auto": as narrow as the narrower of Sturges' rule and the Freedman-Diaconis rule asks for.
+    """
+    c = F.col(column)
+    low, high, n, q1, q3 = lengths.agg(F.min(c), F.max(c), F.count(c), F.percentile(c, 0.25), F.percentile(c, 0.75)).first()
     if low is None:
         return lengths.sparkSession.createDataFrame([], "bin int, low double, n long")
+    if bins == "auto":
+        widths = [(high - low) / (math.log2(n) + 1), 2 * (q3 - q1) / n ** (1 / 3)]
+        bins = max(1, math.ceil((high - low) / min(w for w in widths if w > 0))) if high > low else 1
     wide = (high - low) / bins or 1.0
-    return lengths.groupBy(F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / wide)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).select("bin", (F.lit(float(low)) + F.col("bin") * wide).alias("low"), "n")
+    return lengths.where(c.isNotNull()).groupBy(F.least(F.lit(bins - 1), F.floor((c - low) / wide)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).select("bin", (F.lit(float(low)) + F.col("bin") * wide).alias("low"), "n")
 
 
 def lengths(reports: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -118,15 +136,22 @@ def _kappa(cells: DataFrame) -> DataFrame:
 
 
 def fleiss_kappa(df: DataFrame, raters: Sequence[str]) -> DataFrame:
-    """Fleiss' kappa of rows that all raters have rated."""
+    """Fleiss' kappa of rows that all raters have rated, its z and 95 % interval (Fleiss, Nee and Landis 1979)."""
     m = len(raters)
     votes = df.dropna(subset=list(raters)).select(F.array(*[F.col(r).cast("string") for r in raters]).alias("v"))
     # The sum of squared counts of a row's categories is the sum, over its votes, of how many agree with each.
     agree = F.aggregate(F.transform("v", lambda x: F.size(F.filter("v", lambda y: y == x))), F.lit(0), lambda a, x: a + x)
-    p_i = votes.select(((agree - m) / (m * (m - 1))).alias("p"))
-    p_k = votes.select(F.explode("v").alias("k")).groupBy("k").count().agg(F.sum(F.pow(F.col("count"), F.lit(2))).alias("s"), F.sum("count").alias("t")).select((F.col("s") / F.pow("t", F.lit(2))).alias("pe"))
-    both = p_i.agg(F.avg("p").alias("po"), F.count(F.lit(1)).alias("items")).crossJoin(F.broadcast(p_k))  # one row each
-    return both.select("items", F.col("po").alias("agreement"), F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))
+    p_i = votes.select(((agree - m) / (m * (m - 1))).alias("p")).agg(F.avg("p").alias("po"), F.count(F.lit(1)).alias("items"))
+    counted = votes.select(F.explode("v").alias("k")).groupBy("k").count()
+    total = counted.agg(F.sum("count").alias("t"))
+    share = counted.crossJoin(F.broadcast(total)).select((F.col("count") / F.col("t")).alias("p"))  # one row at the right
+    p, q = F.col("p"), 1 - F.col("p")
+    p_k = share.agg(F.sum(p * p).alias("pe"), F.sum(p * q).alias("pq"), F.sum(p * q * (q - p)).alias("skew"))
+    both = p_i.crossJoin(F.broadcast(p_k))  # one row each
+    kappa = F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe"))
+    spread = F.col("pq") * F.col("pq") - F.col("skew")
+    se = F.sqrt(F.try_divide(F.lit(2.0) * F.greatest(F.lit(0.0), spread), F.col("pq") * F.col("pq") * F.col("items") * (m * (m - 1))))
+    return both.select("items", F.col("po").alias("agreement"), kappa.alias("kappa"), F.try_divide(kappa, se).alias("z"), (kappa - 1.96 * se).alias("low"), (kappa + 1.96 * se).alias("high"))
 
 
 def windows(df: DataFrame, day: Column, start: str, end: str) -> DataFrame:

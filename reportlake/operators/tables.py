@@ -1,11 +1,18 @@
-"""Refreshing, comparing, excluding and restoring rows; top-up; sampling."""
+"""Refreshing, comparing, excluding and restoring rows; top-up; sampling.
+
+Null is blank where values are compared; a null key matches no row and so counts as new; rows that repeat a key are
+kept as they are, but that new rows come in once for each key; empty tables give empty results or zeros; extra
+columns are kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.text import identifier
 
 
 def replace_columns(old: DataFrame, new: DataFrame, fields: Sequence[str], key: str = "url") -> DataFrame:
@@ -87,11 +94,14 @@ def stratified_sample(df: DataFrame, size: int, seed: int = 67, day: str = "date
     """A sample by year (none is -1) in proportion, rows picked by a seeded hash: the same on any cluster."""
     if size <= 0:
         return df
-    years = df.withColumn("_year", F.coalesce(F.year(day), F.lit(-1)))
-    plan = allocation(years.select(F.col("_year").alias("year")), size)
-    share = df.sparkSession.createDataFrame([(s, t) for s, _, t in plan], "_year int, _take int")
-    rank = F.row_number().over(Window.partitionBy("_year").orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return years.join(F.broadcast(share), "_year").withColumn("_rank", rank).where("_rank <= _take").drop("_year", "_take", "_rank")
+    years = df.select(F.struct("*").alias("row"), F.coalesce(F.year(day), F.lit(-1)).alias("y"), F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("id"))
+    plan = allocation(years.select(F.col("y").alias("year")), size)
+    share = df.sparkSession.createDataFrame([(s, t) for s, _, t in plan], "y int, take int")  # a row for each year
+    placed = years.join(F.broadcast(share), "y").withColumn("salt", F.pmod("h", F.lit(64)))
+    # First within shares of a year, then among what those leave: no task sorts a year whole.
+    for keys in (["y", "salt"], ["y"]):
+        placed = placed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where("place <= take")
+    return placed.select("row.*")
 
 
 def decoys(df: DataFrame, flag: str, n: int = 73, seed: int = 1, key: str = "report_id") -> DataFrame:
@@ -100,6 +110,12 @@ def decoys(df: DataFrame, flag: str, n: int = 73, seed: int = 1, key: str = "rep
     return df.where(F.col(flag)).unionByName(negative)
 
 
+def changed_rows(df: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: how many rows differ between two columns (null is blank), and how many there are."""
+    differs = F.coalesce(F.col(before).cast("string"), F.lit("")) != F.coalesce(F.col(after).cast("string"), F.lit(""))
+    return df.agg(F.coalesce(F.sum(differs.cast("long")), F.lit(0)).cast("long").alias("changed"), F.count(F.lit(1)).alias("n"))
+
+
 def any_null(columns: Sequence[str]):
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
 
@@ -108,6 +124,23 @@ def batches(items: Sequence[str], size: int) -> list[list[str]]:
     return [list(items[i : i + size]) for i in range(0, len(items), size)]
 
 
+def index_column(spec: Column) -> Column:
+    """'2,5-7' as the array 2, 5, 6, 7, each once, in order; null for null. The same as index_ranges, for columns."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
+    ends = lambda x: F.transform(F.split(x, "-"), lambda y: F.trim(y).cast("int"))
+    return F.array_distinct(F.flatten(F.transform(parts, lambda x: F.sequence(F.get(ends(x), F.lit(0)), F.try_element_at(ends(x), F.lit(-1))))))
+
+
+def unique_names(df: DataFrame, column: str, name: str = "name", prefix: str = "theme_") -> DataFrame:
+    """``name``: a safe identifier of a text column, repeated ones with _2, _3 and so on in order of the text.
+
+    For a dimension such as themes: rows of one identifier meet in one task.
+    """
+    safe = identifier(F.col(column), prefix)
+    nth = F.row_number().over(Window.partitionBy(safe).orderBy(F.col(column)))
+    return df.withColumn(name, F.when(nth > 1, F.concat(safe, F.lit("_"), nth.cast("string"))).otherwise(safe))
+
+
 def index_ranges(spec: str) -> list[int]:
     """'2,5-7' as 2, 5, 6, 7, each once, in order."""
     out: dict[int, None] = {}

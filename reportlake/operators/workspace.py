@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from . import tables
 
@@ -83,5 +84,19 @@ class Workspace:
         return "\n".join(self.log)
 
     def snapshot(self, path: str, filters: dict | None = None) -> None:
+        """The active and excluded rows as Parquet, filters and script as JSON beside them."""
+        facts = json.dumps({"filters": filters or self.state.filters, "script": self.log, "excluded": self.state.excluded is not None})
         self.state.active.write.mode("overwrite").parquet(f"{path}/active")
-        self.state = replace(self.state, filters=filters or {})
+        if self.state.excluded is not None:
+            self.state.excluded.write.mode("overwrite").parquet(f"{path}/excluded")
+        self.base.sparkSession.createDataFrame([(facts,)], "facts string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+        self.state = replace(self.state, filters=filters or self.state.filters)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Workspace:
+        """A snapshot as a new workspace: its rows and filters are there, steps back are not."""
+        facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+        out = cls(spark.read.parquet(f"{path}/active"))
+        excluded = spark.read.parquet(f"{path}/excluded") if facts["excluded"] else None
+        out.state = State(out.base, excluded, {}, facts["filters"])
+        return out

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as X, vocabulary as V
 from .operators import canonical, facets, graph, models, search, stats, tables, tagging
 from .session import ship
 from .sources import html
-from .sources.reports import THEMES, VIEW_SQL, between, collection_names, in_collections, report_view
+from .sources.reports import THEMES, VIEW_SQL, between, collection_names, in_collections, read_csv, read_theme_schema, report_view
+from .sources.sinks import write_csv
+from .storage import fresh_folder
 from .streaming.topup import event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,10 +98,14 @@ def _(r):
     return r.select("report_id", tagging.pending(r, ["theme_returned", "theme_bulk"]).alias("pending"))
 
 
-@query("P10_truthiness", """SELECT report_id, coalesce(lower(trim(CAST(theme_promo AS varchar))) IN ('1','true','t','yes','y'), false) AS network,
-  coalesce(theme_promo, false) AS filled FROM reports""")
+MIXED = "CASE report_id % 8 WHEN 0 THEN ' TRUE ' WHEN 1 THEN 'y' WHEN 2 THEN '2' WHEN 3 THEN '1.0' WHEN 4 THEN '0' WHEN 5 THEN 'no' WHEN 6 THEN 'T' END"
+
+
+@query("P10_truthiness", f"""SELECT report_id, coalesce(v IN ('1','true','t','yes','y'), false) AS network, coalesce(v IN ('1','true','t','yes','y') OR try_cast(v AS double) <> 0, false) AS collection,
+  coalesce(v IN ('1','true','yes') OR try_cast(v AS double) = 1, false) AS summary, coalesce(theme_promo, false) AS filled FROM (SELECT report_id, theme_promo, lower(trim({MIXED})) AS v FROM reports)""", uses=("theme_promo",))
 def _(r):
-    return r.select("report_id", X.truthy(F.col("theme_promo")).alias("network"), F.coalesce("theme_promo", F.lit(False)).alias("filled"))
+    v = F.expr(MIXED)
+    return r.select("report_id", X.truthy(v).alias("network"), X.flag_true(v).alias("collection"), X.summary_true(v).alias("summary"), X.filled(F.col("theme_promo")).alias("filled"))
 
 
 @query("P11_masked_recompute", "SELECT report_id, CASE WHEN theme_returned THEN receiver LIKE '%1%' ELSE theme_urgent END AS flag FROM reports")
@@ -112,11 +118,14 @@ def _(r):
     return facets.page(r, 3).select("report_id", F.col("date").cast("string").alias("day"))
 
 
-@query("P15_dates", """SELECT event_id, CAST(coalesce(CAST(try_strptime(v, '%Y-%m-%d') AS date), CAST(try_strptime(v, '%d/%m/%Y') AS date)) AS varchar) AS day FROM
+@query("P15_dates", """SELECT event_id, CAST(coalesce(CAST(try_strptime(v, '%Y-%m-%d') AS date), CAST(try_strptime(v, '%d/%m/%Y') AS date)) AS varchar) AS day,
+  CAST(coalesce(CAST(try_strptime(v, '%Y-%m-%d') AS date), CAST(try_strptime(v, '%d/%m/%Y') AS date), DATE '2000-01-01') AS varchar) AS day_or,
+  CAST(CASE WHEN contains(v, '/') THEN CAST(try_strptime(v, '%d/%m/%Y') AS date) ELSE CAST(try_strptime(v, '%Y-%m-%d') AS date) END AS varchar) AS strict FROM
   (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%d/%m/%Y') ELSE 'soon' END AS v FROM events)""", view=False)
 def _(t):
     v = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "dd/MM/yyyy")).otherwise("soon")
-    return t("events").select("event_id", X.any_date(v).cast("string").alias("day"))
+    default = F.lit("2000-01-01").cast("date")
+    return t("events").select("event_id", X.any_date(v).cast("string").alias("day"), X.date_or(v, default).cast("string").alias("day_or"), X.strict_date(v).cast("string").alias("strict"))
 
 
 @query("P18_coerce_filter", """SELECT event_id, n, CASE WHEN event_type IN ('click','view') THEN 'look' WHEN regexp_matches(event_type, '^(sign|purch)') THEN 'act' ELSE 'other' END AS class
@@ -127,11 +136,22 @@ def _(t):
     return t("events").select("event_id", n.alias("n"), kind.alias("class")).where("n is not null")
 
 
-@query("S12_theme_schema", """SELECT k AS theme, upper(k) AS description FROM (SELECT unnest(['falls', 'medication', 'handover']) AS k)""", view=False)
+@query("S12_theme_schema", "SELECT lower(n_name) AS theme, concat('region ', n_regionkey) AS description FROM nation", view=False)
 def _(t):
-    raw = '{"themes": {"theme_falls": "**FALLS**", "theme_medication": "`MEDICATION`", "theme_handover": "HANDOVER"}}'
-    one = t("region").limit(1).select(F.from_json(F.get_json_object(F.lit(raw), "$.themes"), "map<string,string>").alias("m"))
-    return one.select(F.explode("m").alias("k", "v")).select(F.regexp_replace("k", "^theme_", "").alias("theme"), F.regexp_replace("v", r"[*`]", "").alias("description"))
+    nation = t("nation")
+    entry = F.struct(F.concat(F.lit("theme_"), F.lower("n_name")).alias("k"), F.concat(F.lit("**region** `"), F.col("n_regionkey").cast("string"), F.lit("`")).alias("v"))
+    schema = nation.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("themes"))).alias("value"))  # 25 rows
+    path = fresh_folder(nation.sparkSession, "theme-schema")
+    schema.write.text(path)
+    return read_theme_schema(nation.sparkSession, path)
+
+
+@query("S01_read_csv", f"""SELECT report_id, {day('"date"')} AS day, concerns FROM reports WHERE report_id % 7 <> 0""", uses=("date", "concerns"))
+def _(r):
+    path = fresh_folder(r.sparkSession, "reports-csv")
+    dated = F.when(F.col("report_id") % 7 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(F.col("date").cast("string"))
+    write_csv(r.select(F.col("report_id").alias("Unnamed: 0"), "report_id", dated.alias("date"), "concerns"), path)
+    return read_csv(r.sparkSession, path).select(F.col("report_id").cast("long").alias("report_id"), F.col("date").cast("string").alias("day"), "concerns")
 
 
 # ---------------------------------------------------------------------------- facets and dashboard
@@ -196,11 +216,9 @@ def _(r):
     return facets.flag_counts(r, FLAGS)
 
 
-@query("A17_theme_summary", f"SELECT label AS theme, n, round(n * 100.0 / (SELECT count(*) FROM reports), 1) AS percent FROM ({flag_sql({t: t for t in THEMES})}) WHERE label <> 'custom'".replace("100.0", "CAST(100 AS double)"))
+@query("A17_theme_summary", f"SELECT label AS \"Theme\", concat('about ', label) AS \"Description\", n AS \"Count\", round(n * 100.0 / (SELECT count(*) FROM reports), 1) AS \"%\" FROM ({flag_sql({t: t for t in THEMES})}) WHERE label <> 'custom'".replace("100.0", "CAST(100 AS double)"), uses=tuple(THEMES))
 def _(r):
-    rows = facets.flag_counts(r, {t: t for t in THEMES})
-    total = rows.where("label = 'custom'").select(F.col("n").alias("total"))
-    return rows.where("label <> 'custom'").crossJoin(F.broadcast(total)).select(F.col("label").alias("theme"), "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).cast("double").alias("percent"))
+    return facets.theme_summary(r, {t: f"about {t}" for t in THEMES})
 
 
 # ---------------------------------------------------------------------------- tabulation, lengths, agreement
@@ -252,9 +270,16 @@ def _(r):
     return stats.lengths(r, SECTIONS).agg(F.sum("n").alias("tokens"))
 
 
+@query("A05_auto_histogram", f""", lengths AS (SELECT {WORDS} AS n FROM reports), f AS (SELECT min(n) AS lo, max(n) - min(n) AS span, (max(n) - min(n)) / (log2(count(*)) + 1) AS s, 2 * (quantile_cont(n, 0.75) - quantile_cont(n, 0.25)) / pow(count(*), 1 / CAST(3 AS double)) AS fd FROM lengths),
+  b AS (SELECT lo, ceil(span / CASE WHEN fd > 0 THEN least(s, fd) ELSE s END) AS bins, span / ceil(span / CASE WHEN fd > 0 THEN least(s, fd) ELSE s END) AS w FROM f)
+  SELECT CAST(least(bins - 1, floor((n - lo) / w)) AS int) AS bin, round(any_value(lo) + CAST(least(bins - 1, floor((n - lo) / w)) AS int) * any_value(w), 6) AS low, count(*) AS n FROM lengths, b GROUP BY bin""", uses=("investigation", "circumstances", "concerns"))
+def _(r):
+    return stats.histogram(stats.lengths(r, SECTIONS), "auto").withColumn("low", F.round("low", 6))
+
+
 @query("A18_changed_rows", "SELECT CAST(sum(CASE WHEN coalesce(investigation, '') <> coalesce(concerns, '') THEN 1 ELSE 0 END) AS bigint) AS changed, count(*) AS n FROM reports", uses=("investigation", "concerns"))
 def _(r):
-    return r.agg(F.sum((F.coalesce("investigation", F.lit("")) != F.coalesce("concerns", F.lit(""))).cast("long")).alias("changed"), F.count(F.lit(1)).alias("n"))
+    return tables.changed_rows(r, "investigation", "concerns")
 
 
 LABELS = "(SELECT quality = 1 AS a, toxic = 0 AS b FROM labels)"
@@ -276,12 +301,13 @@ def _(t):
 
 
 @query("A21_fleiss_kappa", """WITH r AS (SELECT CAST(quality = 1 AS int) + CAST(toxic = 0 AS int) + CAST(doc_id % 2 = 0 AS int) AS k FROM labels),
-  i AS (SELECT avg((k*k + (3-k)*(3-k) - 3) / CAST(6 AS double)) AS po, sum(k) / CAST(3 * count(*) AS double) AS p, count(*) AS items FROM r)
-  SELECT items, round(po, 6) AS agreement, round((po - (p*p + (1-p)*(1-p))) / (1 - (p*p + (1-p)*(1-p))), 6) AS kappa FROM i""", view=False)
+  i AS (SELECT avg((k*k + (3-k)*(3-k) - 3) / CAST(6 AS double)) AS po, sum(k) / CAST(3 * count(*) AS double) AS p, count(*) AS items FROM r),
+  k AS (SELECT items, po, (po - (p*p + (1-p)*(1-p))) / (1 - (p*p + (1-p)*(1-p))) AS kappa, sqrt(2 / CAST(6 * items AS double)) AS se FROM i)
+  SELECT items, round(po, 6) AS agreement, round(kappa, 6) AS kappa, round(kappa / se, 6) AS z, round(kappa - 1.96 * se, 6) AS low, round(kappa + 1.96 * se, 6) AS high FROM k""", view=False)
 def _(t):
     rated = t("labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"), (F.col("doc_id") % 2 == 0).alias("c"))
     out = stats.fleiss_kappa(rated, ["a", "b", "c"])
-    return out.select("items", *[F.round(c, 6).cast("double").alias(c) for c in ("agreement", "kappa")])
+    return out.select("items", *[F.round(c, 6).cast("double").alias(c) for c in ("agreement", "kappa", "z", "low", "high")])
 
 
 @query("A22_windows", """SELECT CASE WHEN "date" IS NULL THEN 'invalid' WHEN "date" < DATE '1996-01-01' THEN 'before' WHEN "date" > DATE '1998-12-31' THEN 'after' ELSE 'within' END AS "window", count(*) AS n
@@ -320,12 +346,36 @@ text_query("T33_node_id", lambda c: X.node_id(F.lit("area"), c), "CASE WHEN area
 text_query("T34_dashboard_value", X.dashboard_value, "CASE WHEN lower(trim(coalesce(area, ''))) IN ('nan', 'nat', 'none') THEN '' ELSE trim(coalesce(area, '')) END", "area")
 
 
-@query("T03_spoken_dates")
+@query("T03_spoken_dates", f"SELECT report_id, {day('\"date\"')} AS day FROM reports", uses=("date",))
 def _(r):
     said = F.concat(F.date_format("date", "d MMMM yyyy"), F.lit(" Ref: 2024-0001"))
     return r.select("report_id", X.spoken_date(said).alias("day"))
 
 
+@query("T31_descriptions", "SELECT report_id, CASE report_id % 4 WHEN 2 THEN concat(area, '; ', coroner) ELSE area END AS description FROM reports", uses=("area", "coroner"))
+def _(r):
+    one = lambda k: F.to_json(F.create_map(F.lit(k), F.col("area")))
+    raw = F.when(F.col("report_id") % 4 == 0, one("description")).when(F.col("report_id") % 4 == 1, one("text")).when(F.col("report_id") % 4 == 2, F.to_json(F.array("area", "coroner"))).otherwise(F.col("area"))
+    return r.select("report_id", X.flat_description(raw).alias("description"))
+
+
+@query("T32_unique_names", """SELECT CASE WHEN k > 1 THEN concat(name, '_', k) ELSE name END AS name FROM (SELECT name, row_number() OVER (PARTITION BY name) AS k FROM
+  (SELECT concat('theme_', regexp_replace(regexp_replace(lower(left(n_name, 8)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS name FROM nation))""", view=False)
+def _(t):
+    return tables.unique_names(t("nation").select(F.substring("n_name", 1, 8).alias("v")), "v").select("name")
+
+
+@query("T37_index_ranges", "SELECT event_id, array_to_string(list_sort(list_distinct(list_concat([event_id % 5], range(event_id % 7, event_id % 7 + 3)))), ' ') AS numbers FROM events", view=False)
+def _(t):
+    spec = F.concat_ws("", (F.col("event_id") % 5).cast("string"), F.lit(", "), (F.col("event_id") % 7).cast("string"), F.lit("-"), (F.col("event_id") % 7 + 2).cast("string"))
+    return t("events").select("event_id", F.array_join(F.array_sort(tables.index_column(spec)), " ").alias("numbers"))
+
+
+@query("T39_icons", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'promo') OR contains(lower(p_type), 'econ') THEN 'cheap' WHEN contains(lower(p_type), 'stan') THEN 'plain' ELSE '' END AS icon FROM part", view=False)
+def _(t):
+    return t("part").select("p_partkey", X.icon_key(F.col("p_type"), [(("promo", "econ"), "cheap"), (("stan",), "plain")]).alias("icon"))
+
+
 @query("T08_rule_tags", f"""SELECT report_id, len(list_filter(k, lambda s: contains(s, 'supplier 00000000') OR starts_with(trim(s), 'supplier 00000004'))) > 0 AS tag_a,
   len(list_filter(k, lambda s: suffix(trim(s), '1') AND NOT contains(trim(s), '11'))) > 0 AS tag_b FROM (SELECT report_id, list_transform({SEGMENTS}, lambda x: {SEGMENT_SQL.format('x')}) AS k FROM reports)""", uses=("receiver",))
 def _(r):
@@ -349,9 +399,19 @@ def _t09(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["T09_area_tag"] = _t09
 
 
-@query("T10_T14_receiver_cleanup")
+#: Receivers as written, and what the clean-up makes of them.
+RECEIVERS = [
+    ("The Dept of Health & Social Care", "Department of Health and Social Care"), ("Chief Executive, Acme NHS Trust", "Acme NHS Foundation Trust"),
+    ("- (Jane Doe MP, Home Office (HO)", "Home Office"), ("HM Chief Coroner, London", ""), ("[REDACTED], J Smith, 1 Road, Acme Council", "Acme Council"),
+    ("Department of Transport", "Department for Transport"), ("Secretary of State for the Department of Health", "Secretary of State for Health"),
+]
+
+
+@query("T10_T14_receiver_cleanup", f"""SELECT report_id, array_to_string(list_filter(list_concat({"list_filter(list_transform(string_split(coalesce(receiver, ''), ';'), lambda x: trim(x)), lambda x: x <> '')"},
+  [CASE report_id % {len(RECEIVERS)} {' '.join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(RECEIVERS))} END]), lambda x: x <> ''), '; ') AS receivers FROM reports""", uses=("receiver",))
 def _(r):
-    return r.select("report_id", X.clean_receiver_list(F.concat_ws("; ", "receiver", F.lit("The Dept of Health & Social Care"), F.lit("Chief Executive, Acme NHS Trust"))).alias("receivers"))
+    raw = F.get(X.lit_array([x for x, _ in RECEIVERS]), (F.col("report_id") % len(RECEIVERS)).cast("int"))
+    return r.select("report_id", X.clean_receiver_list(F.concat_ws("; ", "receiver", raw)).alias("receivers"))
 
 
 @query("T11_organisations", f"SELECT report_id, len(list_filter(['nhs','office','care'], lambda q: contains({KEY_SQL.format('circumstances')}, q))) > 0 AS org FROM reports WHERE circumstances IS NOT NULL AND circumstances <> upper(circumstances)", uses=("circumstances",))
@@ -383,12 +443,14 @@ def _(t):
     return t("events").select("event_id", F.try_element_at(m, first).alias("value"))
 
 
-@query("T35_number_format")
+@query("T35_number_format", "SELECT area, format('{:,}', count(*) * 1000) AS n FROM reports GROUP BY area", uses=("area",))
 def _(r):
-    return r.groupBy("area").agg(F.count(F.lit(1)).alias("n")).select("area", F.format_number("n", 0).alias("n"))
+    return r.groupBy("area").agg(F.count(F.lit(1)).alias("n")).select("area", F.format_number(F.col("n") * 1000, 0).alias("n"))
 
 
-@query("T36_signature")
+@query("T36_signature", """, h AS (SELECT sha256(concat_ws('|', CAST(report_id AS varchar), coalesce(coroner, '∅'), coalesce(area, '∅'), coalesce(receiver, '∅'))) AS h FROM reports),
+  p AS (SELECT count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 12 * k}, 12) AS bigint)) AS p{k}" for k in range(4)) + """ FROM h)
+  SELECT sha256(concat_ws('|', CAST(n AS varchar), CAST(p0 AS varchar), CAST(p1 AS varchar), CAST(p2 AS varchar), CAST(p3 AS varchar))) AS signature FROM p""", uses=("coroner", "area", "receiver"))
 def _(r):
     return tables.signature(r, ["coroner", "area", "receiver"], "report_id")
 
@@ -534,7 +596,8 @@ def _(r):
     return y.crossJoin(F.broadcast(total)).select("year", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@query("Z03_row_ids")
+@query("Z03_row_ids", """SELECT report_id, CASE WHEN report_id % 5 <> 0 THEN url WHEN url = (SELECT min(url) FROM reports WHERE report_id % 5 = 0) THEN 'same'
+  ELSE sha256(concat_ws('|', url, 'same', '1')) END AS row_id FROM reports""", uses=("url",))
 def _(r):
     dup = r.withColumn("row_id", F.when(F.col("report_id") % 5 == 0, F.lit("same")).otherwise(F.col("url")))
     return facets.dedupe_ids(dup).select("report_id", "row_id")
@@ -597,7 +660,9 @@ def _(r):
     return graph.nodes(graph.node_rows(r, THEMES)).orderBy("kind", F.desc("n"), F.lower("value"), "value")
 
 
-@query("P13_visible_nodes")
+@query("P13_visible_nodes", MELT_SQL + """ , i AS (SELECT *, concat(kind, '::', value) AS id, row_number() OVER (PARTITION BY kind ORDER BY n DESC, lower(value), value) AS tr FROM nd WHERE kind IN ('theme', 'area', 'receiver')),
+  sh AS (SELECT * FROM i WHERE kind <> 'theme' OR tr <= 4 ORDER BY n DESC, lower(value), value, kind LIMIT 120), k AS (SELECT * FROM ed WHERE n >= 3 AND source IN (SELECT id FROM sh) AND target IN (SELECT id FROM sh))
+  SELECT id, n FROM sh WHERE (SELECT count(*) FROM k) = 0 OR id IN (SELECT source FROM k UNION SELECT target FROM k)""")
 def _(r):
     n, e = graph.nodes(graph.node_rows(r, THEMES)), graph.edges(r, THEMES)
     return graph.visible(n, e, ["theme", "area", "receiver"], 4, 120, 3).select("id", "n")
@@ -639,9 +704,12 @@ def _(r):
 @query("W03_theme_cap", MELT_SQL + """ , o AS (SELECT *, sum(CASE WHEN kind = 'theme' THEN 1 ELSE 0 END) OVER (ORDER BY n DESC, lower(value), value, kind ROWS UNBOUNDED PRECEDING) AS t FROM nd)
   SELECT kind, value, n FROM o WHERE kind <> 'theme' OR t <= 3""")
 def _(r):
-    n = graph.nodes(graph.node_rows(r, THEMES))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), F.lower("value"), "value"))
-    return n.withColumn("t", rank).where("kind <> 'theme' or t <= 3").drop("t")
+    return graph.theme_capped(graph.nodes(graph.node_rows(r, THEMES)), 3)
+
+
+@query("W08_accents", MELT_SQL + CAPPED + " SELECT kind, value, CAST((\"rank\" - 1) % 6 AS int) AS accent FROM k")
+def _(r):
+    return graph.accented(graph.capped(graph.nodes(graph.node_rows(r, THEMES)), r.count())).select("kind", "value", "accent")
 
 
 @query("O04_top_edges", MELT_SQL + " SELECT kind, source, target, n FROM ed ORDER BY n DESC, source, target LIMIT 200")
@@ -654,7 +722,9 @@ def _(r):
     return graph.greedy_pairs(graph.jaccard(graph.edges(r, THEMES), graph.nodes(graph.node_rows(r, THEMES))), each=3)
 
 
-@query("O07_focus_panel")
+@query("O07_focus_panel", MELT_SQL + """ , b AS (SELECT target AS id, n FROM ed WHERE source = 'theme::theme_promo' UNION ALL SELECT source, n FROM ed WHERE target = 'theme::theme_promo'),
+  s AS (SELECT id, split_part(id, '::', 1) AS kind, CAST(sum(n) AS bigint) AS n FROM b GROUP BY id), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, id) AS int) AS "rank", row_number() OVER (ORDER BY n DESC, id) <= 10 AS overall FROM s)
+  SELECT id, kind, n, "rank", overall FROM o WHERE "rank" <= 5 OR overall""")
 def _(r):
     return graph.focus_panel(graph.edges(r, THEMES), "theme::theme_promo")
 
@@ -679,9 +749,12 @@ def _(t):
     return html.fields(t("pages").select("page_id", "html"), configs).withColumn("title", html.title_udf()("html")).drop("html")
 
 
-@query("S08_document_links", view=False)
+@query("S08_document_links", "SELECT page_id, concat('/files/', page_id, CASE page_id % 3 WHEN 0 THEN '.pdf' ELSE '-b.pdf' END) AS link FROM pages WHERE page_id % 3 < 2", view=False)
 def _(t):
-    return t("pages").select("page_id", html.document_link_udf()("html").alias("link")).where("link is not null")
+    file = lambda kind, end: F.concat(F.lit(f'<div class="{kind}"><a class="{kind}" href="/files/'), F.col("page_id").cast("string"), F.lit(f'{end}">x</a></div>'))
+    made = F.when(F.col("page_id") % 3 == 0, F.concat(file("govuk-button", "-b.pdf"), file("wp-block-file", ".pdf"))).when(F.col("page_id") % 3 == 1, file("govuk-button", "-b.pdf")).otherwise("")
+    linked = t("pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), made).alias("html"))
+    return linked.select("page_id", html.document_link_udf()("html").alias("link")).where("link is not null")
 
 
 @query("L04_screen", "SELECT report_id FROM reports WHERE contains(lower(concat_ws(' ', investigation, circumstances, concerns)), 'thing')", uses=("investigation", "circumstances", "concerns"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import gated, report_id, spoken_date
+from ..functions import vocabulary as V
+from ..functions.text import clean_text, gated, report_id, sandwich, spoken_date
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,7 @@ class FieldConfig:
     name: str
     keywords: tuple[str, ...] = ()
     section: str | None = None
+    headings: tuple[str, ...] = ()
     remove: tuple[str, ...] = ()
     shortest: int | None = None
     longest: int | None = None
@@ -127,8 +129,8 @@ def fields(pages: DataFrame, configs: Sequence[FieldConfig], html: str = "html")
     out = pages
     for c in configs:
         raw: Column = paragraphs_udf(list(c.keywords))(html) if c.keywords else F.lit(None).cast("string")
-        if c.section:
-            raw = F.coalesce(raw, sections_udf(c.section)(html))
+        for heading in [*([c.section] if c.section else []), *c.headings]:
+            raw = F.coalesce(raw, sections_udf(heading)(html))
         value = gated(raw, c.remove, c.shortest, c.longest)
         out = out.withColumn(c.name, spoken_date(value) if c.date else value)
     if "id" in [c.name for c in configs]:
@@ -136,6 +138,51 @@ def fields(pages: DataFrame, configs: Sequence[FieldConfig], html: str = "html")
     return out
 
 
+def default_configs(values: dict[str, dict] = V.FIELD_CONFIGS) -> list[FieldConfig]:
+    """Field configurations from plain values."""
+    return [FieldConfig(name, **{k: tuple(v) if isinstance(v, list) else v for k, v in facts.items()}) for name, facts in values.items()]
+
+
+NOT_PDF = "N/A: Source file not PDF"
+
+
+def document_texts(files: DataFrame, parse: Callable[[bytes], str]) -> DataFrame:
+    """path, text of files as ``spark.read.format("binaryFile")`` gives them; parse: a PDF's bytes to its text.
+
+    Files that are no .pdf have no text; those that the parser refuses have a text that says so.
+    """
+
+    def text(path: pd.Series, content: pd.Series) -> pd.Series:
+        out = []
+        for p, data in zip(path, content, strict=True):
+            try:
+                out.append(parse(data) if p.lower().endswith(".pdf") else None)
+            except Exception:  # noqa: BLE001 - the text says so
+                out.append(NOT_PDF)
+        return pd.Series(out, dtype=object)
+
+    return files.select("path", clean_text(F.pandas_udf(text, "string")("path", "content")).alias("text"))
+
+
+@dataclass(frozen=True)
+class SectionConfig:
+    """What stands between the first start found and the nearest end after it; literals off, length bounds."""
+
+    name: str
+    starts: tuple[str, ...]
+    ends: tuple[str, ...] = ()
+    remove: tuple[str, ...] = ()
+    shortest: int | None = None
+    longest: int | None = None
+
+
+def section_fallback(reports: DataFrame, configs: Sequence[SectionConfig], text: str = "text") -> DataFrame:
+    """Null fields filled from a document's text; fields with a value stay as they are."""
+    held = {c.name: c for c in configs if c.name in reports.columns}
+    found = {n: F.nullif(gated(sandwich(F.col(text), c.starts, c.ends), c.remove, c.shortest, c.longest), F.lit("")) for n, c in held.items()}
+    return reports.select(*[F.coalesce(F.col(c), found[c].cast(dict(reports.dtypes)[c])).alias(c) if c in found else F.col(c) for c in reports.columns])
+
+
 def category_url(category: str, templates: dict[str, str], page_number: int) -> str:
     """Index page of a category by its template, without regard to case."""
     key = category.strip().lower()

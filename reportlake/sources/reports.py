@@ -1,4 +1,8 @@
-"""Report tables: CSV, Parquet, the view over the test tables, and load_reports."""
+"""Report tables: CSV, Parquet, the view over the test tables, and load_reports.
+
+Rows without a valid date are left out of what is sorted by date; null texts stay null; repeated rows stay; ties of a
+date go by url and id; empty tables give empty tables; extra columns are kept.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vocabulary as V
+from ..functions.text import flat_description
 
 THEMES = ["theme_returned", "theme_bulk", "theme_discounted", "theme_promo", "theme_urgent"]
 VIEW_COLUMNS = ["report_id", "url", "date", "coroner", "area", "receiver", "investigation", "circumstances", "concerns", *THEMES]
@@ -53,9 +58,10 @@ def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
         )
         out = out.join(names, F.col("report_id") == F.col("name_key"), "left")
     line = lambda k: F.nullif(F.split_part("text", F.lit("\n"), F.lit(k)), F.lit(""))
+    rest = F.nullif(F.array_join(F.filter(F.split("text", "\n"), lambda _, i: i > 1), "\n"), F.lit(""))  # the third line and all after it
     made = {
         "url": F.concat(F.lit("https://reports.example.org/"), F.col("report_id").cast("string")), "date": F.col("o_orderdate").cast("date"),
-        "coroner": F.col("c_name"), "area": F.col("n_name"), "investigation": line(1), "circumstances": line(2), "concerns": line(3),
+        "coroner": F.col("c_name"), "area": F.col("n_name"), "investigation": line(1), "circumstances": line(2), "concerns": rest,
         "theme_urgent": F.col("o_orderpriority") == "1-URGENT",
     }
     return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in wanted])
@@ -70,13 +76,20 @@ rc AS (SELECT l_orderkey, string_agg(s_name, '; ' ORDER BY s_name) AS receiver
 reports AS (SELECT d.doc_id AS report_id, concat('https://reports.example.org/', CAST(d.doc_id AS varchar)) AS url,
   CAST(o.o_orderdate AS date) AS "date", c.c_name AS coroner, n.n_name AS area, rc.receiver AS receiver,
   nullif(split_part(d.text, chr(10), 1), '') AS investigation, nullif(split_part(d.text, chr(10), 2), '') AS circumstances,
-  nullif(split_part(d.text, chr(10), 3), '') AS concerns,
+  nullif(array_to_string((string_split(d.text, chr(10)))[3:], chr(10)), '') AS concerns,
   li.returned=1 AS theme_returned, li.mq>=45 AS theme_bulk, li.md>=0.09 AS theme_discounted, li.promo=1 AS theme_promo,
   o.o_orderpriority='1-URGENT' AS theme_urgent
   FROM documents AS d JOIN orders AS o ON o.o_orderkey=d.doc_id LEFT JOIN customer AS c ON c.c_custkey=o.o_custkey
   LEFT JOIN nation AS n ON n.n_nationkey=c.c_nationkey LEFT JOIN li ON li.l_orderkey=d.doc_id LEFT JOIN rc ON rc.l_orderkey=d.doc_id)"""
 
 
+def read_theme_schema(spark: SparkSession, path: str, prefix: str = "theme_") -> DataFrame:
+    """theme, description from a JSON file {"themes": {name: description}} or {name: description}; prefix and Markdown signs off."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.coalesce(F.get_json_object("value", "$.themes"), F.col("value")).alias("j"))
+    pairs = raw.select(F.explode(F.from_json("j", "map<string,string>")).alias("k", "v"))
+    return pairs.select(F.regexp_replace("k", f"^{prefix}", "").alias("theme"), F.regexp_replace(flat_description(F.col("v")), r"[*`]", "").alias("description"))
+
+
 def collection_names(wanted: str | Sequence[str], known: dict[str, str] = V.COLLECTIONS) -> list[str]:
     """Columns of collections, each once, in the order asked; unknown names are an error that lists the known."""
     names = [wanted] if isinstance(wanted, str) else list(wanted)
@@ -105,6 +118,12 @@ def between(reports: DataFrame, start: str = "2000-01-01", end: str = "2050-01-0
     return reports.where(F.col("date").between(F.lit(start).cast("date"), F.lit(last)))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, through Hadoop's file system: for any store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def load_reports(
     spark: SparkSession, path: str, start_date: str = "2000-01-01", end_date: str = "2050-01-01", n_reports: int | None = None,
     refresh: bool = False, collection: str | Sequence[str] | None = None, known: dict[str, str] = V.COLLECTIONS,
@@ -114,6 +133,8 @@ def load_reports(
         raise ValueError("n_reports must be positive")
     if refresh:
         spark.catalog.refreshByPath(path)
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     found = read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
     found = between(found, start_date, end_date)
     if collection is not None:

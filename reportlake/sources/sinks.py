@@ -34,14 +34,52 @@ def read_version(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{root}/v={last['version']}"), json.loads(last["facts"])
 
 
-def bundle(frames: dict[str, DataFrame], script: str | None = None, most_rows: int = 100_000) -> tuple[str, bytes]:
+def write_in_batches(rows: DataFrame, path: str, step, key: str = "url", size: int = 250) -> DataFrame:
+    """step(rows) written batch by batch, so that an interrupted run goes on where it stopped.
+
+    Rows are taken in order of the key, ``size`` at a time; what is there already must be a beginning of them, else
+    ValueError. step: a function from DataFrame to DataFrame that keeps the key. The result is the whole output.
+    """
+    from .reports import exists
+
+    spark = rows.sparkSession
+    done = spark.read.parquet(path) if exists(spark, path) else None
+    if done is not None:
+        last = done.agg(F.max(key)).first()[0]
+        if done.select(key).join(rows.select(key), key, "left_anti").limit(1).count() or rows.where(F.col(key) <= F.lit(last)).count() != done.count():
+            raise ValueError("the output is no beginning of the input")
+        rows = rows.where(F.col(key) > F.lit(last))
+    while True:
+        some = rows.orderBy(key).limit(size)
+        if not (last := some.agg(F.max(key)).first()[0]):
+            return spark.read.parquet(path) if exists(spark, path) else step(rows)
+        step(some).write.mode("append").parquet(path)
+        rows = rows.where(F.col(key) > F.lit(last))
+
+
+def write_themes(spark: SparkSession, path: str, reply: str) -> None:
+    """A model's raw reply beside earlier ones, with its time."""
+    now = datetime.now(timezone.utc).isoformat()
+    spark.createDataFrame([(now, reply)], "at string, reply string").coalesce(1).write.mode("append").json(path)
+
+
+def read_split_json(spark: SparkSession, text: str) -> DataFrame | None:
+    """A snapshot as JSON of columns and data; None where the text is none or blank."""
+    facts = json.loads(text) if text and text.strip() else None
+    if not facts or not facts.get("columns"):
+        return None
+    rows = [tuple(None if v is None else str(v) for v in r) for r in facts["data"]]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in facts["columns"]))
+
+
+def bundle(frames: dict[str, DataFrame], script: str | None = None, most_rows: int = 100_000, kind: str = "csv") -> tuple[str, bytes]:
     """A download: one CSV, or a ZIP of several and of the script. For results of a size to look at, which is checked."""
     files = {}
     for name, df in frames.items():
         rows = df.limit(most_rows + 1).toPandas()
         if len(rows) > most_rows:
             raise ValueError(f"{name} has more than {most_rows} rows; use write_csv")
-        files[f"{name}.csv"] = rows.to_csv(index=False).encode()
+        files[f"{name}.{kind}"] = rows.to_csv(index=False, sep={"csv": ",", "tsv": "\t"}[kind]).encode()
     if len(files) == 1 and script is None:
         return next(iter(files.items()))
     out = io.BytesIO()
