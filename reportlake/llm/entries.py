@@ -87,4 +87,25 @@ def _shipped(f):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_sharding, op3_bpe, op4_line_dedup, op5_warc, op6_ngram_join, op7_near_vectors, op8_toxicity, op9_tokens, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Base 32 of a hexadecimal SHA-1 in column h: four numbers of 40 bits, eight letters each.
+BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {1 + 10 * part}, 10) AS bigint) >> {35 - 5 * k}) & 31 AS bigint) + 1, 1)" for part in range(4) for k in range(8)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": f"""SELECT page_id, octet_length(encode(p)) AS payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+  FROM (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)""",
+    "op6_ngram_join": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+  g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+  t AS (SELECT doc_id, least(doc_id, coalesce(min(y), doc_id)) AS text_class FROM documents LEFT JOIN l ON x = doc_id AND same GROUP BY doc_id),
+  r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+  h AS (SELECT x, min(y) AS head FROM r GROUP BY x),
+  c AS (SELECT x, count(*) AS n_links, count(DISTINCT CASE WHEN NOT same THEN text_class END) AS n_text_links FROM l JOIN t ON t.doc_id = l.y GROUP BY x)
+  SELECT t.doc_id, t.text_class, least(t.doc_id, coalesce(head, t.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links
+  FROM t LEFT JOIN h ON h.x = t.doc_id LEFT JOIN c ON c.x = t.doc_id""",
+}

@@ -158,9 +158,11 @@ def removed_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, th, line_no of the lines that go."""
     lines = written(line_rows(docs, s), "lines")
     here = F.struct("doc_id", "th", "line_no")
-    seen = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    # Written, so that it is made once, and so that the join by digest has an exchange at either side: it is then split
+    # where a third of all lines are equal.
+    seen = written(lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "first-lines")
     equal = lines.join(seen.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(here > F.col("first")).select("doc_id", "th", "line_no")
-    firsts = written(seen.where(F.size("keys") > 0).select("first.*", "keys"), "firsts")
+    firsts = seen.where(F.size("keys") > 0).select("first.*", "keys")
     keyed = firsts.select(F.xxhash64("doc_id", "th", "line_no").alias("lid"), F.explode("keys").alias("k")).distinct()
     busy = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     wanted = keyed.join(busy, "k").select("lid").distinct()
