@@ -1,4 +1,8 @@
-"""Rule tags of receivers and areas, driven by rule tables."""
+"""Rule tags of receivers and areas, driven by rule tables.
+
+A null or blank receiver or area meets no rule; repeated rows are tagged alike; an empty table stays empty; other
+columns are kept.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import lit_array, match_key, receivers, segment_key
+from ..functions.text import let, lit_array, match_key, receivers, segment_key
 
 
-def rule(receiver: Column, spec: dict) -> Column:
-    """Whether any segment meets a rule (see vocabulary.TAG_RULES)."""
+def rule(keys: Column, spec: dict) -> Column:
+    """Whether any of some segment keys (segment_key) meets a rule (see vocabulary.TAG_RULES)."""
 
-    def segment(s: Column) -> Column:
-        padded = segment_key(s)
+    def segment(padded: Column) -> Column:
         key = F.trim(padded)
         found = [F.exists(lit_array(spec["contains"]), lambda p: F.contains(padded, p))] if spec.get("contains") else []
         found += [key.startswith(p) for p in spec.get("startswith", ())]
@@ -23,7 +26,12 @@ def rule(receiver: Column, spec: dict) -> Column:
             found.append(reduce(lambda a, b: a & b, clear, F.endswith(key, F.lit(p))))
         return reduce(lambda a, b: a | b, found, F.lit(False))
 
-    return F.exists(receivers(receiver), segment)
+    return F.coalesce(F.exists(keys, segment), F.lit(False))
+
+
+def rules_met(receiver: Column, rules: dict[str, dict]) -> Column:
+    """A struct of booleans, one for each rule, from segment keys that are made once."""
+    return let(F.transform(receivers(receiver), segment_key), lambda keys: F.struct(*[rule(keys, spec).alias(name) for name, spec in rules.items()]))
 
 
 def tag_collections(
@@ -37,8 +45,13 @@ def tag_collections(
         old = F.col(name) if name in df.columns else F.lit(None).cast("boolean")
         return df.withColumn(name, value if row_mask is None else F.when(row_mask, value).otherwise(old))
 
-    for name, spec in rules.items():
-        out = put(out, name, F.coalesce(rule(F.col(receiver_column), spec), F.lit(False)))
+    if rules:
+        # A name of its own, so that no column of the input is meant.
+        met = "rules met " + " ".join(sorted(reports.columns))
+        out = out.withColumn(met, rules_met(F.col(receiver_column), rules))
+        for name in rules:
+            out = put(out, name, F.col(f"`{met}`.`{name}`"))
+        out = out.drop(met)
     if areas is not None:
         keys = areas.select(match_key(F.col("area")).alias("_area_key"), F.lit(True).alias("_hit")).where("_area_key <> ''").distinct()
         out = put(out.withColumn("_k", match_key(F.col(area_column))).join(keys, F.col("_k") == F.col("_area_key"), "left"), area_tag, F.coalesce("_hit", F.lit(False))).drop("_k", "_area_key", "_hit")
