@@ -5,7 +5,8 @@ such a place), and equal chunks have equal ids. The distinct new words of a batc
 first in sorted order: each node is a prefix whose state is the last token of the prefix's encoding, found from
 the states above it - the one token t ending here for which (last token before t, t) is a pair that merging
 leaves apart. States of shared prefixes are thus computed once, and the current path is all that is held. The
-ids of a word are read off its path. Chunks seen before come from a table of bounded bytes (KEPT_BYTES, in two halves:
+ids of a word are read off its path. A chunk of letters with signs at its end is the letters' ids, then the signs'
+(the pre-tokenizer parts them), so that both are found once. Chunks seen before come from a table of bounded bytes (KEPT_BYTES, in two halves:
 when the newer is full the older is given up), which a task frees when it ends.
 
 Equal to the tokenizers library on the same file for byte-level BPE with its usual splitting pattern, special
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 import struct
 from collections.abc import Callable, Iterator
 
@@ -37,8 +39,11 @@ WORDS = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S",
 #: Finds every place that BREAK passes over (and more: a wider notion of white space).
 LOOSE = re.compile(r" (?:\s|\Z)")
 BREAK = regex.compile(r" (?=\P{White_Space})")
-#: Bytes that the table of chunks may take, about: text, ids and what Python adds to each.
-KEPT_BYTES, ADDED = 128 << 20, 190
+#: Bytes that the table of chunks may take, about: text, ids and what Python adds to each. The second is for tables
+#: that outlive tasks (tokens.py).
+KEPT_BYTES, LONG_KEPT_BYTES, ADDED = 128 << 20, 256 << 20, 190
+#: Signs that the pre-tokenizer parts from letters before them.
+SIGNS = string.punctuation
 #: Pairs of tokens whose fit is remembered.
 PAIRS = 300_000
 
@@ -190,8 +195,8 @@ class Chunks:
     learn: ids of new chunks, given those that start a text and those that a space precedes (each with its space).
     """
 
-    def __init__(self, special: dict[str, int], learn: Callable[[list[str], list[str]], tuple[list[bytes], list[bytes]]]):
-        self.special, self.learn = special, learn
+    def __init__(self, special: dict[str, int], learn: Callable[[list[str], list[str]], tuple[list[bytes], list[bytes]]], most: int = KEPT_BYTES):
+        self.special, self.learn, self.most = special, learn, most
         self.clear()
 
     def clear(self) -> None:
@@ -203,9 +208,9 @@ class Chunks:
     def keep(self, chunk: str, ids: bytes) -> None:
         """Put a chunk into the newer half; a chunk that alone would fill it is not kept."""
         size = len(chunk) + len(ids) + ADDED
-        if size > KEPT_BYTES // 4:
+        if size > self.most // 4:
             return
-        if self.size + size > KEPT_BYTES // 2:
+        if self.size + size > self.most // 2:
             self.older, self.newer, self.size = self.newer, {}, 0
         self.newer[chunk] = ids
         self.size += size
@@ -235,13 +240,35 @@ class Chunks:
                 else:
                     done.append(x)
             parts.append(done)
-        again = {c: ids for c in later if (ids := self.older.get(c)) is not None}
-        new_first, new_later = list(first), [c for c in later if c not in again]
+        known = self.newer.get
+        again: dict[str, bytes] = {}
+        new: dict[str, None] = {}
+        ends: list[tuple[str, str, str]] = []
+        for chunk in later:
+            if (ids := self.older.get(chunk)) is not None:
+                again[chunk] = ids
+                continue
+            stem = chunk.rstrip(SIGNS)
+            if len(stem) == len(chunk) or not stem.isalpha():
+                new[chunk] = None
+                continue
+            tail = chunk[len(stem) :]
+            ends.append((chunk, stem, tail))
+            first[tail] = b""
+            if stem not in later and known(stem) is None:
+                if (ids := self.older.get(stem)) is not None:
+                    again[stem] = ids
+                else:
+                    new[stem] = None
+        new_first, new_later = list(first), list(new)
         ids_first, ids_later = self.learn(new_first, new_later)
         first = dict(zip(new_first, ids_first, strict=True))
-        later = again | dict(zip(new_later, ids_later, strict=True))
-        for chunk, ids in later.items():
+        found = again | dict(zip(new_later, ids_later, strict=True))
+        for chunk, stem, tail in ends:
+            found[chunk] = (found[stem] if stem in found else known(stem)) + first[tail]
+        for chunk, ids in found.items():
             self.keep(chunk, ids)
+        later = found
         out = []
         for done in parts:
             pieces: list[bytes] = []
@@ -310,7 +337,7 @@ def library_chunks(text: str) -> Chunks:
             out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return [packed(e.ids) for e in tokenizer.encode_batch_fast(first, add_special_tokens=False)], out
 
-    return Chunks(special, learn)
+    return Chunks(special, learn, LONG_KEPT_BYTES)
 
 
 _HELD: dict = {}

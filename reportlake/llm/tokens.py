@@ -6,7 +6,7 @@ vocabulary allows and else 32-bit. Files of lost attempts are never listed: a fi
 file) holds only what finished tasks report. Starts come from sums over the manifest. Readers open a file's
 footer and decompress the frames of the documents they want.
 
-Tables of chunks (bpe.py, 128 MB at most for each Python worker) outlive a task here, since most chunks come again.
+Tables of chunks (bpe.py, 256 MB at most for each Python worker) outlive a task here, since most chunks come again.
 
 Defined cases: a null text is empty and has the end id only; a null doc_id sorts first and comes back null;
 repeated rows each have their place, ordered by a hash of the text; very long texts are encoded whole, in frames of
