@@ -415,7 +415,8 @@ def near(embeddings: DataFrame, s: Settings = Settings()) -> DataFrame:
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     reps = classes.select("cls", F.col("id").alias("vec"), "copies")
-    least = reach.join(reps, F.col("id") == F.col("cls")).groupBy("component").agg(F.min("vec").alias("head"))
+    # Written, so that the join by component has an exchange at either side, which is split where one component has most.
+    least = written(reach.join(reps, F.col("id") == F.col("cls")).groupBy("component").agg(F.min("vec").alias("head")), "vector-heads")
     of = reach.select(F.col("id").alias("cls"), "component").join(least, "component").select("cls", "head")
     facts = classes.join(links, "cls", "left").join(of, "cls", "left").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head", "id").alias("component_id"))
     keyed = rows.select("vec_id", F.when(fitting(), F.xxhash64(scaled)).alias("k1"), F.when(fitting(), F.hash(scaled)).alias("k2"))

@@ -359,7 +359,8 @@ def join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     links = found.groupBy("cid").agg(F.sum("copies_linked").alias("copies_linked"), F.sum("texts_linked").alias("texts_linked"))
     linked = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     reps = classes.select("cls", "cid", "rep", "copies")
-    heads = linked.join(reps, F.col("id") == F.col("cid")).groupBy("component").agg(F.min("rep").alias("head"))
+    # Written, so that the join by component has an exchange at either side, which is split where one component has most.
+    heads = written(linked.join(reps, F.col("id") == F.col("cid")).groupBy("component").agg(F.min("rep").alias("head")), "ngram-heads")
     facts = (
         reps.join(links, "cid", "left").join(linked.select(F.col("id").alias("cid"), "component"), "cid", "left").join(heads, "component", "left")
         .select("cls", "rep", F.coalesce("head", "rep").alias("head"), (F.coalesce("copies_linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts_linked", F.lit(0)).alias("n_text_links"))

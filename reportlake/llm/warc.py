@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions, scratch
+from .common import partitions, scratch, written
 from .frames import Reader, Writer
 
 NULL_ID, INFO_ID = -(1 << 63), 1 - (1 << 63)
@@ -80,9 +80,11 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, sha1 (hex), response: the page that answers for the payload (null where it is the only one)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", F.sha1(payload).alias("sha1"), F.length(payload).alias("n"))
-    shared = (
+    # Written, so that the join by digest has an exchange at either side: it is split where a third of the pages are equal.
+    shared = written(
         keyed.where(F.col("n") >= least).groupBy("sha1").agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1 and response is not null").drop("copies")
+        .where("copies > 1 and response is not null").drop("copies"),
+        "warc-shared",
     )
     return keyed.join(shared, "sha1").where("page_id is not null and page_id <> response").select("page_id", "sha1", "response").distinct()
 
