@@ -98,7 +98,7 @@ def greedy(v: np.ndarray, adj: np.ndarray, q: np.ndarray, start: np.ndarray, s:
         ids = np.where(ids < 0, m, ids)
         new = ~seen[row, ids]
         seen[row, ids] = True
-        sims = np.einsum("nd,nkd->nk", v[q], v[np.minimum(ids, m - 1)])
+        sims = np.matmul(v[np.minimum(ids, m - 1)], v[q][:, :, None])[:, :, 0]
         return ids, np.where(new, sims, -2)
 
     ids, sims = fresh(start)
@@ -124,13 +124,14 @@ def greedy(v: np.ndarray, adj: np.ndarray, q: np.ndarray, start: np.ndarray, s:
 
 def pruned(v: np.ndarray, rows: np.ndarray, pool: np.ndarray, s: Settings) -> np.ndarray:
     """Robust pruning of candidates (-1: none) to lists: one stays if none nearer that stays is alpha times as near to it as the node."""
-    far = 1 - np.einsum("nd,nkd->nk", v[rows], v[np.maximum(pool, 0)])  # half the squared distance
+    far = 1 - np.matmul(v[np.maximum(pool, 0)], v[rows][:, :, None])[:, :, 0]  # half the squared distance
     alive = (pool >= 0) & (pool != rows[:, None])
     far = np.where(alive, far, 9.0)
     order = np.argsort(far, axis=1, kind="stable")[:, : 2 * s.degree]
     pool, far, alive = (np.take_along_axis(x, order, 1) for x in (pool, far, alive))
     alive[:, 1:] &= pool[:, 1:] != pool[:, :-1]
-    between = 1 - np.einsum("rcd,red->rce", v[np.maximum(pool, 0)], v[np.maximum(pool, 0)])
+    near = v[np.maximum(pool, 0)]
+    between = 1 - np.matmul(near, near.transpose(0, 2, 1))
     kept = np.zeros_like(alive)
     count = np.zeros(len(rows), int)
     for c in range(pool.shape[1]):
