@@ -41,7 +41,7 @@ LOOSE = re.compile(r" (?:\s|\Z)")
 BREAK = regex.compile(r" (?=\P{White_Space})")
 #: Bytes that the table of chunks may take, about: text, ids and what Python adds to each. The second is for tables
 #: that outlive tasks (tokens.py).
-KEPT_BYTES, LONG_KEPT_BYTES, ADDED = 128 << 20, 256 << 20, 190
+KEPT_BYTES, LONG_KEPT_BYTES, ADDED = 64 << 20, 256 << 20, 190
 #: Signs that the pre-tokenizer parts from letters before them.
 SIGNS = string.punctuation
 #: Pairs of tokens whose fit is remembered.

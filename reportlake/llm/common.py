@@ -36,6 +36,15 @@ def trimmed(run: Callable) -> Callable:
     return outer
 
 
+def few_rows_a_batch(spark: SparkSession, most: int = 2000) -> None:
+    """Arrow batches of fewer rows than Spark's default, since texts make long rows: a batch is held on both sides of
+    the pipe. A session's own lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer's estimate of a plan's size; for a scan, its file size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -81,6 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shipped(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        common.few_rows_a_batch(spark)
         return f(spark, sf_dir)
 
     return run
