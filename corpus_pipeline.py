@@ -14,33 +14,39 @@ from reportlake.llm import bpe, common, decontaminate, entries, lines, ngram_joi
 from reportlake.session import ship
 
 
+def ready(spark: SparkSession) -> None:
+    """The package on the executors, and Arrow batches that suit long texts."""
+    ship(spark)
+    common.few_rows_a_batch(spark)
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    ship(spark)
+    ready(spark)
     return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines within one word edit the earliest stays; documents left without words go."""
-    ship(spark)
+    ready(spark)
     return lines.keep_new(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that n-gram links join, the smallest doc_id stays."""
-    ship(spark)
+    ready(spark)
     return ngram_join.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    ship(spark)
+    ready(spark)
     return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left: their number, digests of the ids and of the decoded text."""
-    ship(spark)
+    ready(spark)
     return bpe.round_trip(docs, entries.vocabulary(spark))
 
 
