@@ -78,6 +78,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import rank
+
+    return rank(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(common.table(spark, sf_dir, "documents")).drop("copies")
+
+
 def _shipped(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -87,7 +105,7 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_sharding, op3_bpe, op4_line_dedup, op5_warc, op6_ngram_join, op7_near_vectors, op8_toxicity, op9_tokens, op10_decontamination)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_suffix_dedup, op2_sharding, op3_bpe, op4_line_dedup, op5_warc, op6_ngram_join, op7_near_vectors, op8_toxicity, op9_tokens, op10_decontamination, op11_ranked_search, op12_whitening, op13_mixing)}
 
 #: Base 32 of a hexadecimal SHA-1 in column h: four numbers of 40 bits, eight letters each.
 BASE32 = " || ".join(
@@ -109,4 +127,25 @@ ORACLE_SQL: dict[str, str] = {
   c AS (SELECT x, count(*) AS n_links, count(DISTINCT CASE WHEN NOT same THEN text_class END) AS n_text_links FROM l JOIN t ON t.doc_id = l.y GROUP BY x)
   SELECT t.doc_id, t.text_class, least(t.doc_id, coalesce(head, t.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links
   FROM t LEFT JOIN h ON h.x = t.doc_id LEFT JOIN c ON c.x = t.doc_id""",
+    "op11_ranked_search": r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+  s AS (SELECT count(*) AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
+  p AS (SELECT k, doc_id, n, t, count(*) AS tf FROM (SELECT k, doc_id, len(t) AS n, unnest(t) AS t FROM d) GROUP BY ALL),
+  w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+  r AS (SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY ALL)
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
+    "op13_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+  s AS (SELECT source, sum(size)::HUGEINT AS words, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::HUGEINT AS weight FROM d GROUP BY source),
+  o AS (SELECT *, sum(words) OVER () AS total, coalesce(sum(words) OVER (ORDER BY words::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (ORDER BY words::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s),
+  c AS (SELECT *, weight * (3 * total - 4 * below) > 4 * words * open AS is_full FROM o),
+  f AS (SELECT (3 * max(total) - 4 * coalesce(sum(words) FILTER (is_full), 0))::DOUBLE / 2 AS remaining, greatest(coalesce(sum(weight) FILTER (NOT is_full), 0), 1)::DOUBLE AS open FROM c),
+  t AS (SELECT source, words, CASE WHEN is_full OR words = 0 THEN words::DOUBLE * 2 ELSE remaining * weight::DOUBLE / f.open END AS target FROM c, f),
+  g AS (SELECT *, CASE WHEN words = 0 THEN 0 ELSE floor(target / words::DOUBLE)::BIGINT END AS copies FROM t),
+  u AS (SELECT d.*, words, target, copies, target - (copies * words)::DOUBLE AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS c
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+  x AS (SELECT *, copies + CASE WHEN words > 0 AND (2 * c - size)::DOUBLE < 2 * rest THEN 1 ELSE 0 END AS copies_taken FROM u)
+  SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, target, (size * copies_taken)::BIGINT AS taken FROM x""",
 }
