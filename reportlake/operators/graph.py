@@ -6,20 +6,21 @@ empty tables give empty networks; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import dashboard_value, first_seen, receivers
+from ..storage import stored
 
 #: Nodes shown of each kind, edges, theme pairs, theme pairs of one theme.
 NODE_CAPS = {"receiver": 72, "coroner": 44, "area": 36}
 EDGE_CAP, PAIR_CAP, PAIRS_EACH = 2600, 420, 8
-#: Theme pairs that greedy_pairs takes, and edges that betweenness sends to every task.
-MOST_PAIRS, MOST_EDGES = 1_000_000, 2_000_000
+#: Edges of a graph that a task may hold whole: 32 MB twice over, both ways.
+EDGES_IN_TASK = 2_000_000
 
 
 def node_rows(reports: DataFrame, themes: Sequence[str] = (), key: str = "report_id") -> DataFrame:
@@ -140,27 +141,32 @@ def label_threshold(node: DataFrame) -> DataFrame:
 
 
 def greedy_pairs(pairs: DataFrame, each: int = PAIRS_EACH, total: int = PAIR_CAP) -> DataFrame:
-    """Theme pairs by Jaccard, then count; a pair is skipped once either theme has its number.
+    """Theme pairs by Jaccard, then count, then names; a pair is skipped once either theme has its number.
 
-    Inherently sequential: a pair is taken or not by those before it. All theme pairs go to one group; they are a
-    dimension (flag columns squared), and more than MOST_PAIRS of them are an error.
+    In rounds: a pair that is among the best left at both of its themes, as many as each has room for, is taken, since
+    no better pair can fill either before its turn; pairs at a theme without room left go, since those that filled it
+    are better. That takes the same pairs as one after the other, and each round takes the best pair left at
+    least. Only the first ``each`` pairs of a theme are ranked, in two steps, so a theme of many pairs loads no task.
+    Themes must differ within a pair; a pair that comes up twice is two.
     """
-    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} theme pairs")
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, int] = defaultdict(int)
-        kept = []
-        for r in rows.sort_values(["jaccard", "n", "source", "target"], ascending=[False, False, True, True]).itertuples(index=False):
-            if len(kept) == total:
-                break
-            if held[r.source] < each and held[r.target] < each:
-                held[r.source] += 1
-                held[r.target] += 1
-                kept.append(r)
-        return pd.DataFrame(kept, columns=rows.columns).drop(columns="_all")
-
-    return pairs.select(F.lit(1).alias("_all"), "source", "target", "n", "jaccard").groupBy("_all").applyInPandas(take, "source string, target string, n long, jaccard double")
+    named = pairs.select("source", "target", "n", "jaccard").withColumn("nth", F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("jaccard"), F.desc("n"))))
+    left = stored(named, "pairs")
+    taken = left.where("false")
+    order = [F.desc("jaccard"), F.desc("n"), F.col("source"), F.col("target"), F.col("nth")]
+    while not left.isEmpty():
+        held = taken.select(F.explode(F.array("source", "target")).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("has"))
+        ends = left.select("*", F.explode(F.array("source", "target")).alias("theme"))
+        for by in ([F.col("theme"), F.pmod(F.xxhash64("source", "target"), F.lit(32))], [F.col("theme")]):
+            ends = ends.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= each)
+        good = ends.join(held, "theme", "left").where(F.col("place") <= each - F.coalesce("has", F.lit(0)))
+        both = good.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").drop("ends")
+        taken = stored(taken.unionByName(both), "pairs")
+        full = taken.select(F.explode(F.array("source", "target")).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("has")).where(F.col("has") >= each)
+        left = left.join(taken, left.columns, "left_anti")
+        for end in ("source", "target"):
+            left = left.join(full.select(F.col("theme").alias(end)), end, "left_anti")
+        left = stored(left.select(*taken.columns), "pairs")
+    return taken.orderBy(*order).limit(total).drop("nth")
 
 
 def degree(edge: DataFrame, n_nodes: int | None = None) -> DataFrame:
@@ -170,53 +176,121 @@ def degree(edge: DataFrame, n_nodes: int | None = None) -> DataFrame:
     return both.groupBy("id").agg((F.countDistinct("other") / F.lit(max(1, total - 1))).alias("degree"), F.sum("n").alias("strength"))
 
 
-def betweenness(edge: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
+def betweenness(edge: DataFrame, most_edges: int = EDGES_IN_TASK, sources_a_block: int = 2_000) -> DataFrame:
     """Betweenness by shortest paths, undirected, scaled by the pairs of other nodes (Brandes 2001).
 
-    The whole graph: adjacency goes to every task (its number of edges is checked), and each task follows the paths
-    from sources of its own; shares are summed by node. Repeated edges count once; an edge to itself is none.
+    Nodes are numbered and the graph is written once. Up to ``most_edges`` edges, each task reads the whole graph from there
+    and follows the paths from sources of its own, a level of all their frontiers at a time; beyond that, the levels of a
+    block of sources are tables, and a step is a join of the frontier with the edges. The driver sees neither.
+    Repeated edges count once; an edge to itself is none; nodes without an edge have no row.
     """
-    pairs = edge.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    held = pairs.limit(most_edges + 1).toPandas()
-    if len(held) > most_edges:
-        raise ValueError(f"the graph has more than {most_edges} edges")
-    names = pd.unique(pd.concat([held["a"], held["b"]], ignore_index=True))
-    place = {x: k for k, x in enumerate(names)}
-    near: list[list[int]] = [[] for _ in names]
-    for a, b in zip(held["a"].map(place), held["b"].map(place), strict=True):
-        near[a].append(b)
-        near[b].append(a)
-    spark, n = edge.sparkSession, len(names)
-    sent = spark.sparkContext.broadcast((list(names), near))
+    spark = edge.sparkSession
+    named = edge.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    both = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    nodes, n = numbered(both.select(F.col("a").alias("id")).distinct())
+    from_id, to_id = nodes.select(F.col("id").alias("a"), F.col("number").alias("x")), nodes.select(F.col("id").alias("b"), F.col("number").alias("y"))
+    graph_rows = stored(both.join(from_id, "a").join(to_id, "b").select("x", "y"), "edges")
+    if graph_rows.count() <= 2 * most_edges:
+        shares = _shares_in_tasks(spark, graph_rows, n)
+    else:
+        shares = spark.createDataFrame([], "number long, share double")
+        for low in range(0, n, sources_a_block):
+            block = _shares_by_joins(graph_rows, nodes.where(F.col("number").between(low, low + sources_a_block - 1)).select("number"))
+            shares = stored(shares.unionByName(block).groupBy("number").agg(F.sum("share").alias("share")), "shares")
+    scale = F.lit(float(max(1, (n - 1) * (n - 2))))
+    total = shares.groupBy("number").agg(F.sum("share").alias("share"))
+    return nodes.join(total, "number", "left").select("id", (F.coalesce("share", F.lit(0.0)) / scale).alias("betweenness"))
+
+
+def numbered(ids: DataFrame) -> tuple[DataFrame, int]:
+    """(id, number) with numbers from 0 on without gaps, in order of the id, and how many: ranked within ranges, which are counted."""
+    held = stored(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ids")
+    first, n = [], 0
+    for r in held.groupBy("part").count().orderBy("part").toLocalIterator():  # a row for each range
+        first += [F.lit(r["part"]), F.lit(n)]
+        n += r["count"]
+    start = F.create_map(*first)[F.col("part")] if first else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    return stored(held.select("id", (start + place - 1).cast("long").alias("number")), "ids"), n
+
+
+def _shares_in_tasks(spark: SparkSession, graph_rows: DataFrame, n: int) -> DataFrame:
+    """number, share of each node by each task; the graph comes from its files, sources from a range."""
+    files = graph_rows.inputFiles()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, near = sent.value
-        through = [0.0] * len(ids)
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *[_pairs_of(f) for f in files]])
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        begin = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+        near, through = pairs[:, 1], np.zeros(n)
         for f in frames:
-            for start in f["id"]:
-                far, paths, order, before = {start: 0}, defaultdict(float, {start: 1.0}), [], defaultdict(list)
-                queue = deque([start])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near[v]:
-                        if w not in far:
-                            far[w] = far[v] + 1
-                            queue.append(w)
-                        if far[w] == far[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share: dict[int, float] = defaultdict(float)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != start:
-                        through[w] += share[w]
-        yield pd.DataFrame({"id": ids, "share": through})
+            for source in f["id"]:
+                _add_shares(int(source), begin, near, through)
+        got = np.flatnonzero(through)
+        yield pd.DataFrame({"number": got, "share": through[got]})
 
     parts = max(1, min(n // 50, 2000))
-    shares = spark.range(0, n, 1, parts).mapInPandas(run, "id string, share double")
-    return shares.groupBy("id").agg((F.sum("share") / F.lit(float(max(1, (n - 1) * (n - 2))))).alias("betweenness"))
+    return spark.range(0, n, 1, parts).mapInPandas(run, "number long, share double")
+
+
+def _pairs_of(uri: str) -> np.ndarray:
+    """(x, y) of one file of edges, from any store that pyarrow knows, or a local mount."""
+    import pyarrow.parquet as pq
+
+    if uri.startswith("file:"):
+        table = pq.read_table("/" + uri[5:].lstrip("/"), columns=["x", "y"], partitioning=None)
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        table = pq.read_table(path, columns=["x", "y"], filesystem=store, partitioning=None)
+    return np.stack([table["x"].to_numpy(), table["y"].to_numpy()], axis=1)
+
+
+def _add_shares(source: int, begin: np.ndarray, near: np.ndarray, through: np.ndarray) -> None:
+    """Add to each node its share of the shortest paths from a source: out level by level, and back."""
+    n = len(begin) - 1
+    level, paths, share = np.full(n, -1), np.zeros(n), np.zeros(n)
+    level[source], paths[source] = 0, 1.0
+    front, steps = np.array([source]), []
+    while len(front):
+        many = begin[front + 1] - begin[front]
+        a = np.repeat(front, many)
+        b = near[np.repeat(begin[front] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+        level[b[level[b] < 0]] = len(steps) + 1
+        on = level[b] == len(steps) + 1
+        a, b = a[on], b[on]
+        np.add.at(paths, b, paths[a])
+        steps.append((a, b))
+        front = np.unique(b)
+    for a, b in reversed(steps):
+        np.add.at(share, a, paths[a] / paths[b] * (1 + share[b]))
+    share[source] = 0.0
+    through += share
+
+
+def _shares_by_joins(graph_rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """number, share of each node from a block of sources: levels as tables (source, number, paths), each written."""
+    front = stored(sources.select(F.col("number").alias("source"), "number", F.lit(1.0).alias("paths")), "level")
+    levels = [front]
+    seen = front.select("source", "number")
+    while True:
+        reached = front.join(graph_rows, front["number"] == graph_rows["x"]).groupBy("source", F.col("y").alias("number")).agg(F.sum("paths").alias("paths"))
+        # A neighbour of a level is on the one before, on the same, or new.
+        front = stored(reached.join(seen, ["source", "number"], "left_anti"), "level")
+        if front.isEmpty():
+            break
+        seen = levels[-1].select("source", "number").unionByName(front.select("source", "number"))
+        levels.append(front)
+    share = levels[-1].select("source", "number", "paths", F.lit(0.0).alias("share"))
+    every = share.select("number", "share")
+    for before in reversed(levels[1:-1]):
+        a = before.select("source", F.col("number").alias("x"), F.col("paths").alias("own"))
+        back = share.join(graph_rows.select("x", F.col("y").alias("number")), "number").join(a, ["source", "x"])
+        given = back.groupBy("source", F.col("x").alias("number")).agg(F.sum(F.col("own") / F.col("paths") * (1 + F.col("share"))).alias("share"))
+        share = stored(before.join(given, ["source", "number"], "left").select("source", "number", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "share")
+        every = every.unionByName(share.select("number", "share"))
+    return every.groupBy("number").agg(F.sum("share").alias("share"))
 
 
 def visible(node: DataFrame, edge: DataFrame, kinds: Sequence[str], theme_cap: int, limit: int, least_weight: int, focus: str | None = None, text: str | None = None) -> DataFrame:

@@ -3,10 +3,15 @@
 A model is any object with ``generate(prompts: list[str], schema: dict | None) -> list[str]`` that can be pickled.
 Prompts are column expressions; distinct prompts that the cache lacks meet the model in mapInPandas, a few at a
 time, with retries; replies are written to the shared folder, so no later action calls the model again.
+
+Cases: null sections are left out of a prompt, and a report of nothing but nulls has an empty one; reports with equal
+prompts are asked once and have equal replies, repeated rows too; an empty table asks nothing; all other columns are kept, whatever
+their names; a column named as a result's gives way to it.
 """
 
 from __future__ import annotations
 
+import copy
 import json
 import random
 import re
@@ -25,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import first_words, labelled, repaired_json, word_count
 from ..storage import stored
+from .rows import fields_of, name_of, whole
 
 SECTIONS = ("investigation", "circumstances", "concerns")
 
@@ -108,13 +114,22 @@ def with_retries(call: Callable[[], Any], longest: float = 60.0, base: float = 1
             waited, k = waited + pause, k + 1
 
 
-def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch: int = 64, attempts: int = 2, partitions: int | None = None, progress: Callable[[int], None] | None = None) -> DataFrame:
+def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch: int = 64, attempts: int = 2, partitions: int | None = None, calls: int | None = None, progress: Callable[[int], None] | None = None) -> DataFrame:
     """(prompt_sha, reply, error) of the distinct prompts of a ``prompt`` column. Written once, read often.
 
-    partitions bounds how many tasks call the model at a time. A reply that is no object of the schema is asked
+    calls bounds the requests in flight over all tasks of the cluster: there are as many tasks as that at most, and a
+    model with ``workers`` gets its task's share of them, so that tasks times workers stays within (each attempt that Spark
+    runs twice counts twice). partitions bounds the tasks alone. A reply that is no object of the schema is asked
     again, ``attempts`` times; what fails in the end has an error and no reply. progress: called on the driver with
     the number of prompts done, every second and at the end.
     """
+    if calls is not None:
+        if calls < 1:
+            raise ValueError("calls must be positive")
+        partitions = min(calls, partitions or prompts.sparkSession.sparkContext.defaultParallelism)
+        if hasattr(model, "workers"):
+            model = copy.copy(model)
+            model.workers = max(1, min(model.workers, calls // partitions))
     done = prompts.sparkSession.sparkContext.accumulator(0)
 
     def valid(reply: str) -> bool:
@@ -170,8 +185,15 @@ def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch:
         progress(done.value)
 
 
+def answered(prompted: DataFrame, replies: DataFrame) -> DataFrame:
+    """prompted (row, prompt and what else it has) with ``reply`` and ``error``, null where nothing was asked."""
+    return prompted.withColumn("prompt_sha", F.sha2("prompt", 256)).join(replies, "prompt_sha", "left")
+
+
 class Cache:
-    """Replies by prompt digest, on Parquet."""
+    """Replies by prompt digest, on Parquet; written together once in ``gather`` calls, so that plans stay short."""
+
+    gather = 8
 
     def __init__(self, known: DataFrame | None = None):
         self.known = known
@@ -183,8 +205,9 @@ class Cache:
         good = fresh.where("error is null")
         both = self.known.unionByName(good) if self.known is not None else good
         # Whatever is asked twice is held once; errors are not held, so they are asked again.
-        self.known = both
-        return both.unionByName(fresh.where("error is not null"))
+        self.calls = getattr(self, "calls", 0) + 1
+        self.known = stored(both, "replies") if self.calls % self.gather == 0 else both
+        return self.known.unionByName(fresh.where("error is not null"))
 
     def export(self, path: str) -> None:
         if self.known is None:
@@ -211,20 +234,16 @@ def screen(
         raise ValueError("the search query is empty")
     if model is None:
         raise ValueError("screening needs a model")
-    prompted = reports.withColumn("prompt", F.concat(F.lit(f"Does this report match the query? Answer Yes or No. Query: {query.strip()}\n\n"), report_text(columns)))
+    prompted = whole(reports, prompt=F.concat(F.lit(f"Does this report match the query? Answer Yes or No. Query: {query.strip()}\n\n"), report_text(columns)))
     schema = {"matches": "bool", "spans": "str"} if produce_spans else None
-    replies = (cache or Cache()).answer(prompted.select("prompt"), model, schema)
-    joined = prompted.withColumn("prompt_sha", F.sha2("prompt", 256)).join(replies, "prompt_sha", "left")
-    if produce_spans:
-        says = F.lower(F.get_json_object("reply", "$.matches"))
-        spans = F.nullif(F.trim(F.get_json_object("reply", "$.spans")), F.lit(""))
-        joined = joined.withColumn(f"spans_{result_col}", spans)
-    else:
-        says = F.lower(F.trim("reply"))
+    joined = answered(prompted, (cache or Cache()).answer(prompted.select("prompt"), model, schema))
+    says = F.lower(F.get_json_object("reply", "$.matches")) if produce_spans else F.lower(F.trim("reply"))
     verdict = F.when(F.col("reply").isNotNull(), says.rlike("^(yes|true)"))
-    spans_col = [f"spans_{result_col}"] if produce_spans and not drop_spans else []
-    out = joined.withColumn(result_col, verdict).select(*reports.columns, *spans_col, result_col)
-    return out.where(F.col(result_col)).drop(result_col) if filter_df else out
+    spans = F.nullif(F.trim(F.get_json_object("reply", "$.spans")), F.lit("")).alias(f"spans_{result_col}")
+    more = [spans] if produce_spans and not drop_spans else []
+    if filter_df:
+        return joined.where(verdict).select(*fields_of(reports, [f"spans_{result_col}"] if more else []), *more)
+    return joined.select(*fields_of(reports, [result_col, *([f"spans_{result_col}"] if more else [])]), *more, verdict.alias(result_col))
 
 
 #: Python names of feature types and theirs in Spark.
@@ -252,22 +271,21 @@ def extract(
     present = [n for n in wanted if n in reports.columns]
     gap = ~F.lit(skip_if_present and len(present) == len(wanted))
     for n in present:
-        gap = gap | F.col(n).isNull()
-    prompted = reports.withColumn("prompt", F.when(gap, ask_for)).withColumn("prompt_sha", F.sha2("prompt", 256))
-    replies = (cache or Cache()).answer(prompted.select("prompt"), model, wanted)
+        gap = gap | F.col(name_of(n)).isNull()
+    prompted = whole(reports, prompt=F.when(gap, ask_for), gap=gap)
     schema = T.StructType([T.StructField(n, TYPES[k]) for n, k in wanted.items()])
-    joined = prompted.join(replies, "prompt_sha", "left").withColumn("_r", F.from_json(repaired_json(F.col("reply")), schema))
+    replies = (cache or Cache()).answer(prompted.select("prompt"), model, wanted)
+    joined = answered(prompted, replies).withColumn("found", F.from_json(repaired_json(F.col("reply")), schema))
     out = []
     for n in wanted:
-        value = F.col(f"_r.`{n}`")
+        value = F.col(f"found.{name_of(n)}")
         if wanted[n] == "str":
             value = F.nullif(F.trim(value), F.lit("")) if n.startswith("spans_") else value
         if allowed and n in allowed:
             value = F.when(value.isin(*allowed[n]), value)
-        out.append((F.when(gap, value).otherwise(F.col(n)) if n in present else value).alias(n))
-    old = [F.col(c) for c in reports.columns if c not in wanted]
+        out.append((F.when(F.col("gap"), value).otherwise(F.col(f"row.{name_of(n)}")) if n in present else value).alias(n))
     kept = [c for c, n in zip(out, wanted, strict=True) if not (drop_spans and n.startswith("spans_"))]
-    return joined.select(*old, *kept)
+    return joined.select(*fields_of(reports, wanted), *kept)
 
 
 def summarise(reports: DataFrame, columns: Sequence[str] = SECTIONS, result_col: str = "summary", trim_approach: str = "truncate", intensity: str | None = None, max_words: int | None = None, max_tokens: int | None = None, model: TextModel | None = None, tokenizer: str | None = None) -> DataFrame:
@@ -285,9 +303,8 @@ def summarise(reports: DataFrame, columns: Sequence[str] = SECTIONS, result_col:
         return reports.withColumn(result_col, first_words(text, max_words) if max_words is not None else text)
     if model is None:
         raise ValueError("summaries need a model")
-    prompted = reports.withColumn("prompt", F.concat(F.lit(f"Summarise the report ({intensity or 'medium'}).\n\n"), report_text(columns)))
-    replies = ask(prompted.select("prompt"), model)
-    return prompted.withColumn("prompt_sha", F.sha2("prompt", 256)).join(replies, "prompt_sha", "left").select(*reports.columns, F.col("reply").alias(result_col))
+    prompted = whole(reports, prompt=F.concat(F.lit(f"Summarise the report ({intensity or 'medium'}).\n\n"), report_text(columns)))
+    return answered(prompted, ask(prompted.select("prompt"), model)).select(*fields_of(reports, [result_col]), F.col("reply").alias(result_col))
 
 
 def token_counts(c: Column, tokenizer: str | None = None) -> Column:
@@ -361,23 +378,44 @@ def _flat(v: Any) -> str:
 
 def clean_column(reports: DataFrame, model: TextModel, column: str, instruction: str) -> DataFrame:
     """A column rewritten by a model; nulls are not asked, and failures keep what was there."""
-    prompted = reports.withColumn("prompt", F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{instruction}\n\n"), F.col(column))))
-    replies = ask(prompted.select("prompt"), model)
+    own = F.col(name_of(column))
+    prompted = whole(reports, prompt=F.when(own.isNotNull(), F.concat(F.lit(f"{instruction}\n\n"), own)))
     good = F.when(~F.coalesce(F.col("reply").startswith("Error"), F.lit(False)), F.col("reply"))
-    return prompted.withColumn("prompt_sha", F.sha2("prompt", 256)).join(replies, "prompt_sha", "left").withColumn(column, F.coalesce(good, F.col(column))).select(*reports.columns)
+    joined = answered(prompted, ask(prompted.select("prompt"), model))
+    return joined.select(*[F.coalesce(good, F.col(f"row.{name_of(c)}")).alias(c) if c == column else F.col(f"row.{name_of(c)}").alias(c) for c in reports.columns])
 
 
 def fill_missing(reports: DataFrame, model: TextModel, fields: Sequence[str], text: str) -> DataFrame:
     """Null fields of reports from their text; rows without a gap are not asked."""
     gap = F.lit(False)
     for f in fields:
-        gap = gap | F.col(f).isNull()
-    prompted = reports.withColumn("prompt", F.when(gap, F.concat(F.lit(f"Give the fields {', '.join(fields)}.\n\n"), F.coalesce(F.col(text), F.lit("")))))
+        gap = gap | F.col(name_of(f)).isNull()
+    prompted = whole(reports, prompt=F.when(gap, F.concat(F.lit(f"Give the fields {', '.join(fields)}.\n\n"), F.coalesce(F.col(name_of(text)), F.lit("")))))
     wanted = {f: "str" for f in fields}
-    replies = ask(prompted.select("prompt"), model, wanted)
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    joined = prompted.withColumn("prompt_sha", F.sha2("prompt", 256)).join(replies, "prompt_sha", "left").withColumn("_r", F.from_json("reply", schema))
-    return joined.select(*[F.coalesce(F.col(c), F.col(f"_r.`{c}`").cast(dict(reports.dtypes)[c])).alias(c) if c in fields else F.col(c) for c in reports.columns])
+    joined = answered(prompted, ask(prompted.select("prompt"), model, wanted)).withColumn("found", F.from_json("reply", schema))
+    own = lambda c: F.col(f"row.{name_of(c)}")
+    return joined.select(*[F.coalesce(own(c), F.col(f"found.{name_of(c)}").cast(dict(reports.dtypes)[c])).alias(c) if c in fields else own(c).alias(c) for c in reports.columns])
+
+
+@F.udtf(returnType="theme string, description string")
+class ThemeRows:
+    """A reply's themes as rows, for LATERAL joins: ``SELECT * FROM replies, LATERAL theme_rows(reply)``.
+
+    Replies that are null or no object, and objects without a theme, give no row.
+    """
+
+    def eval(self, reply: str):
+        try:
+            found = parse_themes(reply) if reply else {}
+        except ValueError:
+            found = {}
+        yield from found.items()
+
+
+def register(spark) -> None:
+    """The table functions of this module in SQL."""
+    spark.udtf.register("theme_rows", ThemeRows)
 
 
 def cascade(reports: DataFrame, stages: dict[str, dict[str, Column]], order: Sequence[str], fields: Sequence[str]) -> DataFrame:

@@ -102,7 +102,7 @@ def histogram(lengths: DataFrame, bins: int | str = 20, column: str = "n") -> Da
 
 
 def lengths(reports: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Words of the sections together, by row."""
+    """``n``: words of the sections together, by row. A report's own column of that name is read, and gives way."""
     return reports.withColumn("n", word_count(F.concat_ws(" ", *[F.col(c) for c in columns])))
 
 

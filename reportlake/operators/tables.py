@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import identifier
+from ..storage import stored
+from .rows import fields_of, name_of, whole
 
 
 def replace_columns(old: DataFrame, new: DataFrame, fields: Sequence[str], key: str = "url") -> DataFrame:
@@ -22,8 +24,9 @@ def replace_columns(old: DataFrame, new: DataFrame, fields: Sequence[str], key:
 
 def refresh_columns(old: DataFrame, new: DataFrame, fields: Sequence[str], key: str = "url") -> DataFrame:
     """Like replace_columns, but what the other table lacks stays as it is."""
-    fresh = new.select(F.col(key), *[F.col(f).alias(f"_new_{f}") for f in fields])
-    return old.join(fresh, key, "left").select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in old.columns])
+    fresh = new.select(F.col(name_of(key)).alias("key"), F.struct(*[F.col(name_of(f)) for f in fields]).alias("fresh"))
+    both = whole(old).join(fresh, F.col(f"row.{name_of(key)}") == F.col("key"), "left")
+    return both.select(*[F.coalesce(F.col(f"fresh.{name_of(c)}"), F.col(f"row.{name_of(c)}")).alias(c) if c in fields else F.col(f"row.{name_of(c)}").alias(c) for c in old.columns])
 
 
 def changes(old: DataFrame, new: DataFrame, fields: Sequence[str], key: str = "url") -> DataFrame:
@@ -91,17 +94,33 @@ def allocation(strata: DataFrame, size: int, column: str = "year") -> list[tuple
 
 
 def stratified_sample(df: DataFrame, size: int, seed: int = 67, day: str = "date", key: str = "report_id") -> DataFrame:
-    """A sample by year (none is -1) in proportion, rows picked by a seeded hash: the same on any cluster."""
+    """A sample by year (none is -1) in proportion, rows picked by a seeded hash: the same on any cluster.
+
+    Picked among years, keys and hashes alone, below a threshold of the hash that leaves a few more than wanted (raised
+    where it left too few); rows come by a semi-join with the picked keys. Of rows that share a key all or some come.
+    """
     if size <= 0:
         return df
-    years = df.select(F.struct("*").alias("row"), F.coalesce(F.year(day), F.lit(-1)).alias("y"), F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("id"))
-    plan = allocation(years.select(F.col("y").alias("year")), size)
-    share = df.sparkSession.createDataFrame([(s, t) for s, _, t in plan], "y int, take int")  # a row for each year
-    placed = years.join(F.broadcast(share), "y").withColumn("salt", F.pmod("h", F.lit(64)))
-    # First within shares of a year, then among what those leave: no task sorts a year whole.
-    for keys in (["y", "salt"], ["y"]):
-        placed = placed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).where("place <= take")
-    return placed.select("row.*")
+    narrow = stored(df.select(F.coalesce(F.year(day), F.lit(-1)).alias("y"), F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("id")), "sample-keys")
+    plan = allocation(narrow.select(F.col("y").alias("year")), size)
+    if not plan:
+        return df.limit(0)
+    room = 2.0**64
+    # A year's share of hashes, with a margin of ten standard deviations: fewer than wanted come with no chance to speak of.
+    cuts = [(s, t, -(2.0**63) + room * min(1.0, (t + 10 * t**0.5 + 20) / n)) for s, n, t in plan]
+    share = df.sparkSession.createDataFrame(cuts, "y int, take int, cut double")  # a row for each year
+    for cut in (F.col("h").cast("double") <= F.col("cut"), F.lit(True)):
+        few = narrow.join(F.broadcast(share), "y").where(cut).withColumn("salt", F.pmod("h", F.lit(64)))
+        # First within shares of a year, then among what those leave: no task sorts a year whole.
+        for by in (["y", "salt"], ["y"]):
+            few = few.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where("place <= take")
+        few = stored(few.select("id", "h"), "sample")
+        if few.count() == sum(t for _, _, t in plan):
+            break
+    picked = few.groupBy("id").agg(F.count(F.lit(1)).alias("many"))
+    both = whole(df).join(F.broadcast(picked), F.col(f"row.{name_of(key)}").eqNullSafe(F.col("id")))  # size rows at most
+    nth = both.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row"))))
+    return nth.where("nth <= many").select(*fields_of(df))
 
 
 def decoys(df: DataFrame, flag: str, n: int = 73, seed: int = 1, key: str = "report_id") -> DataFrame:

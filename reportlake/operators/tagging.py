@@ -53,8 +53,11 @@ def tag_collections(
             out = put(out, name, F.col(f"`{met}`.`{name}`"))
         out = out.drop(met)
     if areas is not None:
-        keys = areas.select(match_key(F.col("area")).alias("_area_key"), F.lit(True).alias("_hit")).where("_area_key <> ''").distinct()
-        out = put(out.withColumn("_k", match_key(F.col(area_column))).join(keys, F.col("_k") == F.col("_area_key"), "left"), area_tag, F.coalesce("_hit", F.lit(False))).drop("_k", "_area_key", "_hit")
+        # Names of their own again.
+        key, hit = (f"{x} of tagged areas {' '.join(sorted(out.columns))}" for x in ("key", "hit"))
+        keys = areas.select(match_key(F.col("area")).alias(key), F.lit(True).alias(hit)).where(F.col(f"`{key}`") != "").distinct()
+        met = out.join(keys, match_key(F.col(f"`{area_column}`")) == F.col(f"`{key}`"), "left")
+        out = put(met, area_tag, F.coalesce(F.col(f"`{hit}`"), F.lit(False))).drop(key, hit)
     return out
 
 

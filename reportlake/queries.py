@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as X, vocabulary as V
-from .operators import canonical, facets, graph, models, search, stats, tables, tagging
+from .operators import canonical, facets, graph, models, search, search_index, stats, tables, tagging
 from .session import ship
 from .sources import html
 from .sources.reports import THEMES, VIEW_SQL, between, collection_names, in_collections, read_csv, read_theme_schema, report_view
-from .sources.sinks import write_csv
+from .sources.sinks import write_csv, write_in_batches
 from .storage import fresh_folder
 from .streaming.topup import event_windows
 
@@ -457,6 +457,34 @@ def _(t):
     return t("events").select("event_id", F.try_element_at(m, first).alias("value"))
 
 
+@query("T30_theme_rows", """SELECT p_partkey, 'size_' || p_size AS theme, replace(p_name, '"', '') AS description FROM part""", view=False)
+def _(t):
+    """Replies with fence, bare keys and trailing commas, taken apart by the table function in SQL."""
+    parts = t("part")
+    models.register(parts.sparkSession)
+    replies = parts.select("p_partkey", F.concat(F.lit("```json\n{themes: {size_"), "p_size", F.lit(': {"description": "'), F.replace("p_name", F.lit('"'), F.lit("")), F.lit('"},},}\n```')).alias("reply"))
+    return parts.sparkSession.sql("SELECT p_partkey, theme, description FROM {replies}, LATERAL theme_rows(reply)", replies=replies)
+
+
+@query("K03_batches", "SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS head FROM documents", view=False)
+def _(t):
+    """The heads of documents in batches by source, so that many rows tie at a batch's end, broken off once and resumed."""
+    docs = t("documents").select("doc_id", "source", "text")
+    path, calls = fresh_folder(docs.sparkSession, "batches"), []
+
+    def step(rows):
+        calls.append(1)
+        if len(calls) == 3:
+            raise InterruptedError
+        return rows.select("doc_id", "source", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("head"))
+
+    for _ in range(2):
+        try:
+            return write_in_batches(docs, path, step, "source", size=100, waves=5).select("doc_id", "head")
+        except InterruptedError:
+            continue
+
+
 @query("T35_number_format", "SELECT area, format('{:,}', count(*) * 1000) AS n FROM reports GROUP BY area", uses=("area",))
 def _(r):
     return r.groupBy("area").agg(F.count(F.lit(1)).alias("n")).select("area", F.format_number(F.col("n") * 1000, 0).alias("n"))
@@ -493,6 +521,15 @@ for _k, _text in enumerate(("thing", "the thing thble", "thing thble ontion")):
 
     query(f"O06_search_{_k + 1}", search_sql(_text), uses=("date", *V.SEARCH_FIELDS))(_search)
 
+    def _stored(r, text=_text):
+        """From an index of the reports in two appends, the second of which holds half of the first again."""
+        index = search_index.SearchIndex(r.sparkSession, fresh_folder(r.sparkSession, "search-index"))
+        index.append(r.where("report_id % 2 = 0"))
+        index.append(r.where("report_id % 4 <> 2"))
+        return index.search(text).select(F.col("key").cast("long").alias("report_id"), "score")
+
+    query(f"O06_stored_{_k + 1}", search_sql(_text), uses=("date", *V.SEARCH_FIELDS))(_stored)
+
 
 # ---------------------------------------------------------------------------- joins, sets, increments
 
@@ -666,7 +703,7 @@ def _(r):
 
 @query("A28_betweenness")
 def _(r):
-    return graph.betweenness(graph.edges(r, THEMES).where("n >= 3"))
+    return graph.betweenness(graph.edges(r, THEMES))
 
 
 @query("A30_search_index", MELT_SQL + " SELECT kind, value, n FROM nd")
@@ -731,11 +768,19 @@ def _(r):
     return graph.top_edges(graph.edges(r, THEMES), 200)
 
 
-@query("O05_greedy_pairs")
+@query("O05_greedy_pairs", MELT_SQL + """ , j AS (SELECT source, target, ed.n AS n, round(ed.n / CAST(a.n + b.n - ed.n AS double), 6) AS jaccard FROM ed JOIN nd AS a ON a.kind = 'theme' AND concat('theme::', a.value) = source
+  JOIN nd AS b ON b.kind = 'theme' AND concat('theme::', b.value) = target WHERE ed.kind = 'theme_theme'), rk AS (SELECT *, row_number() OVER (ORDER BY jaccard DESC, n DESC, source, target) AS k FROM j),
+  gr AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS ends, false AS takes UNION ALL
+    SELECT rk.k, CASE WHEN len(list_filter(ends, lambda x: x = source)) < 3 AND len(list_filter(ends, lambda x: x = target)) < 3 THEN list_concat(ends, [source, target]) ELSE ends END,
+      len(list_filter(ends, lambda x: x = source)) < 3 AND len(list_filter(ends, lambda x: x = target)) < 3 FROM gr JOIN rk ON rk.k = gr.k + 1)
+  SELECT source, target, n, jaccard FROM rk JOIN gr USING (k) WHERE takes""")
 def _(r):
     return graph.greedy_pairs(graph.jaccard(graph.edges(r, THEMES), graph.nodes(graph.node_rows(r, THEMES))), each=3)
 
 
+ORACLE_SQL["O05_greedy_pairs"] = ORACLE_SQL["O05_greedy_pairs"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("O07_focus_panel", MELT_SQL + """ , b AS (SELECT target AS id, n FROM ed WHERE source = 'theme::theme_promo' UNION ALL SELECT source, n FROM ed WHERE target = 'theme::theme_promo'),
   s AS (SELECT id, split_part(id, '::', 1) AS kind, CAST(sum(n) AS bigint) AS n FROM b GROUP BY id), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, id) AS int) AS "rank", row_number() OVER (ORDER BY n DESC, id) <= 10 AS overall FROM s)
   SELECT id, kind, n, "rank", overall FROM o WHERE "rank" <= 5 OR overall""")

@@ -95,16 +95,16 @@ def sections_udf(heading: str):
     return F.pandas_udf(lambda s: s.map(lambda x: section(x, heading)), "string")
 
 
-def document_link_udf():
+def document_link(html: str | None) -> str | None:
     """The link of the attached document: inside a file block, else a button; null if the page has none."""
+    links = page(html).links
+    block = [h for h, _, outer in links if "wp-block-file" in outer]
+    button = [h for h, own, _ in links if "govuk-button" in own]
+    return (block or button or [None])[0]
 
-    def link(html: str | None) -> str | None:
-        links = page(html).links
-        block = [h for h, _, outer in links if "wp-block-file" in outer]
-        button = [h for h, own, _ in links if "govuk-button" in own]
-        return (block or button or [None])[0]
 
-    return F.pandas_udf(lambda s: s.map(link), "string")
+def document_link_udf():
+    return F.pandas_udf(lambda s: s.map(document_link), "string")
 
 
 def card_links(html: str | None) -> list[str]:

@@ -1,4 +1,8 @@
-"""Sinks: CSV, versioned tables, bundles, JSON payloads, shared workbooks, action logs."""
+"""Sinks: CSV, versioned tables, bundles, JSON payloads, shared workbooks, action logs.
+
+Nulls are written as each format has them (CSV: empty fields; JSON: left out); repeated rows are written as often as they are
+there, in no order; empty tables give files without rows; all columns are written under their own names.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,10 @@ import uuid
 import zipfile
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from ..operators.rows import name_of
+from ..storage import remove, stored
 
 #: Titles and size of shared workbooks.
 TITLE = re.compile(r"^[A-Za-z0-9 -]+$")
@@ -34,27 +41,88 @@ def read_version(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{root}/v={last['version']}"), json.loads(last["facts"])
 
 
-def write_in_batches(rows: DataFrame, path: str, step, key: str = "url", size: int = 250) -> DataFrame:
-    """step(rows) written batch by batch, so that an interrupted run goes on where it stopped.
+def write_in_batches(rows: DataFrame, path: str, step, key: str = "url", size: int = 250, waves: int = 100) -> DataFrame:
+    """step(rows) written so that an interrupted run goes on where it stopped. The result is the whole output.
 
-    Rows are taken in order of the key, ``size`` at a time; what is there already must be a beginning of them, else
-    ValueError. step: a function from DataFrame to DataFrame that keeps the key. The result is the whole output.
+    Rows are taken in order of the key (null first) in batches of ``size``; rows that share a key are in one batch. A job
+    writes one batch, or several where there would be more than ``waves`` jobs. A manifest beside the data has a row for each finished job: its
+    last key, rows and digest of what went in, rows of what came out. A run that goes on first checks that the input up to the last key is
+    what the finished jobs had, and that their output is all there, else ValueError; the input may have grown behind it. What a
+    broken job left behind has no row in the manifest and goes. step: a function from DataFrame to DataFrame that
+    keeps the key; it may drop rows.
+
+    Cases: an empty table gives an empty output; repeated rows are kept; rows without a key are the first batch.
     """
     from .reports import exists
 
-    spark = rows.sparkSession
-    done = spark.read.parquet(path) if exists(spark, path) else None
-    if done is not None:
-        last = done.agg(F.max(key)).first()[0]
-        if done.select(key).join(rows.select(key), key, "left_anti").limit(1).count() or rows.where(F.col(key) <= F.lit(last)).count() != done.count():
+    spark, column = rows.sparkSession, F.col(name_of(key))
+    kind = rows.select(column.alias("key")).schema["key"].dataType
+    schema = T.StructType([T.StructField("job", T.StringType()), T.StructField("last", kind), T.StructField("rows_in", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("rows_out", T.LongType())])
+    manifest = f"{path}/_manifest"
+
+    def facts(of: DataFrame) -> tuple[int, int]:
+        """Rows, and the sum of their hashes."""
+        h = F.xxhash64(F.to_json(F.struct(*[F.col(name_of(c)) for c in of.columns]))).cast("decimal(38,0)")
+        n, d = of.agg(F.count(F.lit(1)), F.coalesce(F.sum(h), F.lit(0))).first()
+        return n, int(d)
+
+    def job_rows(job: str) -> int:
+        return spark.read.parquet(f"{path}/job={job}").count() if exists(spark, f"{path}/job={job}") else 0
+
+    done = spark.read.schema(schema).parquet(manifest).collect() if exists(spark, manifest) else []  # a row for each job
+    left = rows
+    if done:
+        last = max((r["last"] for r in done if r["last"] is not None), default=None)
+        before = column.isNull() if last is None else column.isNull() | (column <= F.lit(last))
+        if facts(rows.where(before)) != (sum(r["rows_in"] for r in done), sum(int(r["digest"]) for r in done)):
             raise ValueError("the output is no beginning of the input")
-        rows = rows.where(F.col(key) > F.lit(last))
-    while True:
-        some = rows.orderBy(key).limit(size)
-        if not (last := some.agg(F.max(key)).first()[0]):
-            return spark.read.parquet(path) if exists(spark, path) else step(rows)
-        step(some).write.mode("append").parquet(path)
-        rows = rows.where(F.col(key) > F.lit(last))
+        if any(job_rows(r["job"]) != r["rows_out"] for r in done):
+            raise ValueError("finished output is missing")
+        left = rows.where(~before)
+    for job in jobs_of(spark, path):
+        if job not in {r["job"] for r in done}:
+            remove(spark, f"{path}/job={job}")
+    cuts = boundaries(left.select(column.alias("key")), size, waves)
+    for k, low in enumerate(cuts):
+        high = cuts[k + 1] if k + 1 < len(cuts) else None
+        mine = left if k == 0 else left.where(column >= F.lit(low))
+        mine = mine if high is None else mine.where(column.isNull() | (column < F.lit(high)) if k == 0 else column < F.lit(high))
+        job = uuid.uuid4().hex
+        step(mine).write.parquet(f"{path}/job={job}")
+        n, digest = facts(mine)
+        row = (job, mine.agg(F.max(column)).first()[0], n, str(digest), job_rows(job))
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(manifest)
+    found = jobs_of(spark, path)
+    if not found:
+        return step(rows)
+    out = spark.read.parquet(path)
+    return out.select(*[F.col(name_of(c)) for c in out.columns if c != "job"])
+
+
+def jobs_of(spark: SparkSession, path: str) -> list[str]:
+    """Jobs that have a folder below a path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return [x.removeprefix("job=") for x in names if x.startswith("job=")]
+
+
+def boundaries(keys: DataFrame, size: int, most: int) -> list:
+    """First keys of batches of about ``size`` rows in order of the key, of more where there would be over ``most`` batches.
+
+    Ranks come from counts of ranges and places within them, so no task sorts all keys. No rows, no batch.
+    """
+    held = stored(keys.repartitionByRange(F.col("key").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "batch-keys")
+    first, n = [], 0
+    for r in held.groupBy("part").count().orderBy("part").toLocalIterator():  # a row for each range
+        first += [F.lit(r["part"]), F.lit(n)]
+        n += r["count"]
+    if not n:
+        return []
+    step = size * max(1, -(-n // (size * most)))
+    rank = F.create_map(*first)[F.col("part")] + F.row_number().over(Window.partitionBy("part").orderBy(F.col("key").asc_nulls_first())) - 1
+    cuts = [r["key"] for r in held.withColumn("rank", rank).where(F.col("rank") % step == 0).orderBy("rank").collect()]  # most rows at most
+    return [x for k, x in enumerate(cuts) if k == 0 or (x is not None and x != cuts[k - 1])]
 
 
 def write_themes(spark: SparkSession, path: str, reply: str) -> None:

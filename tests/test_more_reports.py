@@ -71,11 +71,10 @@ def test_betweenness_against_all_paths(spark):
             for v in p[1:-1]:
                 want[v] += 1 / len(found)
     edge = spark.createDataFrame([("k", a, b, 1) for a, b in [*pairs, pairs[0]]], "kind string, source string, target string, n long")
-    got = {r["id"]: r["betweenness"] for r in graph.betweenness(edge).collect()}
     n = len(near)
-    assert set(got) == set(near) and all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-9 for v in got)
-    with pytest.raises(ValueError):
-        graph.betweenness(edge, most_edges=3)
+    for how in ({}, {"most_edges": 3, "sources_a_block": 5}):
+        got = {r["id"]: r["betweenness"] for r in graph.betweenness(edge, **how).collect()}
+        assert set(got) == set(near) and all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-9 for v in got)
     assert graph.betweenness(edge.where("n > 1")).count() == 0
 
 
