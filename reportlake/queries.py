@@ -466,9 +466,9 @@ def _(t):
     return parts.sparkSession.sql("SELECT p_partkey, theme, description FROM {replies}, LATERAL theme_rows(reply)", replies=replies)
 
 
-@query("K03_batches", "SELECT doc_id, substr(coalesce(text, ''), 1, 40) AS head FROM documents", view=False)
+@query("K03_batches", "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents", view=False)
 def _(t):
-    """The heads of documents in batches by source, so that many rows tie at a batch's end, broken off once and resumed."""
+    """The digests of documents in batches by source, so that many rows tie at a batch's end, broken off once and resumed."""
     docs = t("documents").select("doc_id", "source", "text")
     path, calls = fresh_folder(docs.sparkSession, "batches"), []
 
@@ -476,11 +476,11 @@ def _(t):
         calls.append(1)
         if len(calls) == 3:
             raise InterruptedError
-        return rows.select("doc_id", "source", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("head"))
+        return rows.select("doc_id", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
 
     for _ in range(2):
         try:
-            return write_in_batches(docs, path, step, "source", size=100, waves=5).select("doc_id", "head")
+            return write_in_batches(docs, path, step, "source", size=100, waves=5).select("doc_id", "digest")
         except InterruptedError:
             continue
 

@@ -93,10 +93,8 @@ def write_in_batches(rows: DataFrame, path: str, step, key: str = "url", size: i
         row = (job, mine.agg(F.max(column)).first()[0], n, str(digest), job_rows(job))
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(manifest)
     found = jobs_of(spark, path)
-    if not found:
-        return step(rows)
-    out = spark.read.parquet(path)
-    return out.select(*[F.col(name_of(c)) for c in out.columns if c != "job"])
+    # Each job's folder is read for itself: read as partitions, "job" would hide a column of that name.
+    return spark.read.parquet(*[f"{path}/job={job}" for job in found]) if found else step(rows)
 
 
 def jobs_of(spark: SparkSession, path: str) -> list[str]:
