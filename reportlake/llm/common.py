@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import mmap
 import os
 from collections.abc import Callable, Iterator
 
@@ -104,6 +105,13 @@ def open_input(uri: str):
     return store.open_input_file(where)
 
 
+def mapped(uri: str):
+    """The bytes of a file written by open_output: mapped into memory under a local mount, so that workers of a machine
+    share its pages; read whole from other stores."""
+    with open_input(uri) as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if _place(uri)[0] == "local" else f.read()
+
+
 def file_size(uri: str) -> int:
     kind, path = _place(uri)
     if kind == "local":

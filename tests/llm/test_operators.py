@@ -629,6 +629,40 @@ def test_short_items_and_several_blocks(spark):
         assert kept.columns == docs.columns and collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(d for (d, x), n in want.items() for _ in range(n) if not x)
 
 
+def test_frequent_phrases_in_slices(tmp_path):
+    """Items that share phrases, in texts that repeat them: counted in small slices, from a file, as all at once."""
+    import random
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7)))
+    phrase = " ".join(word() for _ in range(12))
+    items = [(k, " ".join([word() for _ in range(rng.randint(0, 6))] + [phrase] + [word() for _ in range(rng.randint(2, 25))])) for k in range(60)]
+    items += [(100 + k, items[0][1]) for k in range(5)] + [(200, None), (201, "two words")]
+    texts = [" ".join(rng.choice([phrase, word(), *(rng.choice(items[:60])[1] for _ in range(1))]) for _ in range(25)) for _ in range(4)] + [phrase, "", "two words", items[3][1][5:]]
+    plain = [decontaminate.Index(items, decontaminate.Settings()).search(decontaminate.normal(t)) for t in texts]
+    decontaminate.save(decontaminate.laid_out(items, decontaminate.Settings()), f"file://{tmp_path}/grams")
+    for hits in (1 << 20, 3000):
+        index = decontaminate.Index(decontaminate.load(f"file://{tmp_path}/grams"), decontaminate.Settings(hits=hits))
+        got = [index.search(decontaminate.normal(t)) for t in texts]
+        assert [{i: x[0] for i, x in g.items()} for g in got] == [{i: x[0] for i, x in g.items()} for g in plain]
+    assert sum(map(len, plain)) > 30 and {0, 100, 104} <= set().union(*plain)
+    for text, found in zip(texts, plain, strict=True):
+        whole = decontaminate.normal(text)
+        assert all(i in found and found[i][0] == 0 for i, t in items[:65] if decontaminate.normal(t) and decontaminate.normal(t) in whole)
+
+
+def test_a_benchmark_of_three_blocks(spark):
+    """Blocks of a larger benchmark find what one block finds, in one worker a task."""
+    bench = spark.createDataFrame([(k, " ".join(f"{w}{(k * w) % 97}" for w in range(1, 40))) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"so {' '.join(f'{w}{(k * w) % 97}' for w in range(1, 40))} there") for k in range(0, 60, 2)] + [(k, "none of it " * k) for k in range(1, 60, 2)], "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()))
+    s = decontaminate.Settings(block_bytes=6000, round_bytes=500)
+    assert len(decontaminate.indexes(bench, s)) >= 3 and len(decontaminate.indexes(bench)) == 1
+    more = decontaminate.decontaminate(docs, bench, s)
+    assert sorted(map(tuple, more.collect())) == one and sum(r[4] for r in one) >= 15
+    assert more._jdf.queryExecution().toString().count("MapInArrow") == decontaminate.decontaminate(docs, bench)._jdf.queryExecution().toString().count("MapInArrow")
+
+
 # ---------------------------------------------------------------------------- shared
 
 
