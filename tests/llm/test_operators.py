@@ -110,6 +110,33 @@ def test_ranges_are_dealt_by_room():
     assert out == [(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 2)]
 
 
+def test_a_group_is_divided_only_where_no_shard_can_hold_it(spark):
+    """Two thirds of all rows without an id or text, one text of a third of a shard: whole, in ranges of bounded rows."""
+    from reportlake.llm.common import written
+
+    s = sharding.Settings(rows_a_range=500)
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.when(F.col("id") < 900, F.lit("z" * 50)).otherwise(F.repeat(F.col("id").cast("string"), 30))).alias("text"))
+    got = sharding.shard(df, s).collect()
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r["text_crc32"]].add(r["shard"])
+    assert len(got) == 9000 and all(len(x) == 1 for x in where.values())
+    size = collections.Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) <= 1.02 * min(size.values())
+    for k in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    rows = written(df.select("doc_id", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("number")), "keys")
+    _, sums, groups = sharding.ranges(rows, 9000, 9000, s)
+    assert max(n for _, n in sums.values()) <= 1000 and len(groups) >= 12
+    parted = {rid: k for rid, k, _ in sharding.dealt({0: (4, 1), 1: (4, 1), 2: (4, 1), 3: (3, 1)}, 2, {0: 7, 1: 7, 2: 7})}
+    assert len({parted[0], parted[1], parted[2]}) == 2  # 12 of a room of 8
+    kept = {rid: k for rid, k, _ in sharding.dealt({0: (4, 1), 1: (4, 1), 3: (3, 1), 4: (3, 1)}, 2, {0: 7, 1: 7})}
+    assert kept[0] != kept[1] and kept[3] != kept[4]  # 8 of a room of 7
+    assert len({k for rid, k, _ in sharding.dealt({0: (3, 1), 1: (4, 1), 3: (7, 1)}, 2, {0: 7, 1: 7}) if rid < 2}) == 1
+
+
 # ---------------------------------------------------------------------------- 3, 9
 
 
