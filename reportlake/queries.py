@@ -428,6 +428,12 @@ def _(r):
     return r.select("report_id", X.clean_receiver_list(F.concat_ws("; ", "receiver", raw)).alias("receivers"))
 
 
+@query("T15_departments", """SELECT report_id, array_to_string(list_transform(list_filter(list_transform(string_split(concat_ws(';', receiver, 'Department of ' || area, 'Department of Health and Social Care'), ';'), lambda x: trim(x)), lambda x: x <> ''),
+  lambda x: CASE WHEN starts_with(x, 'Department of ') AND x <> 'Department of Health and Social Care' THEN 'Department for ' || substr(x, 15) ELSE x END), '; ') AS receivers FROM reports""", uses=("receiver", "area"))
+def _(r):
+    return r.select("report_id", X.department_names(F.concat_ws(";", "receiver", F.concat(F.lit("Department of "), "area"), F.lit("Department of Health and Social Care"))).alias("receivers"))
+
+
 @query("T11_organisations", f"SELECT report_id, len(list_filter(['nhs','office','care'], lambda q: contains({KEY_SQL.format('circumstances')}, q))) > 0 AS org FROM reports WHERE circumstances IS NOT NULL AND circumstances <> upper(circumstances)", uses=("circumstances",))
 def _(r):
     return r.where("circumstances is not null and circumstances <> upper(circumstances)").select("report_id", X.is_organisation(F.col("circumstances"), ["nhs", "office", "care"]).alias("org"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import flat_description
+from ..storage import remove
 
 THEMES = ["theme_returned", "theme_bulk", "theme_discounted", "theme_promo", "theme_urgent"]
 VIEW_COLUMNS = ["report_id", "url", "date", "coroner", "area", "receiver", "investigation", "circumstances", "concerns", *THEMES]
@@ -124,6 +125,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def cached_dataset(spark: SparkSession, source: str, cache: str, refresh: bool = False) -> str:
+    """The path of a dataset's copy as Parquet in a cache folder, made once from a source in any store (CSV by its name, else
+    Parquet). refresh deletes the copy first. A copy that broke off does not count; no source and no copy is FileNotFoundError."""
+    if refresh:
+        remove(spark, cache)
+    if not exists(spark, f"{cache}/_SUCCESS"):
+        if not exists(spark, source):
+            raise FileNotFoundError(source)
+        (read_csv(spark, source) if source.endswith(".csv") else spark.read.parquet(source)).write.mode("overwrite").parquet(cache)
+    return cache
+
+
 def load_reports(
     spark: SparkSession, path: str, start_date: str = "2000-01-01", end_date: str = "2050-01-01", n_reports: int | None = None,
     refresh: bool = False, collection: str | Sequence[str] | None = None, known: dict[str, str] = V.COLLECTIONS,

@@ -198,6 +198,27 @@ def test_fetch_goes_on_where_it_stopped(spark, tmp_path):
     assert asked.pop("http:__down.org_1") == 2 and set(asked.values()) == {1}
 
 
+def test_refresh_job_and_dataset_copy(spark, tmp_path):
+    from reportlake.sources.reports import cached_dataset, load_reports
+    from reportlake.streaming import refresh
+
+    place = lambda name: str(tmp_path / name)
+    rows = lambda ids: spark.createDataFrame([(f"u{k}", f"2020-01-{k:02d}") for k in ids], "url string, date string").withColumn("date", F.to_date("date"))
+    rows([1, 2]).write.parquet(place("incoming"))
+    run = lambda: refresh.main([place("incoming"), place("target"), place("state")], spark)
+    assert run() == (0, 2) and run() == (2, 2)
+    rows([2, 3, 4]).write.mode("append").parquet(place("incoming"))
+    assert run() == (2, 4)
+    told = [r["event"] for r in progress.read_events(spark, f"{place('state')}/events").collect()]
+    assert told.count("complete") == 3 and told.count("error") == 0
+    with pytest.raises(FileNotFoundError):
+        cached_dataset(spark, place("none"), place("cache"))
+    assert load_reports(spark, cached_dataset(spark, place("target"), place("cache"))).count() == 4
+    rows([9]).write.mode("append").parquet(place("target"))
+    assert load_reports(spark, cached_dataset(spark, place("target"), place("cache"))).count() == 4
+    assert load_reports(spark, cached_dataset(spark, place("target"), place("cache"), refresh=True)).count() == 5
+
+
 # ---------------------------------------------------------------------------- sheets
 
 
