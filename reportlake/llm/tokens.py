@@ -1,7 +1,7 @@
 """Token-ID output: independent Zstandard frames with a seek table and per-frame checksums.
 
-Documents are range-partitioned by doc_id (text moves once) and sorted within a partition; each task encodes its
-documents, appends the end id and writes one file of frames (see frames.py), ids as 16-bit numbers where the
+Documents are range-partitioned by doc_id, then by a hash of the text and a draw, so that rows without a doc_id are
+divided, too (text moves once), and sorted within a partition; each task encodes its documents, appends the end id and writes one file of frames (see frames.py), ids as 16-bit numbers where the
 vocabulary allows and else 32-bit. Files of lost attempts are never listed: a file has a fresh name, and the manifest (a row for each
 file) holds only what finished tasks report. Starts come from sums over the manifest. Readers open a file's
 footer and decompress the frames of the documents they want.
@@ -36,8 +36,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int = 2, en
     """Write ids in ascending doc_id order; the manifest, in order, with each file's first position."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    rows = rows.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.rand(5).alias("draw"))
+    rows = rows.repartitionByRange(partitions(docs), "doc_id", "th", "draw").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunks = held(encoder, sent.value)
