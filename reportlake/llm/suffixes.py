@@ -1,7 +1,7 @@
-"""Suffix-array dedup by bucket-pointer refinement: bytes covered by a string of 100 bytes that starts earlier too.
+"""Suffix dedup by fingerprints with anchors: bytes covered by a string of 100 bytes that starts earlier too.
 
-Suffixes are never sorted as text. Buckets of q-grams are refined by the identifiers of buckets at later offsets,
-and what a refinement yields is what the next one points to: an 8-gram is its own bucket; (bucket at p, bucket at
+This stands in place of sorted bucket-pointer refinement: suffixes are not sorted, and buckets are hashes composed of
+the buckets at later offsets: an 8-gram is its own bucket; (bucket at p, bucket at
 p + 8) names the 16-gram at p, (16, 16) the 32-gram, (32, 32) the 64-gram, and (64 at p, 64 at p + 36) the string
 of 100. A bucket of one is settled and refined no more, which is where the work is saved:
 
@@ -15,7 +15,7 @@ of 100. A bucket of one is settled and refined no more, which is where the work
    names of 96 bits beside the partition, again combined in the task before they move; all but the first are repeats.
 
 Rows move as compressed column blocks, one for each partition a task has rows for. Text moves twice, compressed, by
-doc_id, to be met by the blocks for its documents. Names are 64 and 96 bits wide and compared only in buckets that
+doc_id and hash of the text (so that rows without a doc_id are spread), to be met by the blocks for its documents. Names are 64 and 96 bits wide and compared only in buckets that
 agree before, so unequal strings meet with a chance of about pairs / 2**64 at least.
 
 Defined cases: null is empty; empty texts and those under 100 bytes have no strings and stay; matches never cross
@@ -391,13 +391,18 @@ def _last_round(digest: bool):
     return run
 
 
+def by_part(docs: DataFrame, parts: int) -> DataFrame:
+    """part, doc_id, th, text: parts go by id and text, so that rows without an id are spread."""
+    ident, text = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), F.coalesce(F.col("text"), F.lit(""))
+    part = F.pmod(F.xxhash64(ident, F.xxhash64(text)), F.lit(parts)).cast("int")
+    return docs.select(part.alias("part"), ident.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, removed (maximal runs), kept (bytes); or their digest: n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     parts = partitions(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ident = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    keyed = docs.select(F.pmod(F.xxhash64(ident), F.lit(parts)).cast("int").alias("part"), ident.alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keyed = by_part(docs, parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
