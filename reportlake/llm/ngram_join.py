@@ -328,7 +328,10 @@ def verify_large(words: DataFrame, s: Settings) -> DataFrame:
     keyed = words.select(F.xxhash64("component", "block").alias("bid"), "component", "block", "cid", "copies", "words")
     made = written(keyed.repartition("bid").sortWithinPartitions("bid", "component", "block", "cid").mapInArrow(trimmed(write), "bid long, component long, block int, uri string"), "ngram-blocks-list")
     left, right = (made.select("component", F.col("block").alias(f"k{i}"), F.col("uri").alias(f"uri{i}"), F.col("bid").alias(f"bid{i}")) for i in (1, 2))
-    units = left.join(right, "component").where("k1 <= k2").select("uri1", "bid1", "uri2", "bid2")
+    # A block names the later ones of its group by number and finds each by a key of its own: no key holds all pairs of a group.
+    last = made.groupBy("component").agg(F.max("block").alias("last"))
+    named = left.join(last, "component").withColumn("k2", F.explode(F.sequence("k1", "last")))
+    units = named.join(right, ["component", "k2"]).select("uri1", "bid1", "uri2", "bid2")
     return units.repartition(F.xxhash64("bid1", "bid2")).mapInArrow(trimmed(run), LINKS)
 
 
