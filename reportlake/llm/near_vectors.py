@@ -14,7 +14,8 @@ links and one edge of a forest that spans them.
 
 A shard of more than ``most`` classes is dealt in blocks, each pair of blocks a unit, so nothing is left out and
 no task outgrows 2 x ``most`` rows. The links of ``audited`` vectors are counted by brute force, too, and the recall
-is returned with the result.
+is returned with the result. Below ``least_recall`` the whole is done again with twice the degree, beam and hops and two more
+shards for each class, at most ``widenings`` times; a recall that stays below is an error.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 kept; vectors link with others of their length only; rows that repeat a vec_id are members of their own, and a null
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,13 @@ class Settings:
     hops: int = 16
     medoids: int = 16
     audited: int = 500
+    least_recall: float = 0.9
+    widenings: int = 3
     seed: int = 5
 
+    def wider(self) -> Settings:
+        return replace(self, degree=2 * self.degree, beam=2 * self.beam, hops=2 * self.hops, overlap=self.overlap + 2, widenings=self.widenings - 1)
+
 
 def unit_rows(column: pa.ListArray) -> np.ndarray:
     """Vectors of one length scaled to length 1, in double precision."""
@@ -412,8 +418,15 @@ def near(embeddings: DataFrame, s: Settings = Settings()) -> DataFrame:
     valid = rows.where(fitting()).select("vec_id", scaled.alias("v"))
     grouped = valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = written(grouped.withColumns({"cls": F.monotonically_increasing_id(), "k1": F.xxhash64("v"), "k2": F.hash("v")}), "vector-classes")
-    found = linked(classes.select("cls", "copies", "v"), s)
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    while True:
+        found = linked(classes.select("cls", "copies", "v"), s)
+        links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+        recall = audit(classes, links, s)
+        if recall is None or recall >= s.least_recall:
+            break
+        if not s.widenings:
+            raise ValueError(f"Recall {recall:.3f} of audited links is below {s.least_recall} with beam {s.beam}, hops {s.hops} and overlap {s.overlap}")
+        s = s.wider()
     reach = components(found.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     reps = classes.select("cls", F.col("id").alias("vec"), "copies")
     # Written, so that the join by component has an exchange at either side, which is split where one component has most.
@@ -423,7 +436,7 @@ def near(embeddings: DataFrame, s: Settings = Settings()) -> DataFrame:
     keyed = rows.select("vec_id", F.when(fitting(), F.xxhash64(scaled)).alias("k1"), F.when(fitting(), F.hash(scaled)).alias("k2"))
     return keyed.join(facts, ["k1", "k2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(audit(classes, links, s)).cast("double"))
+    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(recall).cast("double"))
 
 
 def audit(classes: DataFrame, links: DataFrame, s: Settings = Settings()) -> float | None:

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +53,16 @@ def test_suffix_dedup(odd_docs):
     assert sum(x["end"] - x["start"] for x in full[2]["removed"]) + len(full[2]["kept"]) == full[2]["n_bytes"]
 
 
+def test_rows_without_an_id_are_spread(spark, vocabulary, tmp_path):
+    df = spark.range(2000).select(F.when(F.col("id") % 20 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sizes = [r["count"] for r in suffixes.by_part(df, 8).groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 400
+    empty = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    for k, rows in enumerate((df, empty)):
+        files = tokens.write_tokens(rows, vocabulary, f"file://{tmp_path}/{k}")
+        assert sum(f["docs"] for f in files) == 2000 and max(f["docs"] for f in files) < 800
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffixes.dedup(no_docs, digest=True).count() == 0
 
@@ -463,6 +474,18 @@ def test_few_vectors_of_several_lengths(spark):
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
 
 
+def test_low_recall_widens_the_search_or_is_an_error(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(150, 24))
+    rows = [*enumerate(np.concatenate([base, base + 0.1 * rng.normal(size=base.shape)]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    poor = near_vectors.Settings(shard=20, overlap=1, beam=2, hops=2, degree=3, medoids=1)
+    with pytest.raises(ValueError, match="below"):
+        near_vectors.near(df, replace(poor, widenings=0))
+    got = near_vectors.near(df, poor).collect()
+    assert got[0]["audited_recall"] >= 0.9 and sum(r["n_links"] for r in got) >= 0.85 * sum(n for n, _ in vector_links(rows))
+
+
 def test_large_shards_are_dealt_in_blocks(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=8)
