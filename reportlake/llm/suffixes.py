@@ -1,22 +1,27 @@
-"""Suffix dedup by fingerprints with anchors: bytes covered by a string of 100 bytes that starts earlier too.
-
-This stands in place of sorted bucket-pointer refinement: suffixes are not sorted, and buckets are hashes composed of
-the buckets at later offsets: an 8-gram is its own bucket; (bucket at p, bucket at
-p + 8) names the 16-gram at p, (16, 16) the 32-gram, (32, 32) the 64-gram, and (64 at p, 64 at p + 36) the string
-of 100. A bucket of one is settled and refined no more, which is where the work is saved:
-
-1. Of the 69 32-grams in a string of 100 bytes the one with the least bucket (the first of equals) is its anchor.
-   A stretch of strings with one anchor is a run; its name is (string at its start, string at its end, place of the
-   anchor). So only a run in about 35 bytes is a suffix to sort, and equal strings have equal anchors.
-2. Runs are sorted by (anchor bucket, run name, place): an anchor with one run is settled; of equal runs all but
-   the first are repeats whole. Each task combines its own runs first, so that a passage that a third of all
-   documents share sends one row a task.
-3. Where different runs share an anchor, their first occurrences are refined to single strings of 100 bytes, with
-   names of 96 bits beside the partition, again combined in the task before they move; all but the first are repeats.
+"""Suffix dedup by bucket-pointer refinement: bytes covered by a string of 100 bytes that starts earlier too.
+
+A filter of anchors finds the suffixes that are worth sorting; those are refined by sorting:
+
+1. Filter. Composed hashes name the 16-, 32- and 64-grams at every position. Of the 69 32-grams in a string of 100
+   bytes the one with the least name (the first of equals) is its anchor. A stretch of strings with one anchor is a run;
+   its name is (string at its start, string at its end, place of the anchor). Equal strings have equal anchors: an anchor
+   with one run is settled, and of runs equal as a whole all but the first are repeats. Each task combines its own
+   runs first, so that a passage that a third of all documents share sends one row a task.
+2. Where different runs share an anchor, their first occurrences go on as bytes. A string holds 34 bytes after its
+   anchor or 35 before, so each run is cut in two at most, and the anchor with these bytes is the q-gram of 66 whose
+   bucket its strings belong to. Buckets meet in tasks.
+3. Refinement, on the bytes, within a task: the positions of some buckets are sorted by their 8 bytes and numbered, equal
+   ones alike. Then positions are sorted by (number, number 8 bytes on) and numbered anew, in place, and again with 16, 32
+   and 36 bytes, each pass using the numbers that the last one wrote at both ends. A number with one position is settled:
+   neither it nor any string that holds it is sorted again. Positions of one number at the end are strings of
+   100 equal bytes; all but the first are repeats.
+4. A bucket of more than `OVERFULL` runs never meets in one task: its strings are told apart by composed names (96
+   bits) instead, dealt by name and combined in each task before they move.
 
 Rows move as compressed column blocks, one for each partition a task has rows for. Text moves twice, compressed, by
-doc_id and hash of the text (so that rows without a doc_id are spread), to be met by the blocks for its documents. Names are 64 and 96 bits wide and compared only in buckets that
-agree before, so unequal strings meet with a chance of about pairs / 2**64 at least.
+doc_id and hash of the text (so that rows without a doc_id are spread), to be met by the blocks for its documents.
+Names of the filter are 64 bits wide and compared only in buckets that agree before, so unequal runs meet with
+a chance of about pairs / 2**64 at least; numbers of the refinement are exact.
 
 Defined cases: null is empty; empty texts and those under 100 bytes have no strings and stay; matches never cross
 documents; rows that repeat id and text are one document, and of rows with one id the smaller hash of the text is
@@ -42,7 +47,13 @@ WIDTH = LENGTH - GRAM + 1
 CHUNK, HELD = 1 << 19, 2_000_000
 NULL_ID = -(1 << 63)
 MOVED = "part int, kind int, data binary"
-RUNS, REPEATS, ASKED = 0, 1, 2
+RUNS, REPEATS, ASKED, CONTEXTS = 0, 1, 2, 3
+#: Bytes of a run with one bucket: a string and 34 more. Strings that begin up to HALF before the anchor go by what follows it.
+WIDE, HALF = 134, 34
+KINDS = ["<u8", "<u4", "u1", f"V{WIDE}"]
+#: Runs of a bucket that a task takes at most, runs refined at a time, and overfull buckets known by name (of more,
+#: the rest hold at most one run in that many each).
+OVERFULL, TOGETHER, LISTED = 1 << 13, 1 << 13, 100_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -290,35 +301,139 @@ def _texts(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
         yield doc_id, th, z.decompress(data.as_py())
 
 
-def third_round(parts: int):
-    """Documents of a part and the strings asked for there: names of single strings, combined, by name."""
+def third_round(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Documents of a part and the runs asked for there: the runs' bytes, each with its bucket."""
+    out: list[tuple[int, int, bytes]] = []
+    if right.num_rows and left.num_rows:
+        docs, doc, (lo, span) = unblock([x.as_py() for x in right.column("data")], ["<u4", "u1"])
+        order = np.argsort(doc, kind="stable")
+        doc, lo, span = doc[order], lo[order].astype(np.int64), span[order].astype(np.int64)
+        edge = np.searchsorted(doc, np.arange(len(docs) + 1))
+        where = {(int(a), int(b)): k for k, (a, b, _) in enumerate(docs)}
+        rows, held = [], 0
+        for doc_id, th, text in _texts(left):
+            k = where.pop((doc_id, th), None)
+            if k is None:
+                continue
+            for cut in range(edge[k], edge[k + 1], TOGETHER):
+                here = slice(cut, min(cut + TOGETHER, edge[k + 1]))
+                found = contexts(np.frombuffer(text, np.uint8), lo[here], lo[here] + span[here])
+                rows.append((np.full(len(found[0]), k), *found))
+                held += len(found[0])
+                if held > TOGETHER:
+                    out += context_blocks(docs, rows, 1)
+                    rows, held = [], 0
+        out += context_blocks(docs, rows, 1)
+    return pa.Table.from_batches(list(_moved(iter(out))), schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
+
+
+def contexts(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bucket, first string, strings, bytes) of the runs of strings lo to hi of a text, cut where the bucket changes."""
+    first = int(lo.min())
+    text = text[first : int(hi.max()) + 2 * LENGTH]  # what the runs and their anchors reach
+    lo, hi = lo - first, hi - first
+    g = Grams(text).g32
+    anchor = lo + np.argmin(g[lo[:, None] + np.arange(WIDTH)], axis=1)
+    late = hi >= anchor - HALF
+    early = lo < anchor - HALF
+    after = refined(g[anchor[late]], g[anchor[late] + HALF])
+    before = refined(g[anchor[early] - HALF - 1], g[anchor[early]]) ^ _C
+    start = np.concatenate([np.maximum(lo, anchor - HALF)[late], lo[early]])
+    end = np.concatenate([hi[late], np.minimum(hi, anchor - HALF - 1)[early]])
+    many = end - start + 1
+    column = np.arange(WIDE)
+    body = np.where(column < (many + LENGTH - 1)[:, None], text[np.minimum(start[:, None] + column, len(text) - 1)], 0).astype(np.uint8)
+    return np.concatenate([after, before]), (start + first).astype(np.uint32), many.astype(np.uint8), body.view(f"V{WIDE}")[:, 0]
+
+
+def context_blocks(docs: np.ndarray, rows: list[tuple], parts: int) -> list[tuple[int, int, bytes]]:
+    if not rows:
+        return []
+    doc, key, *rest = (np.concatenate(x) for x in zip(*rows, strict=True))
+    return list(blocks((key % np.uint64(parts)).astype(np.int64), [key, *rest], docs, doc, CONTEXTS))
+
+
+def bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, runs) of blocks of runs' bytes."""
+    for b in batches:
+        for data in b.column("data"):
+            key, n = np.unique(unblock([data.as_py()], KINDS)[2][0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["bucket", "n"])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bytes]] = []
-        if right.num_rows and left.num_rows:
-            part = left.column("part")[0].as_py()
-            docs, doc, (lo, span) = unblock([x.as_py() for x in right.column("data")], ["<u4", "u1"])
-            order = np.argsort(doc, kind="stable")
-            doc, lo, span = doc[order], lo[order].astype(np.int64), span[order].astype(np.int64)
-            edge = np.searchsorted(doc, np.arange(len(docs) + 1))
-            where = {(int(a), int(b)): k for k, (a, b, _) in enumerate(docs)}
-            rows = []
-            for doc_id, th, text in _texts(left):
-                k = where.pop((doc_id, th), None)
-                if k is not None:
-                    here = slice(edge[k], edge[k + 1])
-                    many = span[here] + 1
-                    at = np.repeat(lo[here] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                    a, b = Single(text).names(at)
-                    rows.append((np.full(len(at), k), a, b, at))
-            if rows:
-                doc, a, b, at = (np.concatenate(x) for x in zip(*rows, strict=True))
-                out += settle_strings(docs, doc, a, b, at, parts)
-        return pa.Table.from_batches(list(_moved(iter(out))), schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
+
+def dealt_contexts(parts: int, overfull: np.ndarray):
+    """Runs' bytes by bucket; strings of overfull buckets by name, combined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("data"):
+                docs, doc, columns = unblock([data.as_py()], KINDS)
+                much = np.isin(columns[0], overfull)
+                yield from _moved(iter(context_blocks(docs, [(doc[~much], *[c[~much] for c in columns])], parts)))
+                if much.any():
+                    yield from _moved(by_name(docs, doc[much], *[c[much] for c in columns[1:]], parts))
 
     return run
 
 
+def by_name(docs, doc, lo, many, body, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """One round over the single strings of runs, told apart by their names."""
+    row = np.repeat(np.arange(len(doc)), many)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(many, dtype=np.int64) - many, many)
+    a, b = Single(body.tobytes()).names(row * WIDE + step)
+    yield from settle_strings(docs, doc[row], a, b, lo[row].astype(np.int64) + step, parts)
+
+
+def refine(body: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, number) of the strings of 100 in rows of bytes that are not alone; equal strings have equal numbers."""
+    size = len(body) * WIDE
+    room = (many.astype(np.int16) + LENGTH - 1)[:, None] - np.arange(WIDE, dtype=np.int16)
+    room = room.ravel()  # bytes from a position to its row's end
+    number = np.full(size + LENGTH, -1, np.int64)  # -1: settled
+
+    def renumber(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        group = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
+        several = (np.bincount(group) > 1)[group] if len(group) else np.zeros(0, bool)
+        number[:] = -1
+        number[at[several]] = group[several]
+        return np.flatnonzero(number >= 0)
+
+    at = np.flatnonzero(room >= 8)
+    at = renumber(at, eights(np.frombuffer(body.tobytes(), np.uint8))[at])
+    depth = 8
+    for step in (8, 16, 32, 36):
+        depth += step
+        at = at[(room[at] >= depth) & (number[at + step] >= 0)]
+        at = renumber(at, number[at] * size + number[at + step])
+    return at // WIDE, at % WIDE, number[at]
+
+
+def settle_contexts(docs, doc, key, lo, many, body) -> Iterator[tuple[int, int, bytes]]:
+    """Buckets that met in a task, some at a time. A bucket of one run has no two equal strings: their anchor is one."""
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
+    size = np.bincount(np.cumsum(new) - 1) if len(key) else np.zeros(0, np.int64)
+    order = order[np.repeat(size > 1, size)]
+    size = size[size > 1]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(edge, edge[start] + TOGETHER, "right")) - 1)
+        r = order[edge[start] : edge[stop]]
+        start = stop
+        if len(r) > max(OVERFULL, TOGETHER):
+            yield from by_name(docs, doc[r], lo[r], many[r], body[r], 0)
+            continue
+        row, place, number = refine(body[r], many[r])
+        d, at = doc[r][row], lo[r][row].astype(np.int64) + place
+        by = np.lexsort((at, d, number))
+        again = by[1:][number[by][1:] == number[by][:-1]]
+        if len(again):
+            yield from ranges(docs, d[again], at[again], at[again] + LENGTH)
+
+
 class Single(Grams):
     """Names of strings alone need the 8-grams only."""
 
@@ -338,12 +453,15 @@ def settle_strings(docs, doc, a, b, at, parts: int) -> Iterator[tuple[int, int,
 
 
 def fourth_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of a part, from all tasks, settled; ranges pass through."""
+    """Buckets of a part, from all tasks, refined, and single strings settled by name; ranges pass through."""
     for part, held in _by_part(batches):
         yield from _moved((part, REPEATS, d) for d in held.get(REPEATS, ()))
         if RUNS in held:
             docs, doc, (a, b, at) = unblock(held[RUNS], ["<u8", "<u4", "<u4"])
             yield from _moved(settle_strings(docs, doc, a, b, at.astype(np.int64), 0))
+        if CONTEXTS in held:
+            docs, doc, columns = unblock(held[CONTEXTS], KINDS)
+            yield from _moved(settle_contexts(docs, doc, *columns))
 
 
 def kept(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
@@ -419,8 +537,12 @@ def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     one = written(dealt(keyed.mapInArrow(trimmed(first_round(parts)), MOVED)).mapInArrow(trimmed(second_round), MOVED), "suffix-runs")
     release(spark)
     asked = one.where(F.col("kind") == ASKED)
-    strings = packed.cogroup(asked.repartition(parts, "part").groupBy("part")).applyInArrow(third_round(parts), MOVED)
-    two = written(dealt(strings).mapInArrow(trimmed(fourth_round), MOVED), "suffix-strings")
+    met = packed.cogroup(asked.repartition(parts, "part").groupBy("part")).applyInArrow(third_round, MOVED)
+    met = written(met, "suffix-contexts")
+    release(spark)
+    sizes = met.mapInArrow(bucket_sizes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > OVERFULL)
+    overfull = np.array([r["bucket"] for r in sizes.orderBy(F.desc("n"), "bucket").limit(LISTED).collect()], np.int64).view(np.uint64)
+    two = written(dealt(met.mapInArrow(trimmed(dealt_contexts(parts, overfull)), MOVED)).mapInArrow(trimmed(fourth_round), MOVED), "suffix-strings")
     release(spark)
     repeats = one.where(F.col("kind") == REPEATS).unionByName(two)
     return packed.cogroup(repeats.repartition(parts, "part").groupBy("part")).applyInArrow(_last_round(digest), DIGEST if digest else RESULT)

@@ -33,10 +33,10 @@ def documents(df):
 # ---------------------------------------------------------------------------- 1
 
 
-def test_suffix_dedup(odd_docs):
-    got = collections.Counter(tuple(r) for r in suffixes.dedup(odd_docs, digest=True).collect())
+def without_repeats(df):
+    """What op1 returns, by a set of all strings of 100 in order."""
     seen, done, want = set(), {}, collections.Counter()
-    for doc, text, t in documents(odd_docs):
+    for doc, text, t in documents(df):
         data = (text or "").encode()
         if (doc, t) not in done:
             gone = np.zeros(len(data), bool)
@@ -48,6 +48,12 @@ def test_suffix_dedup(odd_docs):
             rest = bytes(np.frombuffer(data, np.uint8)[~gone])
             done[doc, t] = (doc, len(data), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest())
         want[done[doc, t]] += 1
+    return want
+
+
+def test_suffix_dedup(odd_docs):
+    got = collections.Counter(tuple(r) for r in suffixes.dedup(odd_docs, digest=True).collect())
+    want = without_repeats(odd_docs)
     assert got == want and sum(k[2] for k in want) > 500
     full = {r["doc_id"]: r for r in suffixes.dedup(odd_docs.where("doc_id < 9")).collect()}
     assert sum(x["end"] - x["start"] for x in full[2]["removed"]) + len(full[2]["kept"]) == full[2]["n_bytes"]
@@ -63,6 +69,43 @@ def test_rows_without_an_id_are_spread(spark, vocabulary, tmp_path):
         assert sum(f["docs"] for f in files) == 2000 and max(f["docs"] for f in files) < 800
 
 
+@pytest.mark.parametrize("overfull", [suffixes.OVERFULL, 3])
+def test_suffix_dedup_of_passages_in_unlike_surroundings(spark, monkeypatch, overfull):
+    """Passages of 60 to 240 bytes, whole or cut, once and again in a document; buckets refined, and named where overfull."""
+    monkeypatch.setattr(suffixes, "OVERFULL", overfull)
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 5, n))
+    passages = [letters(n) for n in (60, 75, 99, 100, 101, 110, 134, 135, 170, 240)]
+    texts = []
+    for _ in range(150):
+        pieces = []
+        for _ in range(rng.integers(1, 6)):
+            x = passages[rng.integers(len(passages))]
+            lo = rng.integers(0, 15)
+            pieces += [letters(rng.integers(0, 90)), x[lo : len(x) - rng.integers(0, 15)]]
+        texts.append("".join(pieces) + letters(rng.integers(0, 40)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert collections.Counter(tuple(r) for r in suffixes.dedup(df, digest=True).collect()) == without_repeats(df)
+
+
+def test_refinement_numbers_equal_strings_alike():
+    rng = np.random.default_rng(9)
+    base = rng.integers(97, 99, 134, np.uint8)
+    rows = np.stack([base] * 6)
+    rows[1, :34] = rows[2, 100:] = rows[3, 60] = 120
+    many = np.array([35, 35, 35, 35, 10, 1])
+    rows[4, 109:] = rows[5, 100:] = 0
+    row, place, number = suffixes.refine(rows.view("V134")[:, 0], many)
+    got = {}
+    for r, p, n in zip(row, place, number, strict=True):
+        got.setdefault(n, []).append((int(r), int(p)))
+    want = {}
+    for r in range(6):
+        for p in range(many[r]):
+            want.setdefault(rows[r, p : p + 100].tobytes(), []).append((r, p))
+    assert sorted(got.values()) == sorted(x for x in want.values() if len(x) > 1)
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert suffixes.dedup(no_docs, digest=True).count() == 0
 
