@@ -6,12 +6,12 @@ empty tables give empty networks; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import dashboard_value, first_seen, receivers
 from ..storage import stored
@@ -19,7 +19,7 @@ from ..storage import stored
 #: Nodes shown of each kind, edges, theme pairs, theme pairs of one theme.
 NODE_CAPS = {"receiver": 72, "coroner": 44, "area": 36}
 EDGE_CAP, PAIR_CAP, PAIRS_EACH = 2600, 420, 8
-#: Edges of a graph that a task may hold whole: 32 MB twice over, both ways.
+#: Edges between classes that a task may hold whole: 32 MB twice over, both ways.
 EDGES_IN_TASK = 2_000_000
 
 
@@ -179,27 +179,54 @@ def degree(edge: DataFrame, n_nodes: int | None = None) -> DataFrame:
 def betweenness(edge: DataFrame, most_edges: int = EDGES_IN_TASK, sources_a_block: int = 2_000) -> DataFrame:
     """Betweenness by shortest paths, undirected, scaled by the pairs of other nodes (Brandes 2001).
 
-    Nodes are numbered and the graph is written once. Up to ``most_edges`` edges, each task reads the whole graph from there
-    and follows the paths from sources of its own, a level of all their frontiers at a time; beyond that, the levels of a
-    block of sources are tables, and a step is a join of the frontier with the edges. The driver sees neither.
+    Nodes with the same neighbours lie on paths alike, so they are one class that counts as many times as it has nodes,
+    and paths are followed between classes: of a network of a few themes and any number of receivers, coroners and areas,
+    there are no more classes than sets of themes. Classes are numbered and their graph is written once. Up to
+    ``most_edges`` edges of it, each task reads it whole from there and follows the paths from sources of its own, a level of
+    all their frontiers at a time; beyond that, the levels of a block of sources are tables, and a step is a join of the
+    frontier with the edges. The driver sees neither. Where no two nodes have the same neighbours, the work is nodes times edges.
     Repeated edges count once; an edge to itself is none; nodes without an edge have no row.
     """
     spark = edge.sparkSession
-    named = edge.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    named = stored(edge.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct(), "edges")
     both = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes, n = numbered(both.select(F.col("a").alias("id")).distinct())
-    from_id, to_id = nodes.select(F.col("id").alias("a"), F.col("number").alias("x")), nodes.select(F.col("id").alias("b"), F.col("number").alias("y"))
-    graph_rows = stored(both.join(from_id, "a").join(to_id, "b").select("x", "y"), "edges")
+    nodes = stored(twins(both), "twins")
+    n = nodes.count()
+    numbers, n_classes = numbered(nodes.where("id = twin").select("id"))
+    classes = stored(numbers.join(nodes.where("id = twin").select("id", "size"), "id"), "twins")
+    from_id = classes.select(F.col("id").alias("a"), F.col("number").alias("x"), F.col("size").alias("x_size"))
+    to_id = classes.select(F.col("id").alias("b"), F.col("number").alias("y"), F.col("size").alias("y_size"))
+    graph_rows = stored(both.join(from_id, "a").join(to_id, "b").select("x", "y", "x_size", "y_size"), "edges")
+    # Nodes of one class are two steps apart, by each of their neighbours.
+    near = graph_rows.where("x_size > 1").groupBy("x").agg(F.sum("y_size").alias("near"))
+    within = graph_rows.join(near, "x").groupBy(F.col("y").alias("number")).agg(F.sum(F.col("x_size") * (F.col("x_size").cast("double") - 1) / F.col("near")).alias("share"))
     if graph_rows.count() <= 2 * most_edges:
-        shares = _shares_in_tasks(spark, graph_rows, n)
+        shares = _shares_in_tasks(spark, graph_rows, n_classes)
     else:
         shares = spark.createDataFrame([], "number long, share double")
-        for low in range(0, n, sources_a_block):
-            block = _shares_by_joins(graph_rows, nodes.where(F.col("number").between(low, low + sources_a_block - 1)).select("number"))
+        for low in range(0, n_classes, sources_a_block):
+            block = _shares_by_joins(graph_rows, classes.where(F.col("number").between(low, low + sources_a_block - 1)).select("number", "size"))
             shares = stored(shares.unionByName(block).groupBy("number").agg(F.sum("share").alias("share")), "shares")
     scale = F.lit(float(max(1, (n - 1) * (n - 2))))
-    total = shares.groupBy("number").agg(F.sum("share").alias("share"))
-    return nodes.join(total, "number", "left").select("id", (F.coalesce("share", F.lit(0.0)) / scale).alias("betweenness"))
+    total = shares.unionByName(within).groupBy("number").agg(F.sum("share").alias("share"))
+    of_class = classes.join(total, "number", "left").select(F.col("id").alias("twin"), (F.coalesce("share", F.lit(0.0)) / scale).alias("betweenness"))
+    return nodes.join(of_class, "twin").select("id", "betweenness")
+
+
+def twins(both: DataFrame, fingerprint: Callable[[Column, int], Column] = lambda b, k: F.xxhash64(b, F.lit(k))) -> DataFrame:
+    """(id, twin, size): the least of the nodes with the same neighbours, and how many they are. both: distinct (a, b), each edge both ways.
+
+    Fingerprints of the neighbours only propose classes: each is checked, neighbour by neighbour, and taken apart where one of them
+    is not a neighbour of all its nodes. No list of neighbours is formed, so a node may have any number.
+    """
+    marks = [F.bit_xor(fingerprint(F.col("b"), k)).alias(f"mark{k}") for k in (0, 1)]
+    marked = stored(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("near"), *marks), "twins")
+    alike = ["near", "mark0", "mark1"]
+    proposed = marked.join(marked.groupBy(*alike).agg(F.min("id").alias("twin"), F.count(F.lit(1)).alias("size")), alike).select("id", "twin", "size")
+    met = both.join(proposed.where("size > 1"), both["a"] == proposed["id"]).groupBy("twin", "size", "b").agg(F.count(F.lit(1)).alias("n"))
+    apart = stored(met.where("n <> size").select("twin", F.lit(True).alias("apart")).distinct(), "twins")
+    told = proposed.join(apart, "twin", "left")
+    return told.select("id", F.when(F.col("apart"), F.col("id")).otherwise(F.col("twin")).alias("twin"), F.when(F.col("apart"), F.lit(1)).otherwise(F.col("size")).cast("long").alias("size"))
 
 
 def numbered(ids: DataFrame) -> tuple[DataFrame, int]:
@@ -215,17 +242,18 @@ def numbered(ids: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _shares_in_tasks(spark: SparkSession, graph_rows: DataFrame, n: int) -> DataFrame:
-    """number, share of each node by each task; the graph comes from its files, sources from a range."""
+    """number, share of each node of a class by each task; the graph comes from its files, sources from a range."""
     files = graph_rows.inputFiles()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *[_pairs_of(f) for f in files]])
+        size = np.ones(n)
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *[_pairs_of(f, size) for f in files]])
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         begin = np.searchsorted(pairs[:, 0], np.arange(n + 1))
         near, through = pairs[:, 1], np.zeros(n)
         for f in frames:
             for source in f["id"]:
-                _add_shares(int(source), begin, near, through)
+                _add_shares(int(source), begin, near, size, through)
         got = np.flatnonzero(through)
         yield pd.DataFrame({"number": got, "share": through[got]})
 
@@ -233,22 +261,25 @@ def _shares_in_tasks(spark: SparkSession, graph_rows: DataFrame, n: int) -> Data
     return spark.range(0, n, 1, parts).mapInPandas(run, "number long, share double")
 
 
-def _pairs_of(uri: str) -> np.ndarray:
-    """(x, y) of one file of edges, from any store that pyarrow knows, or a local mount."""
+def _pairs_of(uri: str, size: np.ndarray) -> np.ndarray:
+    """(x, y) of one file of edges, from any store that pyarrow knows, or a local mount; sizes of y are put in place."""
     import pyarrow.parquet as pq
 
+    columns = ["x", "y", "y_size"]
     if uri.startswith("file:"):
-        table = pq.read_table("/" + uri[5:].lstrip("/"), columns=["x", "y"], partitioning=None)
+        table = pq.read_table("/" + uri[5:].lstrip("/"), columns=columns, partitioning=None)
     else:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(uri)
-        table = pq.read_table(path, columns=["x", "y"], filesystem=store, partitioning=None)
+        table = pq.read_table(path, columns=columns, filesystem=store, partitioning=None)
+    size[table["y"].to_numpy()] = table["y_size"].to_numpy()
     return np.stack([table["x"].to_numpy(), table["y"].to_numpy()], axis=1)
 
 
-def _add_shares(source: int, begin: np.ndarray, near: np.ndarray, through: np.ndarray) -> None:
-    """Add to each node its share of the shortest paths from a source: out level by level, and back."""
+def _add_shares(source: int, begin: np.ndarray, near: np.ndarray, size: np.ndarray, through: np.ndarray) -> None:
+    """Add to each node of a class its share of the shortest paths from the nodes of a source to other classes: out level by
+    level, and back. paths: those from one node of the source to one of the class."""
     n = len(begin) - 1
     level, paths, share = np.full(n, -1), np.zeros(n), np.zeros(n)
     level[source], paths[source] = 0, 1.0
@@ -260,22 +291,23 @@ def _add_shares(source: int, begin: np.ndarray, near: np.ndarray, through: np.nd
         level[b[level[b] < 0]] = len(steps) + 1
         on = level[b] == len(steps) + 1
         a, b = a[on], b[on]
-        np.add.at(paths, b, paths[a])
+        np.add.at(paths, b, paths[a] * (size[a] if steps else 1.0))
         steps.append((a, b))
         front = np.unique(b)
     for a, b in reversed(steps):
-        np.add.at(share, a, paths[a] / paths[b] * (1 + share[b]))
+        np.add.at(share, a, size[b] * paths[a] / paths[b] * (1 + share[b]))
     share[source] = 0.0
-    through += share
+    through += size[source] * share
 
 
 def _shares_by_joins(graph_rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """number, share of each node from a block of sources: levels as tables (source, number, paths), each written."""
+    """number, share of each node of a class from a block of sources: levels as tables (source, number, paths), each written."""
     front = stored(sources.select(F.col("number").alias("source"), "number", F.lit(1.0).alias("paths")), "level")
     levels = [front]
     seen = front.select("source", "number")
     while True:
-        reached = front.join(graph_rows, front["number"] == graph_rows["x"]).groupBy("source", F.col("y").alias("number")).agg(F.sum("paths").alias("paths"))
+        ways = F.col("paths") * F.when(F.col("x") == F.col("source"), F.lit(1)).otherwise(F.col("x_size"))
+        reached = front.join(graph_rows, front["number"] == graph_rows["x"]).groupBy("source", F.col("y").alias("number")).agg(F.sum(ways).alias("paths"))
         # A neighbour of a level is on the one before, on the same, or new.
         front = stored(reached.join(seen, ["source", "number"], "left_anti"), "level")
         if front.isEmpty():
@@ -283,14 +315,15 @@ def _shares_by_joins(graph_rows: DataFrame, sources: DataFrame) -> DataFrame:
         seen = levels[-1].select("source", "number").unionByName(front.select("source", "number"))
         levels.append(front)
     share = levels[-1].select("source", "number", "paths", F.lit(0.0).alias("share"))
-    every = share.select("number", "share")
+    every = share.select("source", "number", "share")
     for before in reversed(levels[1:-1]):
         a = before.select("source", F.col("number").alias("x"), F.col("paths").alias("own"))
-        back = share.join(graph_rows.select("x", F.col("y").alias("number")), "number").join(a, ["source", "x"])
-        given = back.groupBy("source", F.col("x").alias("number")).agg(F.sum(F.col("own") / F.col("paths") * (1 + F.col("share"))).alias("share"))
+        back = share.join(graph_rows.select("x", F.col("y").alias("number"), "y_size"), "number").join(a, ["source", "x"])
+        given = back.groupBy("source", F.col("x").alias("number")).agg(F.sum(F.col("y_size") * F.col("own") / F.col("paths") * (1 + F.col("share"))).alias("share"))
         share = stored(before.join(given, ["source", "number"], "left").select("source", "number", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "share")
-        every = every.unionByName(share.select("number", "share"))
-    return every.groupBy("number").agg(F.sum("share").alias("share"))
+        every = every.unionByName(share.select("source", "number", "share"))
+    weighed = every.join(sources.select(F.col("number").alias("source"), "size"), "source")
+    return weighed.groupBy("number").agg(F.sum(F.col("size") * F.col("share")).alias("share"))
 
 
 def visible(node: DataFrame, edge: DataFrame, kinds: Sequence[str], theme_cap: int, limit: int, least_weight: int, focus: str | None = None, text: str | None = None) -> DataFrame:

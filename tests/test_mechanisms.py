@@ -362,6 +362,43 @@ def test_betweenness_by_joins_equals_in_tasks(spark):
     assert set(one) == set(two) and max(one.values()) > 0.1 and all(abs(one[k] - two[k]) < 1e-12 for k in one)
 
 
+def test_betweenness_follows_classes_of_the_same_neighbours(spark, monkeypatch):
+    rng = random.Random(14)
+    hubs = [f"h{k}" for k in range(4)]
+    pairs = {(a, b) for a, b in itertools.combinations(hubs, 2) if (a, b) != ("h0", "h3")} | {(h, f"n{k}") for k in range(300) for h in rng.sample(hubs, rng.choice([1, 1, 2, 3]))} | {("n0", "far"), ("w1", "w2")}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:  # node by node
+        order, far, paths = [s], {s: 0}, Counter({s: 1})
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    order.append(w)
+                paths[w] += paths[v] * (far[w] == far[v] + 1)
+        share = Counter()
+        for w in reversed(order[1:]):
+            want[w] += share[w]
+            for v in near[w]:
+                if far[v] == far[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+    edge = spark.createDataFrame([("k", a, b, 1) for a, b in sorted(pairs)], "kind string, source string, target string, n long")
+    followed, in_tasks = [], graph._shares_in_tasks
+    monkeypatch.setattr(graph, "_shares_in_tasks", lambda spark, rows, n: followed.append(n) or in_tasks(spark, rows, n))
+    n = len(near)
+    for how in ({}, {"most_edges": 1, "sources_a_block": 9}):
+        got = {r["id"]: r["betweenness"] for r in graph.betweenness(edge, **how).collect()}
+        assert set(got) == set(near) and all(abs(got[v] - want[v] / ((n - 1) * (n - 2))) < 1e-12 for v in got)
+    assert followed == [len({frozenset(x) for x in near.values()})] and followed[0] < 25
+    # Fingerprints that say nothing: nodes of as many neighbours that differ in one are told apart.
+    both = spark.createDataFrame([p for a, b in pairs for p in ((a, b), (b, a))], "a string, b string")
+    for r in graph.twins(both, lambda b, k: F.lit(0).cast("long")).collect():
+        assert near[r["id"]] == near[r["twin"]]
+
+
 # ---------------------------------------------------------------------------- batches, payloads, model calls
 
 
