@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import vocabulary as V
 from ..functions.text import search_text, stem
 from ..sources.reports import exists
+from ..storage import small_batches
 from .search import forms, least_score, query_terms
 
 POSTINGS = "batch string, bucket int, stem string, word string, field string, key string, places array<int>"
+#: Postings that a task holds before it hands them on, and those of one report more.
+POSTINGS_HELD = 20_000
 
 
 class SearchIndex:
@@ -50,7 +53,7 @@ class SearchIndex:
         rows = reports.select(F.col(key).cast("string").alias("key"), texts.alias("texts")).where("key is not null").dropDuplicates(["key"])
         if (known := self._table("keys")) is not None:
             rows = rows.join(known.select("key"), "key", "left_anti")
-        batch = uuid.uuid4().hex
+        batch, most = uuid.uuid4().hex, POSTINGS_HELD
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -64,18 +67,24 @@ class SearchIndex:
                         field += [t["field"]] * len(at)
                         words += at
                         where += at.values()
-                # Marks the report as seen, words or none.
-                keys += b.column(0).to_pylist()
-                more = len(keys) - len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.string()), pa.array(field + [None] * more, pa.string()), pa.array(words + [None] * more, pa.string()), pa.array(where + [None] * more, pa.list_(pa.int32()))],
-                    ["key", "field", "word", "places"],
-                )
+                    # Marks the report as seen, words or none.
+                    keys.append(k)
+                    for column in (field, words, where):
+                        column.append(None)
+                    if len(keys) >= most:
+                        yield posted(keys, field, words, where)
+                        keys, field, words, where = [], [], [], []
+                yield posted(keys, field, words, where)
+
+        def posted(keys: list, field: list, words: list, where: list) -> pa.RecordBatch:
+            columns = [pa.array(keys, pa.string()), pa.array(field, pa.string()), pa.array(words, pa.string()), pa.array(where, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "field", "word", "places"])
 
         made = rows.mapInArrow(places, "key string, field string, word string, places array<int>")
         named = made.withColumn("stem", stem(F.col("word"))).withColumn("bucket", F.when(F.col("word").isNotNull(), F.pmod(F.hash("stem"), F.lit(self.buckets))).otherwise(-1)).withColumn("batch", F.lit(batch))
         spread = named.repartitionByRange("bucket", "stem", "word", "key").sortWithinPartitions("bucket", "stem", "word", "key")
-        spread.select("stem", "word", "field", "key", "places", "batch", "bucket").write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.root}/postings")
+        with small_batches(self.spark):
+            spread.select("stem", "word", "field", "key", "places", "batch", "bucket").write.mode("append").partitionBy("batch", "bucket").parquet(f"{self.root}/postings")
         mine = self._postings(batch)
         mine.where("bucket = -1").select("batch", "key").write.mode("append").partitionBy("batch").parquet(f"{self.root}/keys")
         mine.where("bucket <> -1").select("batch", "word", "stem").distinct().write.mode("append").partitionBy("batch").parquet(f"{self.root}/words")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """What is written meanwhile meets Python in Arrow batches of so many rows and bytes at most: long texts fill Spark's usual
+    10,000 rows with hundreds of MB once tasks have as many rows. A session's own lower settings stay."""
+    before = {}
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, None)
+        if not (now or "").isdecimal() or not 0 < int(now) <= most:
+            before[name] = now
+            spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

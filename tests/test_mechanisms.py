@@ -85,6 +85,38 @@ def test_a_stored_search_reads_its_own_buckets(spark, tmp_path):
     assert read.select("stem").distinct().count() == 1
 
 
+def test_an_append_holds_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    """Batches to the index's Python: rows and bytes, not Spark's 10,000 rows of any length; postings leave it a few at a time."""
+    taken, given = tmp_path / "taken", tmp_path / "given"
+    taken.mkdir()
+    given.mkdir()
+    real = type(spark.range(1)).mapInArrow
+
+    def seen(df, run, schema):
+        def outer(batches):
+            def told():
+                for b in batches:
+                    (taken / f"{os.getpid()}-{time.time_ns()}").write_text(f"{b.num_rows} {b.nbytes}")
+                    yield b
+
+            for out in run(told()):
+                (given / f"{os.getpid()}-{time.time_ns()}").write_text(str(out.num_rows))
+                yield out
+
+        return real(df, outer, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", seen)
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("report_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(400)), lambda k: F.concat(F.lit("word"), k.cast("string"), F.lit("x"), F.col("id").cast("string"))), " ").alias("concerns"))
+    settings = [spark.conf.get(f"spark.sql.execution.arrow.max{k}PerBatch") for k in ("Records", "Bytes")]
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"), buckets=4)
+    assert index.append(df) == 3000
+    assert {r["key"] for r in index.search("word7x2999").collect()} == {"2999"}
+    sizes = [tuple(map(int, f.read_text().split())) for f in taken.iterdir()]
+    assert sizes and max(n for n, _ in sizes) <= 1000 and max(b for _, b in sizes) < 6 << 20
+    assert max(int(f.read_text()) for f in given.iterdir()) <= search_index.POSTINGS_HELD + 401
+    assert settings == [spark.conf.get(f"spark.sql.execution.arrow.max{k}PerBatch") for k in ("Records", "Bytes")]
+
+
 # ---------------------------------------------------------------------------- data source and fetch
 
 
