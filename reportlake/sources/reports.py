@@ -18,6 +18,8 @@ from ..storage import remove
 
 THEMES = ["theme_returned", "theme_bulk", "theme_discounted", "theme_promo", "theme_urgent"]
 VIEW_COLUMNS = ["report_id", "url", "date", "coroner", "area", "receiver", "investigation", "circumstances", "concerns", *THEMES]
+#: Report ids that are sent to all tasks, so that lines of other orders are left out where they are read: 16 MB of ids.
+IDS_SENT = 2_000_000
 SECTIONS = ["url", "id", "date", "coroner", "area", "receiver", "investigation", "circumstances", "concerns"]
 
 
@@ -33,10 +35,14 @@ def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     """A report-shaped view of the test tables: a row for each document, with its order's facts.
 
     With columns, only the tables that those need are read and joined: a plan cannot know that the joined keys are
-    unique, so it would keep joins whose columns nobody reads.
+    unique, so it would keep joins whose columns nobody reads. Most lines are of orders without a report: up to ``IDS_SENT``
+    reports, which are counted, their lines alone are joined, grouped and shuffled; beyond that, all are grouped.
     """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     wanted = [c for c in VIEW_COLUMNS if columns is None or c in columns or c == "report_id"]
+    lines = t("lineitem")
+    if {"receiver", *THEMES[:4]} & set(wanted) and t("documents").count() <= IDS_SENT:
+        lines = lines.join(F.broadcast(t("documents").select(F.col("doc_id").alias("l_orderkey"))), "l_orderkey", "left_semi")
     out = t("documents").select(F.col("doc_id").alias("report_id"), "text").join(t("orders"), F.col("o_orderkey") == F.col("report_id"))
     if {"coroner", "area"} & set(wanted):
         out = out.join(t("customer").select("c_custkey", "c_name", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -44,7 +50,7 @@ def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
         out = out.join(t("nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
     if set(THEMES[:4]) & set(wanted):
         facts = (
-            t("lineitem").join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+            lines.join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(F.col("l_orderkey").alias("fact_key")).agg(
                 (F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)) == 1).alias("theme_returned"),
                 (F.max("l_quantity") >= 45).alias("theme_bulk"), (F.max("l_discount") >= 0.09).alias("theme_discounted"),
@@ -54,7 +60,7 @@ def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
         out = out.join(facts, F.col("report_id") == F.col("fact_key"), "left")
     if "receiver" in wanted:
         names = (
-            t("lineitem").select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+            lines.select("l_orderkey", "l_suppkey").join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy(F.col("l_orderkey").alias("name_key")).agg(F.array_join(F.array_sort(F.collect_set("s_name")), "; ").alias("receiver"))
         )
         out = out.join(names, F.col("report_id") == F.col("name_key"), "left")

@@ -78,6 +78,16 @@ def test_betweenness_against_all_paths(spark):
     assert graph.betweenness(edge.where("n > 1")).count() == 0
 
 
+def test_the_view_groups_lines_of_reports_alone(spark, monkeypatch):
+    columns = ("receiver", *reports.THEMES)
+    few = reports.report_view(spark, "/root/testdata/sf0.001", columns)
+    rows = sorted(map(str, few.collect()))
+    assert few._jdf.queryExecution().executedPlan().toString().count("LeftSemi") >= 2
+    monkeypatch.setattr(reports, "IDS_SENT", 10)
+    every = reports.report_view(spark, "/root/testdata/sf0.001", columns)
+    assert "LeftSemi" not in every._jdf.queryExecution().executedPlan().toString() and sorted(map(str, every.collect())) == rows and len(rows) > 50
+
+
 def test_top_k_by_kind(spark):
     rng = random.Random(3)
     rows = [(k, f"{rng.choice('abAB')}{i}", rng.randint(1, 9)) for k in ("theme", "receiver", "area") for i in range(40)]
