@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import first_words, labelled, repaired_json, word_count
-from ..storage import stored
+from ..storage import small_batches, stored
 from .rows import fields_of, name_of, whole
 
 SECTIONS = ("investigation", "circumstances", "concerns")
@@ -168,7 +168,8 @@ def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch:
         distinct = distinct.repartition(partitions)
     replies = distinct.mapInPandas(run, "prompt_sha string, reply string, error string")
     if progress is None:
-        return stored(replies, "replies")
+        with small_batches(prompts.sparkSession):
+            return stored(replies, "replies")
     over = threading.Event()
 
     def tell() -> None:
@@ -178,7 +179,8 @@ def ask(prompts: DataFrame, model: TextModel, schema: dict | None = None, batch:
     teller = threading.Thread(target=tell, daemon=True)
     teller.start()
     try:
-        return stored(replies, "replies")
+        with small_batches(prompts.sparkSession):
+            return stored(replies, "replies")
     finally:
         over.set()
         teller.join()

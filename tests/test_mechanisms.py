@@ -434,6 +434,30 @@ def test_betweenness_follows_classes_of_the_same_neighbours(spark, monkeypatch):
 # ---------------------------------------------------------------------------- batches, payloads, model calls
 
 
+def test_a_model_meets_few_prompts_at_a_time(spark, tmp_path):
+    class Weighed:
+        """Notes how many prompts stood in the batch that a call's prompts came from."""
+
+        def __init__(self, folder):
+            self.folder = str(folder)
+
+        def generate(self, prompts, schema=None):
+            import inspect
+
+            f = next(x.frame.f_locals["f"] for x in inspect.stack() if x.function == "run")
+            with open(f"{self.folder}/{os.getpid()}-{time.time_ns()}", "w") as out:
+                out.write(f"{len(f)} {int(f['prompt'].str.len().sum())}")
+            return ["{}" for _ in prompts]
+
+    for name, n, length, calls in (("rows", 5000, 10, None), ("bytes", 900, 30_000, 2)):
+        folder = tmp_path / name
+        folder.mkdir()
+        prompts = spark.range(n).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), length)).alias("prompt")).coalesce(1)
+        assert models.ask(prompts, Weighed(folder), partitions=1, calls=calls).where("reply = '{}'").count() == n
+        sizes = [tuple(map(int, f.read_text().split())) for f in folder.iterdir()]
+        assert max(rows for rows, _ in sizes) <= 1000 and max(size for _, size in sizes) < 5 << 20
+
+
 def test_batches_lose_nothing(spark, tmp_path):
     rows = [(k, v) for v, k in enumerate([None, None, "a", "a", "a", "b", "b", "c", "c", "c", "c", "d"])]
     df = spark.createDataFrame(rows, "url string, job long")
